@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import slice as slice_
+from . import text_queries as tq
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
 REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "te_fold_auc": (slice_.te_fold_auc, slice_.TE_FOLD_AUC_SQL),
+    **{f"text_{f}": (tq.family_query(f), tq.TEXT_SQL[f]) for f in tq.TEXT_SQL},
+    "topic_onehot": (tq.topic_onehot_query, tq.TOPIC_ONEHOT_SQL),
 }
 
 
