@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import slice as slice_
 from . import text_queries as tq
+from . import tfidf_queries as fq
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,12 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "te_fold_auc": (slice_.te_fold_auc, slice_.TE_FOLD_AUC_SQL),
     **{f"text_{f}": (tq.family_query(f), tq.TEXT_SQL[f]) for f in tq.TEXT_SQL},
     "topic_onehot": (tq.topic_onehot_query, tq.TOPIC_ONEHOT_SQL),
+    "benford": (fq.benford, fq.BENFORD_SQL),
+    "tfidf_word": (fq.tfidf_word, fq.TFIDF_WORD_SQL),
+    "tfidf_char": (fq.tfidf_char, fq.TFIDF_CHAR_SQL),
+    "tfidf_fixed": (fq.tfidf_fixed, fq.TFIDF_FIXED_SQL),
+    "topic_coherence": (fq.topic_coherence, fq.TOPIC_COHERENCE_SQL),
+    "tfidf_fold": (fq.tfidf_fold, fq.TFIDF_FOLD_SQL),
 }
 
 
