@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_BROADCAST_ROWS
+from ..session import DEFAULT_BROADCAST_ROWS, materialize
 
 NULL_KEY = None
 
@@ -68,24 +68,27 @@ def te_fit(df: DataFrame, cols: Sequence[str], y: str, aggs: Sequence[str] = ("m
 
 def te_transform(df: DataFrame, mapping: DataFrame, globals_: DataFrame, cols: Sequence[str],
                  aggs: Sequence[str] = ("mean",), drop_original: bool = False, prefix: str = "TE_",
-                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                 id_col: str = "id", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """TE-2: ``TE_<col>_<agg>`` = mapping lookup, missing key -> the global statistic."""
     mapping = mapping.persist(StorageLevel.MEMORY_AND_DISK)
     g = globals_.first()
-    sizes = {r["column"]: r["n"] for r in mapping.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = mapping.count() <= max_broadcast_rows
     out = df
-    for c in cols:
-        m = mapping.where(F.col("column") == c).select(F.col("key").alias(f"_k_{c}"),
-                                                       *[F.col(a).alias(f"_{c}_{a}") for a in aggs])
-        if sizes.get(c, 0) <= max_broadcast_rows:
-            m = F.broadcast(m)
-        out = out.join(m, key_expr(c) == F.col(f"_k_{c}"), "left")
+    if small and len(cols) <= MAX_PER_COLUMN_JOINS:
+        for c in cols:
+            m = mapping.where(F.col("column") == c).select(
+                F.col("key").alias(f"_k_{c}"), *[F.col(a).alias(f"_v_{c}__{a}") for a in aggs])
+            out = out.join(F.broadcast(m), key_expr(c) == F.col(f"_k_{c}"), "left")
+    else:
+        long = unpivot(df, cols, [id_col])
+        e = F.broadcast(mapping) if small else mapping
+        looked = long.join(e, ["column", "key"], "left")
         for a in aggs:
-            out = out.withColumn(f"{prefix}{c}_{a}", F.coalesce(F.col(f"_{c}_{a}"), F.lit(g[a])))
-        out = out.drop(f"_k_{c}", *[f"_{c}_{a}" for a in aggs])
-    if drop_original:
-        out = out.drop(*cols)
-    return out
+            wide = looked.groupBy(id_col).pivot("column", list(cols)).agg(F.first(a))
+            out = out.join(wide.select(id_col, *[F.col(f"`{c}`").alias(f"_v_{c}__{a}") for c in cols]), id_col, "left")
+    enc_cols = [F.coalesce(F.col(f"_v_{c}__{a}"), F.lit(g[a])).alias(f"{prefix}{c}_{a}") for c in cols for a in aggs]
+    keep = [c for c in df.columns if not (drop_original and c in cols)]
+    return out.select(*keep, *enc_cols)
 
 
 # ---------------------------------------------------------------------------
@@ -122,7 +125,7 @@ def oof_mapping(df: DataFrame, cols: Sequence[str], y: str, fold: str, smooth: s
     n1, s1, ss1 = F.col("N") - F.col("n_f"), F.col("S") - F.col("s_f"), F.col("SS") - F.col("ss_f")
     kw = kw.select("column", "key", fold, "N", "S", "SS", "_first",
                    n1.alias("n1"), s1.alias("s1"), ss1.alias("ss1"))
-    kw = kw.persist(StorageLevel.MEMORY_AND_DISK)
+    kw = materialize(kw)  # read by three aggregates and the final projection
 
     full_var = _var(F.col("N"), F.col("S"), F.col("SS"))
     full_mu = F.col("S") / F.col("N")
@@ -158,34 +161,45 @@ def oof_mapping(df: DataFrame, cols: Sequence[str], y: str, fold: str, smooth: s
     return enc, fg
 
 
+# Up to this many encoded columns are attached by one broadcast join each
+# (no shuffle); beyond it the plan of chained joins grows too large and the
+# long form (unpivot -> one join -> pivot by id -> join back) is used.
+MAX_PER_COLUMN_JOINS = 12
+
+
+def _attach_long(df: DataFrame, long_vals: DataFrame, cols: Sequence[str], id_col: str, value: str) -> DataFrame:
+    """Pivot ``(id, column, value)`` to one column per encoded column (``_v_<c>``) and join it to ``df`` by id.
+
+    ``id_col`` must be unique in ``df``.
+    """
+    wide = long_vals.groupBy(id_col).pivot("column", list(cols)).agg(F.first(value))
+    wide = wide.select(id_col, *[F.col(f"`{c}`").alias(f"_v_{c}") for c in cols])
+    return df.join(wide, id_col, "left")
+
+
 def target_encode_oof(df: DataFrame, cols: Sequence[str], y: str, fold: str, id_col: str = "id",
                       smooth: str | float = "auto", prefix: str = "TE_", suffix: str = "_mean",
                       drop_original: bool = False, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """TE-3: add ``TE_<col>_mean`` = leave-fold-out smoothed mean; missing -> that fold's global mean."""
+    df = materialize(df)  # read by the unpivot, the fold totals and the final join
     enc, fg = oof_mapping(df, cols, y, fold, smooth)
     enc = enc.persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = {r["column"]: r["n"] for r in enc.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    small = [c for c in cols if sizes.get(c, 0) <= max_broadcast_rows]
-    large = [c for c in cols if c not in small]
-    out = df.join(F.broadcast(fg.withColumnRenamed("g", "_g")), fold, "left")
-    for c in small:
-        m = enc.where(F.col("column") == c).select(F.col("key").alias("_k"), F.col(fold).alias("_f"),
-                                                   F.col("te").alias("_te"))
-        out = (out.join(F.broadcast(m), (key_expr(c) == F.col("_k")) & (F.col(fold) == F.col("_f")), "left")
-               .withColumn(f"{prefix}{c}{suffix}", F.coalesce(F.col("_te"), F.col("_g")))
-               .drop("_k", "_f", "_te"))
-    if large:
-        long = unpivot(df, large, [id_col, fold])
-        looked = long.join(enc, ["column", "key", fold], "left")
-        wide = looked.groupBy(id_col).pivot("column", large).agg(F.first("te"))
-        wide = wide.select(id_col, *[F.col(f"`{c}`").alias(f"_te_{c}") for c in large])
-        out = out.join(wide, id_col, "left")
-        for c in large:
-            out = out.withColumn(f"{prefix}{c}{suffix}", F.coalesce(F.col(f"_te_{c}"), F.col("_g"))).drop(f"_te_{c}")
-    out = out.drop("_g")
-    if drop_original:
-        out = out.drop(*cols)
-    return out
+    n_enc = enc.count()
+    small = n_enc <= max_broadcast_rows
+    out = df.join(F.broadcast(fg.withColumnRenamed("g", "_g")), fold, "left")  # k rows
+    if small and len(cols) <= MAX_PER_COLUMN_JOINS:
+        for c in cols:
+            m = enc.where(F.col("column") == c).select(F.col("key").alias(f"_k_{c}"), F.col(fold).alias(f"_f_{c}"),
+                                                       F.col("te").alias(f"_v_{c}"))
+            out = out.join(F.broadcast(m), (key_expr(c) == F.col(f"_k_{c}")) & (F.col(fold) == F.col(f"_f_{c}")), "left")
+    else:
+        long = unpivot(df, cols, [id_col, fold])
+        e = F.broadcast(enc) if small else enc
+        looked = long.join(e, ["column", "key", fold], "left")
+        out = _attach_long(out, looked, cols, id_col, "te")
+    enc_cols = [F.coalesce(F.col(f"_v_{c}"), F.col("_g")).alias(f"{prefix}{c}{suffix}") for c in cols]
+    keep = [c for c in df.columns if not (drop_original and c in cols)]
+    return out.select(*keep, *enc_cols)
 
 
 # ---------------------------------------------------------------------------

@@ -94,8 +94,9 @@ def fold_split(df: DataFrame, fold_col: str, k: int) -> tuple[DataFrame, DataFra
     return df.where(F.col(fold_col) != k), df.where(F.col(fold_col) == k)
 
 
-def kfold_sql(source: str, k: int, seed: int = 42, label: str | None = None, id_col: str = "id") -> str:
+def kfold_sql(source: str, k: int, seed: int = 42, label: str | None = None, id_col: str = "id",
+              out: str = "fold") -> str:
     """DuckDB oracle text for FO-1 / FO-2 over a relation ``source``."""
-    order = f"{label}, h, {id_col}" if label else f"h, {id_col}"
-    return (f"select *, cast((row_number() over (order by {order}) - 1) % {k} as integer) fold "
-            f"from (select *, md5(concat('{seed}', '|', cast({id_col} as varchar))) h from ({source}) s0) s1")
+    order = f"{label}, _h, {id_col}" if label else f"_h, {id_col}"
+    return (f"select * exclude (_h), cast((row_number() over (order by {order}) - 1) % {k} as integer) {out} "
+            f"from (select *, md5(concat('{seed}', '|', cast({id_col} as varchar))) _h from ({source}) s0) s1")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import slice as slice_
 from . import text_queries as tq
 from . import tfidf_queries as fq
+from . import tabular_queries as tb
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,15 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "tfidf_fixed": (fq.tfidf_fixed, fq.TFIDF_FIXED_SQL),
     "topic_coherence": (fq.topic_coherence, fq.TOPIC_COHERENCE_SQL),
     "tfidf_fold": (fq.tfidf_fold, fq.TFIDF_FOLD_SQL),
+    "tab_digits": (tb.tab_digits, tb.TAB_DIGITS_SQL),
+    "tab_rounding": (tb.tab_rounding, tb.TAB_ROUNDING_SQL),
+    "tab_interactions": (tb.tab_interactions, tb.TAB_INTERACTIONS_SQL),
+    "tab_orig_encodings": (tb.tab_orig_encodings, tb.TAB_ORIG_ENCODINGS_SQL),
+    "tab_ratio_band": (tb.tab_ratio_band, tb.TAB_RATIO_BAND_SQL),
+    "te_fit_transform": (tb.te_fit_transform, tb.TE_FIT_TRANSFORM_SQL),
+    "te_two_stage": (tb.te_two_stage, tb.TE_TWO_STAGE_SQL),
+    "te_nested": (tb.te_nested, tb.TE_NESTED_SQL),
+    "factorize_codes": (tb.factorize_codes, tb.FACTORIZE_CODES_SQL),
 }
 
 

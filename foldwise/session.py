@@ -55,3 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="foldwise-ckpt-", dir=os.environ.get("FOLDWISE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(scratch)
     return scratch
+
+
+def materialize(df):
+    """Cut lineage at a stage boundary: a reliable checkpoint in the session's checkpoint folder.
+
+    Used where an intermediate table is read by several branches of a plan:
+    it is computed once, survives executor loss (files, not executor memory),
+    and later plans start from the files instead of re-optimising the whole
+    lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

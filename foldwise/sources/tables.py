@@ -14,9 +14,20 @@ TABLES = (
 ).split()
 
 
+_TABLE_CACHE: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One parquet test table; column pruning and filters reach the scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One parquet test table; column pruning and filters reach the scan.
+
+    The DataFrame (not its data) is memoised per session so the file listing
+    and footer read happen once.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _TABLE_CACHE:
+        _TABLE_CACHE[key] = spark.read.parquet(path)
+    return _TABLE_CACHE[key]
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "csv") -> DataFrame:
