@@ -126,35 +126,61 @@ def youden_threshold(roc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def prevalence_threshold(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     """ME-6: the ``1 - positive rate`` quantile of the scores (linear interpolation, numpy default).
 
-    The fraction is data dependent, so it is computed first as a one-row
-    table; the quantile is then interpolated between the two ranked scores
-    around position ``q*(n-1)`` found with distributed ranking.
+    The fraction is data dependent: it is a one-row table, and the quantile
+    is interpolated between the two ranked scores around ``q*(n-1)``.
     """
     stats = df.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(label).cast("double")).alias("_rate"))
-    pos = stats.select("_n", (F.lit(1.0) - F.col("_rate")).alias("_q")).withColumn(
-        "_x", F.col("_q") * (F.col("_n") - 1))
+    pos = stats.select(((F.lit(1.0) - F.col("_rate")) * (F.col("_n") - 1)).alias("_x"))
     ranked = global_row_rank(df.select(score), score)
-    lo_hi = ranked.crossJoin(F.broadcast(pos)).where(
-        (F.col("_r") == F.floor("_x")) | (F.col("_r") == F.ceil("_x")))
+    ends = pos.select("_x", F.explode(F.array(F.floor("_x").cast("long"), F.ceil("_x").cast("long"))).alias("_r")).distinct()
+    lo_hi = ranked.join(F.broadcast(ends), "_r")  # at most two rows: an equi-join on the rank
     return lo_hi.agg(
         (F.min(score) + (F.max(score) - F.min(score)) * (F.first("_x") - F.floor(F.first("_x")))).alias(
             "prevalence_threshold")
     )
 
 
-def global_row_rank(df: DataFrame, score: str, n_buckets: int | None = None, out: str = "_r") -> DataFrame:
-    """0-based position of each row in ascending ``score`` order (ties in arbitrary order).
+def global_row_rank(df: DataFrame, score: str, n_buckets: int | None = None, out: str = "_r",
+                    by: Sequence[str] = ()) -> DataFrame:
+    """0-based position of each row in ascending ``score`` order within ``by`` (ties in arbitrary order).
 
-    Two-level: range buckets ranked in their own tasks + broadcast of the
-    per-bucket counts (``n_buckets`` rows).
+    Two-level: value-range buckets ranked in their own tasks + the per-bucket
+    counts (``groups * n_buckets`` rows) prefix-summed and broadcast.
     """
+    by = list(by)
     nb = n_buckets or default_buckets(df)
-    rb = range_bucketed(df, [score], nb)
-    counts = rb.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    offs = counts.withColumn("_off", F.coalesce(
-        F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    rb = rb.withColumn("_rn", F.row_number().over(Window.partitionBy("_b").orderBy(score)) - 1)
-    return rb.join(F.broadcast(offs), "_b").withColumn(out, F.col("_off") + F.col("_rn")).drop("_off", "_rn", "_b")
+    rb = range_bucketed(df, [*by, score], nb)
+    counts = rb.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
+    rb = rb.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(score)) - 1)
+    return rb.join(F.broadcast(offs), [*by, "_b"]).withColumn(out, F.col("_off") + F.col("_rn")).drop("_off", "_rn", "_b")
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """Linear-interpolation quantiles (numpy default / ``quantile_cont``) without gathering a group's
+    values in one task: rank rows (two-level), keep only the rows at ``floor``/``ceil`` of
+    ``q * (n - 1)``, interpolate. Returns ``(*by, <name>...)``."""
+    by = list(by)
+    names = list(names or [f"q{i}" for i in range(len(qs))])
+    v = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    pos = n.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q"))
+                                            for i, q in enumerate(qs)])).alias("_e"), "_n") \
+        .select(*by, "_e.qi", (F.col("_e.q") * (F.col("_n") - 1)).alias("_x"))
+    pos = pos.select(*by, "qi", "_x", F.floor("_x").cast("long").alias("_lo"), F.ceil("_x").cast("long").alias("_hi"))
+    ranked = global_row_rank(v, "_v", by=by)
+    # groups * len(qs) rows
+    # equi-joins on (groups, rank) against groups * len(qs) positions: a hash lookup per row
+    lo = ranked.join(F.broadcast(pos.select(*by, "qi", "_x", "_lo", F.col("_lo").alias("_r"))), [*by, "_r"]) \
+        .select(*by, "qi", "_x", "_lo", F.col("_v").alias("_vlo"))
+    hi = ranked.join(F.broadcast(pos.select(*by, "qi", F.col("_hi").alias("_r"))), [*by, "_r"]) \
+        .select(*by, "qi", F.col("_v").alias("_vhi"))
+    j = lo.join(hi, [*by, "qi"])
+    val = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_x") - F.col("_lo"))
+    res = j.groupBy(*by).agg(*[F.max(F.when(F.col("qi") == i, val)).alias(nm) for i, nm in enumerate(names)])
+    return res
 
 
 def final_threshold(youden: Column, prevalence: Column) -> Column:

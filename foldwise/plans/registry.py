@@ -10,6 +10,7 @@ from . import slice as slice_
 from . import text_queries as tq
 from . import tfidf_queries as fq
 from . import tabular_queries as tb
+from . import score_queries as sq
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,31 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "te_two_stage": (tb.te_two_stage, tb.TE_TWO_STAGE_SQL),
     "te_nested": (tb.te_nested, tb.TE_NESTED_SQL),
     "factorize_codes": (tb.factorize_codes, tb.FACTORIZE_CODES_SQL),
+    "auc_by_model": (sq.auc_by_model, sq.AUC_BY_MODEL_SQL),
+    "auc_by_model_fold": (sq.auc_by_model_fold, sq.AUC_BY_MODEL_FOLD_SQL),
+    "roc_curve_m3": (sq.roc_curve_m3, sq.ROC_CURVE_M3_SQL),
+    "thresholds_m3": (sq.thresholds_m3, sq.THRESHOLDS_M3_SQL),
+    "accuracy_by_model": (sq.accuracy_by_model, sq.ACCURACY_BY_MODEL_SQL),
+    "class_weights": (sq.class_weights, sq.CLASS_WEIGHTS_SQL),
+    "blend_means": (sq.blend_means, sq.BLEND_MEANS_SQL),
+    "blend_linear_grid": (sq.blend_linear_grid, sq.BLEND_LINEAR_GRID_SQL),
+    "blend_linear_best": (sq.blend_linear_best, sq.BLEND_LINEAR_BEST_SQL),
+    "blend_logit_grid": (sq.blend_logit_grid, sq.BLEND_LOGIT_GRID_SQL),
+    "blend_logit_best": (sq.blend_logit_best, sq.BLEND_LOGIT_BEST_SQL),
+    "blend_simplex": (sq.blend_simplex, sq.BLEND_SIMPLEX_SQL),
+    "meta_blend": (sq.meta_blend, sq.META_BLEND_SQL),
+    "seed_trim": (sq.seed_trim, sq.SEED_TRIM_SQL),
+    "hp_objective": (sq.hp_objective, sq.HP_OBJECTIVE_SQL),
+    "pseudo_labels": (sq.pseudo_labels, sq.PSEUDO_LABELS_SQL),
+    "topic_calibration": (sq.topic_calibration, sq.TOPIC_CALIBRATION_SQL),
+    "post_variants": (sq.post_variants, sq.POST_VARIANTS_SQL),
+    "output_validation": (sq.output_validation, sq.OUTPUT_VALIDATION_SQL),
+    "profile_lengths": (sq.profile_lengths, sq.PROFILE_LENGTHS_SQL),
+    "class_distribution": (sq.class_distribution, sq.CLASS_DISTRIBUTION_SQL),
+    "topic_frequency": (sq.topic_frequency, sq.TOPIC_FREQUENCY_SQL),
+    "describe_applications": (sq.describe_applications, sq.DESCRIBE_APPLICATIONS_SQL),
+    "score_summary": (sq.score_summary, sq.SCORE_SUMMARY_SQL),
+    "isotonic_calibration": (sq.isotonic_calibration, None),
 }
 
 

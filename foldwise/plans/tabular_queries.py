@@ -171,31 +171,31 @@ for _c in CATS:
 TE_FIT_TRANSFORM_SQL = (f"with {APP}, tr as (select * from app where split = 'train'), te as (select * from app where split = 'test') "
                         f"select id, {', '.join(_FT)} from te")
 
-_NEST_TRAIN = kfold_sql(kfold_sql('select * from feats', K_OUTER, SEED, label=TARGET, out="outer"),
-                        K_INNER, SEED + 1, out="inner")
+_NEST_TRAIN = kfold_sql(kfold_sql('select * from feats', K_OUTER, SEED, label=TARGET, out="ofold"),
+                        K_INNER, SEED + 1, out="ifold")
 _NCASTS = ", ".join(f"cast({c} as varchar) {c}" for c in BASE_TE_COL)
 TE_NESTED_SQL = f"""with {FEATS},
 nt as (select * from ({_NEST_TRAIN}) z),
-os as (select distinct outer o from nt),
-x as (select os.o, nt.id, nt.outer, nt.inner, nt.{TARGET} y, {', '.join('nt.' + c for c in BASE_TE_COL)} from os join nt on true),
-xc as (select o, id, outer, inner, y, {_NCASTS} from x),
+os as (select distinct ofold o from nt),
+x as (select os.o, nt.id, nt.ofold, nt.ifold, nt.{TARGET} y, {', '.join('nt.' + c for c in BASE_TE_COL)} from os join nt on true),
+xc as (select o, id, ofold, ifold, y, {_NCASTS} from x),
 u as (unpivot xc on {', '.join(BASE_TE_COL)} into name col value key),
--- train role: rows with outer <> o, leave-inner-fold-out over the outer train part
-ut as (select * from u where outer <> o),
-ks as (select distinct o, inner k from ut),
+-- train role: rows with ofold <> o, leave-ifold-fold-out over the ofold train part
+ut as (select * from u where ofold <> o),
+ks as (select distinct o, ifold k from ut),
 tp as (select ks.o, ks.k, ut.col, ut.key, count(*) n, avg(ut.y) mu, var_samp(ut.y) v
-       from ks join ut on ut.o = ks.o and ut.inner <> ks.k group by all),
-g as (select ks.o, ks.k, avg(nt.{TARGET}) g from ks join nt on nt.outer <> ks.o and nt.inner <> ks.k group by ks.o, ks.k),
+       from ks join ut on ut.o = ks.o and ut.ifold <> ks.k group by all),
+g as (select ks.o, ks.k, avg(nt.{TARGET}) g from ks join nt on nt.ofold <> ks.o and nt.ifold <> ks.k group by ks.o, ks.k),
 m as (select o, k, col, case when var_samp(mu) > 0 then avg(v) / greatest(var_samp(mu), 1e-9) else 0e0 end m
       from tp group by o, k, col),
 enc_t as (select ut.o, ut.id, 'train' role, ut.col, coalesce((tp.n * tp.mu + m.m * g.g) / (tp.n + m.m), g.g) te
-          from ut join g on g.o = ut.o and g.k = ut.inner left join m on m.o = ut.o and m.k = ut.inner and m.col = ut.col
-          left join tp on tp.o = ut.o and tp.k = ut.inner and tp.col = ut.col and tp.key = ut.key),
--- valid role: rows with outer = o, plain mean over the whole outer train part
+          from ut join g on g.o = ut.o and g.k = ut.ifold left join m on m.o = ut.o and m.k = ut.ifold and m.col = ut.col
+          left join tp on tp.o = ut.o and tp.k = ut.ifold and tp.col = ut.col and tp.key = ut.key),
+-- valid role: rows with ofold = o, plain mean over the whole ofold train part
 mp as (select o, col, key, avg(y) mu from ut group by all),
-gv as (select os.o, avg(nt.{TARGET}) g from os join nt on nt.outer <> os.o group by os.o),
+gv as (select os.o, avg(nt.{TARGET}) g from os join nt on nt.ofold <> os.o group by os.o),
 enc_v as (select u.o, u.id, 'valid' role, u.col, coalesce(mp.mu, gv.g) te
-          from u join gv on gv.o = u.o left join mp on mp.o = u.o and mp.col = u.col and mp.key = u.key where u.outer = u.o),
+          from u join gv on gv.o = u.o left join mp on mp.o = u.o and mp.col = u.col and mp.key = u.key where u.ofold = u.o),
 enc as (select * from enc_t union all select * from enc_v)
 pivot (select id, o outer_fold, role, 'TE_' || col || '_mean' c, round(te, 6) te from enc) on c using first(te)
 group by id, outer_fold, role"""

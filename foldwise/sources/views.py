@@ -143,3 +143,39 @@ def scores_sql(n_models: int = 3, stretch: float = 0.0) -> str:
 
 
 SCORES_SQL = scores_sql()
+
+
+def test_scores(spark: SparkSession, sf_dir: str, n_models: int = 3) -> DataFrame:
+    """Scores for the unlabelled (test) documents: ``(id, model, p)``, p uniform from md5 (4 decimals)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    t = docs.join(labels, "doc_id", "left_anti")
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("model").cast("string"), F.lit("test"),
+                                             F.col("doc_id").cast("string"))), 1, 8), 16, 10)
+    return t.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(n_models))).alias("model")).select(
+        F.col("doc_id").alias("id"), "model", F.round(h.cast("double") / F.lit(4294967296.0), 4).alias("p"))
+
+
+def test_scores_sql(n_models: int = 3) -> str:
+    return ("select d.doc_id id, m model, round(cast(('0x'||substr(md5(concat(m, '|test|', d.doc_id)),1,8))::BIGINT as double)"
+            " / 4294967296e0, 4) p from documents d cross join (select range m from range(1, "
+            f"{n_models + 1})) x where d.doc_id not in (select doc_id from labels)")
+
+
+def seed_scores(spark: SparkSession, sf_dir: str, n_models: int = 3, n_seeds: int = 3) -> DataFrame:
+    """Like ``scores`` with a seed dimension: the seed enters the hashed string."""
+    labels = table(spark, sf_dir, "labels")
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("model").cast("string"), F.col("seed").cast("string"),
+                                             F.col("doc_id").cast("string"))), 1, 8), 16, 10)
+    p = F.round(F.lit(0.5) * h.cast("double") / F.lit(4294967296.0) + F.lit(0.25)
+                + F.lit(0.1) * F.col("model") * (F.col("quality") - F.lit(0.5)), 4)
+    t = labels.select("doc_id", "quality", F.explode(F.sequence(F.lit(1), F.lit(n_models))).alias("model"))
+    t = t.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_seeds))).alias("seed"))
+    return t.select(F.col("doc_id").alias("id"), "model", "seed", F.col("quality").alias("y"), p.alias("p"))
+
+
+def seed_scores_sql(n_models: int = 3, n_seeds: int = 3) -> str:
+    return ("select l.doc_id id, m model, s seed, quality y, round(0.5e0 * cast(('0x'||substr(md5(concat(m,'|',s,'|',l.doc_id)),1,8))::BIGINT"
+            " as double) / 4294967296e0 + 0.25e0 + 0.1e0*m*(quality-0.5e0), 4) p "
+            f"from labels l cross join (select range m from range(1, {n_models + 1})) x "
+            f"cross join (select range s from range(1, {n_seeds + 1})) z")
