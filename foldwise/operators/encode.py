@@ -100,10 +100,11 @@ def _var(n: Column, s: Column, ss: Column) -> Column:
     return F.when(n > 1, (ss - s * s / n) / (n - 1))
 
 
-def oof_mapping(df: DataFrame, cols: Sequence[str], y: str, fold: str, smooth: str | float = "auto") -> tuple[DataFrame, DataFrame]:
+def oof_mapping(df: DataFrame, cols: Sequence[str], y: str, fold: str,
+                smooth: str | float = "auto") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Leave-fold-out encodings in long form.
 
-    Returns ``(enc(column, key, fold, te), fold_globals(fold, g))`` where
+    Returns ``(enc(column, key, fold, te), fold_globals(fold, g), key_stats)`` where
     ``te`` is the smoothed train-part mean of ``key`` for rows of ``fold``
     (null when the key is absent from the train part or smoothing is
     undefined) and ``g`` the train-part mean of ``y``.
@@ -158,7 +159,7 @@ def oof_mapping(df: DataFrame, cols: Sequence[str], y: str, fold: str, smooth: s
     ms = ms.join(F.broadcast(fg), fold)  # columns * k rows
     te = F.when(F.col("n1") > 0, (F.col("s1") + F.col("m") * F.col("g")) / (F.col("n1") + F.col("m")))
     enc = kw.join(F.broadcast(ms), ["column", fold]).select("column", "key", fold, te.alias("te"))
-    return enc, fg
+    return enc, fg, kw
 
 
 # Up to this many encoded columns are attached by one broadcast join each
@@ -182,9 +183,8 @@ def target_encode_oof(df: DataFrame, cols: Sequence[str], y: str, fold: str, id_
                       drop_original: bool = False, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """TE-3: add ``TE_<col>_mean`` = leave-fold-out smoothed mean; missing -> that fold's global mean."""
     df = materialize(df)  # read by the unpivot, the fold totals and the final join
-    enc, fg = oof_mapping(df, cols, y, fold, smooth)
-    enc = enc.persist(StorageLevel.MEMORY_AND_DISK)
-    n_enc = enc.count()
+    enc, fg, kw = oof_mapping(df, cols, y, fold, smooth)
+    n_enc = kw.count()  # one row per (column, key, fold) present; kw is already materialised
     small = n_enc <= max_broadcast_rows
     out = df.join(F.broadcast(fg.withColumnRenamed("g", "_g")), fold, "left")  # k rows
     if small and len(cols) <= MAX_PER_COLUMN_JOINS:

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hex_bucket
-from .joins import lookup_join
 
 
 def rank_by_hash(df: DataFrame, part_cols: Sequence[str], hash_col: str, tie_col: str,
@@ -40,7 +39,8 @@ def rank_by_hash(df: DataFrame, part_cols: Sequence[str], hash_col: str, tie_col
     offs = offs.drop("_n")
     within = Window.partitionBy(*part_cols, "_hb").orderBy(hash_col, tie_col)
     t = t.withColumn("_rn", F.row_number().over(within) - 1)
-    j = lookup_join(t, offs, [*part_cols, "_hb"], "inner")
+    # offsets: at most |part| * 4096 rows (parts are classes / seeds), so the broadcast is bounded
+    j = t.join(F.broadcast(offs), [*part_cols, "_hb"], "inner")
     j = j.withColumn(out, F.col("_off") + F.col("_rn"))
     if out_global:
         j = j.withColumn(out_global, F.col("_off_all") + F.col("_rn")).drop("_off_all")

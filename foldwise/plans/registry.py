@@ -11,6 +11,7 @@ from . import text_queries as tq
 from . import tfidf_queries as fq
 from . import tabular_queries as tb
 from . import score_queries as sq
+from . import model_queries as mq
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +59,24 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "describe_applications": (sq.describe_applications, sq.DESCRIBE_APPLICATIONS_SQL),
     "score_summary": (sq.score_summary, sq.SCORE_SUMMARY_SQL),
     "isotonic_calibration": (sq.isotonic_calibration, None),
+    "folds_group": (mq.folds_group, mq.FOLDS_GROUP_SQL),
+    "folds_repeated": (mq.folds_repeated, mq.FOLDS_REPEATED_SQL),
+    "folds_tuning_final": (mq.folds_tuning_final, mq.FOLDS_TUNING_FINAL_SQL),
+    "standardize_meta": (mq.standardize_meta, mq.STANDARDIZE_META_SQL),
+    "embedding_means": (mq.embedding_means, mq.EMBEDDING_MEANS_SQL),
+    "embedding_lookup": (mq.embedding_lookup, mq.EMBEDDING_LOOKUP_SQL),
+    "mi_screen": (mq.mi_screen, mq.MI_SCREEN_SQL),
+    "text_lexicon": (mq.text_lexicon, mq.TEXT_LEXICON_SQL),
+    "text_inputs": (mq.text_inputs, mq.TEXT_INPUTS_SQL),
+    "importance_rollup": (mq.importance_rollup, mq.IMPORTANCE_ROLLUP_SQL),
+    "cv_logistic_meta": (mq.cv_logistic_meta, None),
+    "cv_forest_meta": (mq.cv_forest_meta, None),
+    "cv_gbt_tabular": (mq.cv_gbt_tabular, None),
+    "stack_scores": (mq.stack_scores, None),
+    "permutation_importance_gbt": (mq.permutation_importance_gbt, None),
+    "pseudo_refit": (mq.pseudo_refit, None),
+    "hp_search": (mq.hp_search, None),
+    "svd_tfidf": (mq.svd_tfidf, None),
 }
 
 
