@@ -45,7 +45,7 @@ def test_readability_and_case(feats):
 
 
 def test_consecutive_duplicates(spark):
-    df = spark.createDataFrame([(1, "the The cat cat. dog")], "id long, answer string")
+    df = spark.createDataFrame([(1, "the The cat cat dog cat.")], "id long, answer string")
     r = TS.style_features(df, "answer", ["id"], ["readability"]).first()
     assert r["consecutive_duplicates"] == 2
 
