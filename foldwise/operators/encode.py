@@ -239,13 +239,18 @@ def factorize(df: DataFrame, cols: Sequence[str], order_cols: Sequence[str], suf
               max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Codes in order of first appearance under ``order_cols`` (e.g. split rank, id).
 
-    One aggregate over all columns: ``min(order)`` per (column, value), then
-    ``dense_rank - 1`` per column over the distinct values (a per-column
-    window over the value table, not over rows). Codes are joined back by
-    broadcast when a column's value table is under the bound, else by a
-    shuffle join.
+    One aggregate over all columns: the smallest order key per (column,
+    value), then ``row_number - 1`` per column over the distinct values (a
+    per-column window over the value table, not over rows). Integral order
+    columns are packed into one long (hash aggregation with partial
+    aggregation); the first column gets the high bits, the last the low 44
+    bits (ids below 2^44). Codes are joined back by broadcast when a
+    column's value table is under the bound, else by a shuffle join.
     """
-    order = F.struct(*[F.col(c) for c in order_cols])
+    order = F.lit(0).cast("long")
+    for i, c in enumerate(order_cols):
+        shift = 44 * (len(order_cols) - 1 - i)
+        order = order + F.shiftleft(F.col(c).cast("long"), shift)
     long = df.select(order.alias("_o"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), key_expr(c).alias("key")) for c in cols])).alias("_kv")
     ).select("_o", "_kv.column", "_kv.key").where(F.col("key").isNotNull())
@@ -255,9 +260,11 @@ def factorize(df: DataFrame, cols: Sequence[str], order_cols: Sequence[str], suf
     sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for c in cols:
-        m = codes.where(F.col("column") == c).select(F.col("key").alias("_k"), F.col("code").alias("_code"))
+        m = codes.where(F.col("column") == c).select(F.col("key").alias(f"_k_{c}"), F.col("code").alias(f"_c_{c}"))
         if sizes.get(c, 0) <= max_broadcast_rows:
             m = F.broadcast(m)
-        out = (out.join(m, key_expr(c) == F.col("_k"), "left")
-               .withColumn(f"{c}{suffix}", F.coalesce(F.col("_code"), F.lit(-1)).cast("int")).drop("_k", "_code"))
-    return out
+        out = out.join(m, key_expr(c) == F.col(f"_k_{c}"), "left")
+    names = {f"{c}{suffix}" for c in cols}
+    keep = [c for c in df.columns if c not in names]  # suffix '' replaces the original columns
+    return out.select(*keep, *[F.coalesce(F.col(f"_c_{c}"), F.lit(-1)).cast("int").alias(f"{c}{suffix}")
+                               for c in cols])
