@@ -26,9 +26,17 @@ def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+NON_WS_RUN = f"({NON_WS}+)"
+
+
 def words(t: Column) -> Column:
-    """W: Python ``str.split()``: whitespace runs, no empty pieces."""
-    return F.filter(F.split(t, WS_RUN), lambda w: w != "")
+    """W: Python ``str.split()``: the maximal runs of non-whitespace characters.
+
+    ``regexp_extract_all`` with a literal pattern compiles it once per
+    expression; ``split`` goes through ``String.split`` and would compile
+    the pattern again for every call (every sentence inside a lambda).
+    """
+    return F.regexp_extract_all(t, F.lit(NON_WS_RUN), 1)
 
 
 def lower_words(t: Column) -> Column:
@@ -46,7 +54,7 @@ def lengths(arr: Column) -> Column:
 
 
 def sentence_word_counts(sents: Column) -> Column:
-    return F.transform(sents, lambda s: F.size(words(s)))
+    return F.transform(sents, lambda s: F.regexp_count(s, F.lit(NON_WS_RUN)))
 
 
 def arr_sum(arr: Column) -> Column:
@@ -101,4 +109,4 @@ def count_matches(t: Column, pattern: str) -> Column:
 
 
 def first_token(s: Column) -> Column:
-    return F.get(words(s), 0)
+    return F.regexp_extract(s, NON_WS_RUN, 1)

@@ -72,3 +72,22 @@ def test_topic_onehot_unseen_topic(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "z")], "id long, topic string")
     out = TS.topic_onehot(df, "topic", ["a", "b"]).orderBy("id").collect()
     assert [(r["topic_a"], r["topic_b"]) for r in out] == [(1, 0), (0, 1), (0, 0)]
+
+
+def test_benford_punct_positions_match_brute_force(spark):
+    import math as m
+    from foldwise.operators import digitlaw as D
+
+    text = ("a.b,c;" * 40) + "x" * 2000 + "!?" * 7
+    pos = [i for i, c in enumerate(text) if c in ".,;:!?" and i > 0]
+    counts = [sum(1 for p in pos if int(str(p)[0]) == d) for d in range(1, 10)]
+    df = spark.createDataFrame([(1, text)], "id long, t string")
+    got = df.select(*[c.alias(f"c{i}") for i, c in enumerate(D.punct_digit_counts(F.col("t")))]).first()
+    assert [got[f"c{i}"] for i in range(9)] == counts
+    old = D.MAX_MAGNITUDE
+    try:
+        D.MAX_MAGNITUDE = 1  # force the tail pass for positions >= 100
+        got = df.select(*[c.alias(f"c{i}") for i, c in enumerate(D.punct_digit_counts(F.col("t")))]).first()
+        assert [got[f"c{i}"] for i in range(9)] == counts
+    finally:
+        D.MAX_MAGNITUDE = old
