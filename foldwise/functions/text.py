@@ -87,7 +87,7 @@ def with_value_counts(df: DataFrame, arr_col: str, prefix: str) -> DataFrame:
     intermediate array is its own column, so it is computed once per row.
     """
     s, m, st = f"{prefix}_s", f"{prefix}_m", f"{prefix}_st"
-    df = df.withColumn(s, F.array_sort(F.col(arr_col)))
+    df = df.withColumn(s, F.sort_array(F.col(arr_col)))
     df = df.withColumn(m, run_mask(F.col(s)))
     df = df.withColumn(st, F.filter(F.transform(F.col(m), lambda b, i: F.when(b, i).otherwise(F.lit(-1))),
                                     lambda i: i >= 0))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -68,29 +69,33 @@ def word_ngrams(tok_col: str, n_min: int, n_max: int) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def _padded_grams(n: int):
-    """One-argument lambda (a second parameter would be bound to the element index)."""
-    def grams(w: Column) -> Column:
-        L = F.length(w) + 2
-        return F.when(L >= n, F.transform(F.sequence(F.lit(1), L - n + 1),
-                                          lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, n))) \
-            .otherwise(F.array().cast("array<string>"))
-    return grams
+def padded_words(t: Column) -> Column:
+    """Lower-cased words, each padded with one space on both sides."""
+    return F.transform(T.words(F.lower(t)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
 
-def char_wb_ngrams(t: Column, n_min: int, n_max: int) -> Column:
-    """Character n-grams inside words padded with one space each side (lower-cased text).
+def char_wb_ngrams(pw_col: str, n_min: int, n_max: int) -> Column:
+    """Character n-grams inside words padded with one space each side.
 
-    For each padded word of length L and each n <= L, every substring of
-    length n; n > L gives nothing (a padded word of length n is emitted once).
+    ``pw_col`` holds ``padded_words``. For each padded word of length L and
+    each n <= L, every substring of length n; n > L gives nothing (a padded
+    word of length n is emitted once). Substrings are taken on the short
+    padded words: a character position in a UTF-8 string is found by a scan
+    from its start, so windows over a whole document would be quadratic.
     """
-    ws = T.words(F.lower(t))
-    parts = []
-    for n in range(n_min, n_max + 1):
-        parts.append(F.flatten(F.transform(ws, _padded_grams(n))))
+    parts = [F.flatten(F.transform(F.col(pw_col), _grams_of(n))) for n in range(n_min, n_max + 1)]
     return F.concat(*parts)
 
 
+def _grams_of(n: int):
+    """One-argument lambda (a second parameter would be bound to the element index)."""
+    def grams(pw: Column) -> Column:
+        L = F.length(pw)
+        return F.when(L >= n, F.transform(F.sequence(F.lit(1), L - n + 1), lambda i: F.substring(pw, i, n))) \
+            .otherwise(F.array().cast("array<string>"))
+    return grams
+
+
 # ---------------------------------------------------------------- long tables
 
 def doc_terms(df: DataFrame, id_col: str, terms: Column, keep: Sequence[str] = ()) -> DataFrame:
@@ -142,11 +147,16 @@ def tfidf_transform(dt: DataFrame, vocab: DataFrame, id_col: str = "id", subline
 def tfidf_fit_transform(fit_docs: DataFrame, all_docs: DataFrame, terms: Column, id_col: str = "id",
                         min_df: int = 1, max_df: float = 1.0, max_features: int | None = None,
                         sublinear: bool = False, binary: bool = False) -> DataFrame:
-    """Fit vocabulary and idf on ``fit_docs``; weight ``all_docs`` (TF-1/TF-2/TF-3 with folds=None)."""
-    dt_fit = doc_terms(fit_docs, id_col, terms)
-    n = fit_docs.count()
+    """Fit vocabulary and idf on ``fit_docs``; weight ``all_docs`` (TF-1/TF-2/TF-3 with folds=None).
+
+    ``fit_docs`` must be a subset of ``all_docs`` (same ids): the document
+    terms are built once for all documents and the fit part is a semi join.
+    """
+    dt_all = materialize(doc_terms(all_docs, id_col, terms))  # read by the fit and the transform
+    fit_ids = fit_docs.select(id_col)
+    dt_fit = dt_all.join(fit_ids, id_col, "left_semi")
+    n = fit_ids.count()
     vocab = fit_vocabulary(dt_fit, n, min_df, max_df, max_features)
-    dt_all = doc_terms(all_docs, id_col, terms)
     return tfidf_transform(dt_all, vocab, id_col, sublinear, binary)
 
 

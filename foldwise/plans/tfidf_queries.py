@@ -48,9 +48,13 @@ def tfidf_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tfidf_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, train = _docs(spark, sf_dir)
-    terms = TF.char_wb_ngrams(F.coalesce(F.col("answer"), F.lit("")), *CHAR["n"])
-    out = TF.tfidf_fit_transform(train, docs, terms, "id", CHAR["min_df"], CHAR["max_df"], CHAR["max_features"],
-                                 CHAR["sublinear"])
+
+    def padded(d):
+        return d.withColumn("_pw", TF.padded_words(F.coalesce(F.col("answer"), F.lit(""))))
+
+    terms = TF.char_wb_ngrams("_pw", *CHAR["n"])
+    out = TF.tfidf_fit_transform(padded(train), padded(docs), terms, "id", CHAR["min_df"], CHAR["max_df"],
+                                 CHAR["max_features"], CHAR["sublinear"])
     return finish(out)
 
 
