@@ -123,11 +123,35 @@ def fit_vocabulary(dt: DataFrame, n_docs: Column | int, min_df: int = 1, max_df:
     elif isinstance(max_df, int):
         st = st.where(F.col("df") <= max_df)
     if max_features is not None:
-        w = Window.partitionBy(*by).orderBy(F.col("ctf").desc(), F.col("term"))
-        st = st.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_features).drop("_r")
+        st = top_terms(st, max_features, by)
     return st.withColumn("idf", F.log((F.lit(1.0) + nd) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).drop("ctf")
 
 
+def top_terms(st: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` terms with the largest corpus count (ties by term), per ``by`` group.
+
+    ``orderBy().limit(n)`` keeps a top-n per task and merges at most
+    ``n * tasks`` rows; a ``row_number`` window would sort every candidate
+    term of a group in one task once ``n`` exceeds Spark's window group-limit
+    threshold (1000). Groups (folds) are few: one limited query each.
+    """
+    order = [F.col("ctf").desc(), F.col("term")]
+    if not by:
+        return st.orderBy(*order).limit(n)
+    keys = [tuple(r) for r in st.select(*by).distinct().collect()]  # k groups
+    parts = []
+    for key in keys:
+        cond = None
+        for c, v in zip(by, key):
+            e = F.col(c) == F.lit(v)
+            cond = e if cond is None else cond & e
+        parts.append(st.where(cond).orderBy(*order).limit(n))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def tfidf_transform(dt: DataFrame, vocab: DataFrame, id_col: str = "id", sublinear: bool = False,
                     binary: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """``(id, by..., term, tfidf)`` L2-normalised per document over vocabulary terms.
@@ -198,8 +222,7 @@ def tfidf_by_fold(docs: DataFrame, terms: Column, fold_col: str, id_col: str = "
     if isinstance(max_df, float) and max_df < 1.0:
         st = st.where(F.col("df") <= F.lit(max_df) * F.col("n_train"))
     if max_features is not None:
-        w = Window.partitionBy(fold_col).orderBy(F.col("ctf").desc(), F.col("term"))
-        st = st.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_features).drop("_r")
+        st = top_terms(materialize(st), max_features, [fold_col])
     vocab = st.withColumn("idf", F.log((F.lit(1.0) + F.col("n_train")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
     return tfidf_transform(dt.select(id_col, fold_col, "term", "tf"), vocab.select(fold_col, "term", "idf"),
                            id_col, sublinear, by=[fold_col])

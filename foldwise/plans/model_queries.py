@@ -14,6 +14,7 @@ from ..operators import select as SE
 from ..operators import textstyle as TS
 from ..operators import tfidf as TF
 from ..operators.encode import factorize
+from ..operators.joins import lookup_join
 from ..operators.folds import group_kfold, kfold, kfold_sql, repeated_stratified_kfold, stratified_kfold
 from ..operators.metrics import auc, auc_sql
 from ..session import materialize
@@ -183,8 +184,8 @@ def text_lexicon(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("q"))
     lex = (dt.join(lab, "id").groupBy("term").agg(F.avg("q").alias("_m"), F.count(F.lit(1)).alias("_df"))
            .where(F.col("_df") >= 5).select("term", (F.lit(2.0) * F.col("_m") - F.lit(1.0)).alias("polarity")))
-    # the lexicon has one row per word of the vocabulary: joined by a shuffle join on term
-    j = dt.join(lex, "term")
+    # one row per lexicon word: broadcast after a size check, else a shuffle join (AQE splits hot terms)
+    j = lookup_join(dt, lex, "term", "inner")
     s = j.groupBy("id").agg((F.sum(F.col("tf") * F.col("polarity")) / F.sum("tf")).alias("_pol"),
                             (F.sum(F.col("tf") * F.abs("polarity")) / F.sum("tf")).alias("_subj"))
     out = docs.select("id").join(s, "id", "left")
