@@ -27,16 +27,39 @@ def text_or_empty(c: str | Column) -> Column:
 
 
 NON_WS_RUN = f"({NON_WS}+)"
+# The same whitespace set as WS_BODY, as characters, without the plain space.
+WS_OTHER = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
+def normalize_ws(t: Column) -> Column:
+    """Every whitespace character becomes a plain space (a native per-character mapping)."""
+    return F.translate(t, WS_OTHER, " " * len(WS_OTHER))
 
 
 def words(t: Column) -> Column:
     """W: Python ``str.split()``: the maximal runs of non-whitespace characters.
 
-    ``regexp_extract_all`` with a literal pattern compiles it once per
-    expression; ``split`` goes through ``String.split`` and would compile
-    the pattern again for every call (every sentence inside a lambda).
+    Whitespace is mapped to spaces, split on one space (Java's single
+    character fast path, no regex) and the empty pieces between adjacent
+    spaces are dropped with ``array_remove`` (native, no lambda).
     """
-    return F.regexp_extract_all(t, F.lit(NON_WS_RUN), 1)
+    return words_normalized(normalize_ws(t))
+
+
+def words_normalized(tn: Column) -> Column:
+    """W of a text whose whitespace is already plain spaces."""
+    return F.array_remove(F.split(tn, " "), "")
+
+
+def sentences_normalized(tn: Column) -> Column:
+    """S of a whitespace-normalised text: pieces of ``[.!?]+`` holding a non-space character."""
+    return F.filter(F.split(tn, SENT_SPLIT), lambda s: s.rlike("[^ ]"))
+
+
+def first_token_normalized(s: Column) -> Column:
+    """First word of a whitespace-normalised piece holding a non-space character."""
+    return F.substring_index(F.trim(s), " ", 1)
 
 
 def lower_words(t: Column) -> Column:
@@ -54,7 +77,8 @@ def lengths(arr: Column) -> Column:
 
 
 def sentence_word_counts(sents: Column) -> Column:
-    return F.transform(sents, lambda s: F.regexp_count(s, F.lit(NON_WS_RUN)))
+    """Words per sentence of whitespace-normalised sentences."""
+    return F.transform(sents, lambda s: F.size(words_normalized(s)))
 
 
 def arr_sum(arr: Column) -> Column:
@@ -109,4 +133,4 @@ def count_matches(t: Column, pattern: str) -> Column:
 
 
 def first_token(s: Column) -> Column:
-    return F.regexp_extract(s, NON_WS_RUN, 1)
+    return F.element_at(words(s), 1)

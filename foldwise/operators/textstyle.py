@@ -44,11 +44,14 @@ TITLE_WORD = r"^[^\p{L}]*(\p{Lu}\p{Ll}*[^\p{L}]+)*\p{Lu}\p{Ll}*[^\p{L}]*$"
 
 
 def tokenize(df: DataFrame, text_col: str = "answer", keep: Sequence[str] = ("id",)) -> DataFrame:
-    """Add ``_t`` (text, null -> ''), ``_w`` (W), ``_l`` (L), ``_s`` (S) and ``_sl`` (words per sentence)."""
+    """Add ``_t`` (text, null -> ''), ``_w`` (W), ``_l`` (L), ``_s`` (S, whitespace-normalised) and ``_sl``
+    (words per sentence). Whitespace is mapped to plain spaces once per document."""
     t = T.text_or_empty(text_col)
     base = df.select(*keep, t.alias("_t"))
-    base = base.select(*keep, "_t", T.words(F.col("_t")).alias("_w"), T.lower_words(F.col("_t")).alias("_l"),
-                       T.sentences(F.col("_t")).alias("_s"))
+    base = base.select(*keep, "_t", T.normalize_ws(F.col("_t")).alias("_tn"))
+    base = base.select(*keep, "_t", T.words_normalized(F.col("_tn")).alias("_w"),
+                       T.words_normalized(F.lower(F.col("_tn"))).alias("_l"),
+                       T.sentences_normalized(F.col("_tn")).alias("_s"))
     return base.withColumn("_sl", T.sentence_word_counts(F.col("_s")))
 
 
@@ -109,7 +112,7 @@ def sentences_family() -> list[Column]:
     var = F.when(ns > 1, T.pop_var(sl)).otherwise(F.lit(0.0))
     sc = T.count_matches(F.col("_t"), T.SENT_SPLIT)
     avg_sent = wc / (sc + 1)
-    starts = F.size(F.array_distinct(F.transform(F.col("_s"), lambda s: F.lower(T.first_token(s)))))
+    starts = F.size(F.array_distinct(F.transform(F.col("_s"), lambda s: F.lower(T.first_token_normalized(s)))))
     wl = _wlen()
     return [
         var.alias("sentence_length_variance"),
