@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import DEFAULT_BROADCAST_ROWS, materialize
+from .metrics import global_row_rank
 
 NULL_KEY = None
 
@@ -255,8 +256,9 @@ def factorize(df: DataFrame, cols: Sequence[str], order_cols: Sequence[str], suf
         F.struct(F.lit(c).alias("column"), key_expr(c).alias("key")) for c in cols])).alias("_kv")
     ).select("_o", "_kv.column", "_kv.key").where(F.col("key").isNotNull())
     first = long.groupBy("column", "key").agg(F.min("_o").alias("_o"))
-    codes = first.withColumn("code", F.row_number().over(Window.partitionBy("column").orderBy("_o")) - 1)
-    codes = codes.persist(StorageLevel.MEMORY_AND_DISK)
+    # first-appearance keys are distinct within a column: two-level rank (no task holds a column's values)
+    codes = global_row_rank(first, "_o", out="code", by=["column"])
+    codes = materialize(codes)
     sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for c in cols:

@@ -126,18 +126,18 @@ def youden_threshold(roc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def prevalence_threshold(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     """ME-6: the ``1 - positive rate`` quantile of the scores (linear interpolation, numpy default).
 
-    The fraction is data dependent: it is a one-row table, and the quantile
-    is interpolated between the two ranked scores around ``q*(n-1)``.
+    The fraction is data dependent: it is a one-row table; the quantile is
+    read from the distinct-score position ranges (see ``exact_quantiles``).
     """
     stats = df.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(label).cast("double")).alias("_rate"))
-    pos = stats.select(((F.lit(1.0) - F.col("_rate")) * (F.col("_n") - 1)).alias("_x"))
-    ranked = global_row_rank(df.select(score), score)
-    ends = pos.select("_x", F.explode(F.array(F.floor("_x").cast("long"), F.ceil("_x").cast("long"))).alias("_r")).distinct()
-    lo_hi = ranked.join(F.broadcast(ends), "_r")  # at most two rows: an equi-join on the rank
-    return lo_hi.agg(
-        (F.min(score) + (F.max(score) - F.min(score)) * (F.first("_x") - F.floor(F.first("_x")))).alias(
-            "prevalence_threshold")
-    )
+    x = stats.select(((F.lit(1.0) - F.col("_rate")) * (F.col("_n") - 1)).alias("_x"))
+    pos = value_positions(df, score)
+    lo = _value_at(pos, x.select("_x", F.floor("_x").cast("long").alias("_pos")), []).select(
+        "_x", F.col("_pos").alias("_plo"), F.col("_v").alias("_vlo"))
+    hi = _value_at(pos, x.select(F.ceil("_x").cast("long").alias("_pos")), []).select(F.col("_v").alias("_vhi"))
+    j = lo.crossJoin(hi)  # one row each
+    return j.select((F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_x") - F.col("_plo")))
+                    .alias("prevalence_threshold"))
 
 
 def global_row_rank(df: DataFrame, score: str, n_buckets: int | None = None, out: str = "_r",
@@ -157,30 +157,53 @@ def global_row_rank(df: DataFrame, score: str, n_buckets: int | None = None, out
     return rb.join(F.broadcast(offs), [*by, "_b"]).withColumn(out, F.col("_off") + F.col("_rn")).drop("_off", "_rn", "_b")
 
 
+def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+    """``(*by, _v, _lo, _hi)``: each distinct value with the 0-based positions it occupies in the sorted
+    multiset of its group. Rows are first folded to (value, count) with partial aggregation, so a value
+    held by a third of the rows is one row; counts are prefix-summed in two levels (value-range buckets)."""
+    by = list(by)
+    dist = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()) \
+        .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    nb = n_buckets or default_buckets(df)
+    rb = range_bucketed(dist, [*by, "_v"], nb)
+    within = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    rb = rb.withColumn("_in", F.coalesce(F.sum("_c").over(within), F.lit(0)))
+    counts = rb.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
+    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_bc").over(w), F.lit(0))).drop("_bc")  # groups * buckets rows
+    j = rb.join(F.broadcast(offs), [*by, "_b"])
+    lo = F.col("_off") + F.col("_in")
+    return j.select(*by, "_v", lo.alias("_lo"), (lo + F.col("_c") - 1).alias("_hi"))
+
+
+def _value_at(positions: DataFrame, wanted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Join wanted ``(*by, key..., _pos)`` rows (a small table) to the value whose position range holds _pos."""
+    w = wanted.select(*[F.col(c).alias(f"_w_{c}") for c in by], *[c for c in wanted.columns if c not in by])
+    cond = (F.col("_pos") >= F.col("_lo")) & (F.col("_pos") <= F.col("_hi"))
+    for c in by:
+        cond = cond & (F.col(c) == F.col(f"_w_{c}"))
+    return positions.join(F.broadcast(w), cond)  # wanted: groups * quantiles rows
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
                     names: Sequence[str] | None = None) -> DataFrame:
     """Linear-interpolation quantiles (numpy default / ``quantile_cont``) without gathering a group's
-    values in one task: rank rows (two-level), keep only the rows at ``floor``/``ceil`` of
-    ``q * (n - 1)``, interpolate. Returns ``(*by, <name>...)``."""
+    values in one task: distinct values with their position ranges, then the values at ``floor`` and
+    ``ceil`` of ``q * (n - 1)``, interpolated. Returns ``(*by, <name>...)``."""
     by = list(by)
     names = list(names or [f"q{i}" for i in range(len(qs))])
-    v = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    pos = n.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q"))
-                                            for i, q in enumerate(qs)])).alias("_e"), "_n") \
+    pos = value_positions(df, value, by)
+    n = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    want = n.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q"))
+                                             for i, q in enumerate(qs)])).alias("_e"), "_n") \
         .select(*by, "_e.qi", (F.col("_e.q") * (F.col("_n") - 1)).alias("_x"))
-    pos = pos.select(*by, "qi", "_x", F.floor("_x").cast("long").alias("_lo"), F.ceil("_x").cast("long").alias("_hi"))
-    ranked = global_row_rank(v, "_v", by=by)
-    # groups * len(qs) rows
-    # equi-joins on (groups, rank) against groups * len(qs) positions: a hash lookup per row
-    lo = ranked.join(F.broadcast(pos.select(*by, "qi", "_x", "_lo", F.col("_lo").alias("_r"))), [*by, "_r"]) \
-        .select(*by, "qi", "_x", "_lo", F.col("_v").alias("_vlo"))
-    hi = ranked.join(F.broadcast(pos.select(*by, "qi", F.col("_hi").alias("_r"))), [*by, "_r"]) \
-        .select(*by, "qi", F.col("_v").alias("_vhi"))
-    j = lo.join(hi, [*by, "qi"])
-    val = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_x") - F.col("_lo"))
-    res = j.groupBy(*by).agg(*[F.max(F.when(F.col("qi") == i, val)).alias(nm) for i, nm in enumerate(names)])
-    return res
+    lo = want.select(*by, "qi", "_x", F.floor("_x").cast("long").alias("_pos"))
+    hi = want.select(*by, "qi", F.ceil("_x").cast("long").alias("_pos"))
+    vlo = _value_at(pos, lo, by).select(*by, "qi", "_x", F.col("_pos").alias("_plo"), F.col("_v").alias("_vlo"))
+    vhi = _value_at(pos, hi, by).select(*by, "qi", F.col("_v").alias("_vhi"))
+    j = vlo.join(vhi, [*by, "qi"])
+    val = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_x") - F.col("_plo"))
+    return j.groupBy(*by).agg(*[F.max(F.when(F.col("qi") == i, val)).alias(nm) for i, nm in enumerate(names)])
 
 
 def final_threshold(youden: Column, prevalence: Column) -> Column:

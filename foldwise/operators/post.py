@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import lookup_join
+
 
 def clip(c: Column, lo: float, hi: float) -> Column:
     """P-11."""
@@ -62,8 +64,8 @@ def topic_calibration(test: DataFrame, train: DataFrame, topic_col: str = "topic
     stats = (train.where(F.col(topic_col).isNotNull()).groupBy(topic_col)
              .agg(F.avg(F.col(y_col).cast("double")).alias("_tm"), F.count(F.lit(1)).alias("_tc"))
              .where(F.col("_tc") > min_count))
-    # one row per topic: a small table by construction of the topic vocabulary
-    j = test.join(F.broadcast(stats), topic_col, "left")
+    # one row per topic: broadcast after a size check
+    j = lookup_join(test, stats, topic_col, "left")
     p = F.col(p_col)
     up = p * (1 - strength) + clip(p + 0.1, 0.0, 1.0) * strength
     down = p * (1 - strength) + clip(p - 0.1, 0.0, 1.0) * strength

@@ -75,3 +75,16 @@ def test_exact_quantiles(spark):
     row = ME.exact_quantiles(df, "v", qs).first()
     for i, q in enumerate(qs):
         assert row[f"q{i}"] == pytest.approx(float(np.quantile(vals, q)))
+
+
+def test_exact_quantiles_hot_value_and_groups(spark):
+    import numpy as np
+
+    vals = [0.0] * 400 + [float(v) for v in range(1, 101)]  # one value holds most rows
+    rows = [("a", v) for v in vals] + [("b", float(v)) for v in range(7)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = [0.0, 0.5, 0.8, 0.95, 1.0]
+    got = {r["g"]: r for r in ME.exact_quantiles(df, "v", qs, by=["g"]).collect()}
+    for g, xs in (("a", vals), ("b", [float(v) for v in range(7)])):
+        for i, q in enumerate(qs):
+            assert got[g][f"q{i}"] == pytest.approx(float(np.quantile(xs, q)))
