@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from ..session import DEFAULT_BROADCAST_ROWS, materialize
 from .metrics import global_row_rank
 
-NULL_KEY = None
 
 
 def key_expr(c: str) -> Column:
