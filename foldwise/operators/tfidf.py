@@ -234,8 +234,11 @@ def cosine_topic_answer(docs: DataFrame, id_col: str, topic_col: str, answer_col
 
     ``terms_of(col)`` builds the term array of a text column. 0 when either text is blank.
     """
-    ans = doc_terms(docs.select(F.col(id_col).alias("_id"), F.col(answer_col).alias("_x")), "_id", terms_of(F.col("_x")))
-    top = doc_terms(docs.select(F.col(id_col).alias("_id"), F.col(topic_col).alias("_x")), "_id", terms_of(F.col("_x")))
+    # each term table feeds the vocabulary fit and the weighting: built once
+    ans = materialize(doc_terms(docs.select(F.col(id_col).alias("_id"), F.col(answer_col).alias("_x")), "_id",
+                                terms_of(F.col("_x"))))
+    top = materialize(doc_terms(docs.select(F.col(id_col).alias("_id"), F.col(topic_col).alias("_x")), "_id",
+                                terms_of(F.col("_x"))))
     # the corpus is every answer and every topic row (2n documents), as in the reference
     n = docs.count() * 2
     vocab = fit_vocabulary(ans.unionByName(top), n, 1, 1.0, max_features)
