@@ -40,3 +40,16 @@ def test_matches_duckdb(spark, sf_small, name):
     assert sorted(dd.columns) == cols
     want = _norm([tuple(r[c] for c in cols) for r in dd.to_dict("records")])
     assert got == want
+
+
+def _single_partition_inputs(df):
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [lines[i + 1].strip() for i, l in enumerate(lines) if "Exchange SinglePartition" in l]
+
+
+@pytest.mark.parametrize("name", ["te_fold_auc", "auc_by_model_fold", "folds_repeated", "te_fit_transform"])
+def test_single_partition_exchanges_carry_aggregates_only(spark, sf_small, name):
+    """Rows never meet in one task: a single-partition exchange may only move aggregated rows
+    (fold totals, per-bucket counts), never the data rows themselves."""
+    for child in _single_partition_inputs(E.queries()[name](spark, sf_small)):
+        assert "HashAggregate" in child, child
