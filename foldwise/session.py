@@ -30,6 +30,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # checkpoint files of materialised intermediates are deleted once their DataFrame is gone
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -63,7 +65,8 @@ def materialize(df):
     Used where an intermediate table is read by several branches of a plan:
     it is computed once, survives executor loss (files, not executor memory),
     and later plans start from the files instead of re-optimising the whole
-    lineage.
+    lineage. Sessions should set ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    so the files go once the DataFrame is no longer referenced.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
