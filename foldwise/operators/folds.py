@@ -98,5 +98,5 @@ def kfold_sql(source: str, k: int, seed: int = 42, label: str | None = None, id_
               out: str = "fold") -> str:
     """DuckDB oracle text for FO-1 / FO-2 over a relation ``source``."""
     order = f"{label}, _h, {id_col}" if label else f"_h, {id_col}"
-    return (f"select * exclude (_h), cast((row_number() over (order by {order}) - 1) % {k} as integer) {out} "
+    return (f"select * exclude (_h), cast((row_number() over (order by {order}) - 1) % {k} as bigint) {out} "
             f"from (select *, md5(concat('{seed}', '|', cast({id_col} as varchar))) _h from ({source}) s0) s1")

@@ -65,7 +65,7 @@ def auc_sql(source: str, score: str = "p", label: str = "y", by: Sequence[str] =
     part = f"partition by {g} " if by else ""
     grp = f"group by {g}" if by else ""
     return f"""
-      select {gsel}sum(pos) n_pos, sum(neg) n_neg,
+      select {gsel}cast(sum(pos) as bigint) n_pos, cast(sum(neg) as bigint) n_neg,
              case when sum(pos) > 0 and sum(neg) > 0
                   then sum(pos * (nb + 0.5e0 * neg)) / (sum(pos) * sum(neg)) else 0.5e0 end {out}
       from (select *, coalesce(sum(neg) over ({part}order by {score} rows between unbounded preceding and 1 preceding), 0) nb

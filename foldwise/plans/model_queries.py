@@ -123,7 +123,7 @@ def embedding_means(spark, sf_dir):
     return finish(long.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("mean")))
 
 
-EMBEDDING_MEANS_SQL = f"""select label, pos, {r6('avg(cast(x as double))')} mean from (
+EMBEDDING_MEANS_SQL = f"""select cast(label as bigint) label, pos, {r6('avg(cast(x as double))')} mean from (
   select label, unnest(range(len(embedding))) pos, unnest(embedding) x from embeddings) u group by label, pos"""
 
 

@@ -110,7 +110,7 @@ def class_weights(spark, sf_dir):
 
 
 CLASS_WEIGHTS_SQL = f"""with f as ({_FOLDS_SQL}), ks as (select distinct fold from f)
-select ks.fold, f.y, {r6('(select count(*) from f f2 where f2.fold <> ks.fold) / (2e0 * count(*))')} weight
+select ks.fold, cast(f.y as bigint) y, {r6('(select count(*) from f f2 where f2.fold <> ks.fold) / (2e0 * count(*))')} weight
 from ks join f on f.fold <> ks.fold group by ks.fold, f.y"""
 
 
@@ -181,7 +181,7 @@ def _simplex_sql() -> str:
     return ME.auc_sql(src, score="s", label="y", by=["point", "w_p_1", "w_p_2", "w_p_3"])
 
 
-BLEND_SIMPLEX_SQL = f"select point, {r6('w_p_1')} w_p_1, {r6('w_p_2')} w_p_2, {r6('w_p_3')} w_p_3, {r6('auc')} auc from ({_simplex_sql()}) a"
+BLEND_SIMPLEX_SQL = f"select cast(point as bigint) point, {r6('w_p_1')} w_p_1, {r6('w_p_2')} w_p_2, {r6('w_p_3')} w_p_3, {r6('auc')} auc from ({_simplex_sql()}) a"
 
 
 def meta_blend(spark, sf_dir):
@@ -312,10 +312,10 @@ t as ({_TEST_ENS_SQL}),
 lab as (select t.id, cast(t.p >= th.final_threshold as bigint) label from t, th),
 e as (select doc_id id from documents where doc_id not in (select doc_id from labels))
 select (select count(*) from lab) rows,
-       (select sum(case when label not in (0, 1) or label is null then 1 else 0 end) from lab) bad_labels,
+       (select cast(sum(case when label not in (0, 1) or label is null then 1 else 0 end) as bigint) from lab) bad_labels,
        (select count(*) from e) expected_rows,
        (select count(*) from e where id not in (select id from lab)) missing_ids,
-       (select sum(label) from lab) n_positive"""
+       (select cast(sum(label) as bigint) from lab) n_positive"""
 
 
 # ---------------------------------------------------------------- profiles
@@ -335,7 +335,7 @@ def class_distribution(spark, sf_dir):
     return finish(PR.class_distribution(answers(spark, sf_dir).where(F.col("split") == "train"), "is_cheating"))
 
 
-CLASS_DISTRIBUTION_SQL = f"""select is_cheating, count(*) n, {r6('count(*) / sum(count(*)) over ()')} share
+CLASS_DISTRIBUTION_SQL = f"""select cast(is_cheating as bigint) is_cheating, count(*) n, {r6('count(*) / sum(count(*)) over ()')} share
 from ({ANSWERS_SQL}) a where split = 'train' group by is_cheating"""
 
 

@@ -9,6 +9,7 @@ from ..operators.encode import target_encode_oof
 from ..operators.folds import kfold_sql, stratified_kfold
 from ..operators.metrics import auc, auc_sql
 from ..sources.views import APPLICATIONS_SQL, TARGET, applications
+from .common import finish
 
 K = 5
 SEED = 42
@@ -24,7 +25,7 @@ def te_fold_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "grade_purpose", F.concat_ws("_", F.col("grade_subgrade"), F.col("loan_purpose")))
     enc = target_encode_oof(f, ["grade_purpose"], TARGET, "fold")
     r = auc(enc, score="TE_grade_purpose_mean", label=TARGET, by=["fold"])
-    return r.select("fold", "n_pos", "n_neg", F.round("auc", 6).alias("auc"))
+    return finish(r.select("fold", "n_pos", "n_neg", "auc"))
 
 
 TRAIN_FOLDS_SQL = kfold_sql(f"select * from ({APPLICATIONS_SQL}) a where split = 'train'", K, SEED, label=TARGET)
