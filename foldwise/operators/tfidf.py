@@ -16,33 +16,21 @@ Weights follow the usual smooth-idf definition:
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stopwords import ENGLISH_STOP_WORDS
 from ..session import materialize
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-@functools.lru_cache(maxsize=1)
 def english_stop_words() -> tuple[str, ...]:
-    """Spark's built-in English stop list (``StopWordsRemover``'s default), read from the MLlib jar.
-
-    Read without a JVM so the same list can be written into the oracle SQL.
-    """
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-    return tuple(words)
+    """Spark ML's English stop list, kept as a constant so engine and oracle share it without a JVM or jar."""
+    return ENGLISH_STOP_WORDS
 
 
 # ---------------------------------------------------------------- analyzers

@@ -28,3 +28,9 @@ def finish(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def r6(expr: str) -> str:
     """DuckDB: round a double expression like ``finish`` does."""
     return f"round(cast({expr} as double), {DIGITS})"
+
+
+def pvar(arr: str) -> str:
+    """DuckDB: population variance of an integer list, exact as in ``functions.text.pop_var``."""
+    n, t, q = f"len({arr})", f"list_sum({arr})", f"list_sum(list_transform({arr}, lambda q: q * q))"
+    return f"(cast({n} * {q} - {t} * {t} as double) / cast({n} * {n} as double))"

@@ -20,7 +20,7 @@ from ..operators.metrics import auc, auc_sql
 from ..session import materialize
 from ..sources.tables import strict_lookup, table
 from ..sources.views import ANSWERS_SQL, APPLICATIONS_SQL, CATS, NUMERIC, TARGET, answers, applications, scores
-from .common import finish, r6
+from .common import finish, pvar, r6
 from .text_queries import TOK
 
 K = 5
@@ -103,7 +103,7 @@ e as (select id, -sum(c / tot * log2(c / tot + 1e-12)) ent
             from (select id, unnest(string_split(t, '')) ch from k) u where ch <> '' group by id, ch) z group by id),
 m as (select k.id, cast(ln as double) len, cast(wc as double) wc,
              case when wc > 0 then coalesce(v.uniq, 0) / wc else 0e0 end lex_div, coalesce(e.ent, 0e0) char_entropy,
-             case when ns > 1 then list_var_pop(sl) else 0e0 end sent_var,
+             case when ns > 1 then {pvar('sl')} else 0e0 end sent_var,
              ({' + '.join(f"cast(contains(lower(t), '{p}') as integer)" for p in TS.CONNECTORS)}) / greatest(wc, 1) conn_density
       from k left join v on v.id = k.id left join e on e.id = k.id)"""
 

@@ -53,3 +53,18 @@ def test_single_partition_exchanges_carry_aggregates_only(spark, sf_small, name)
     (fold totals, per-bucket counts), never the data rows themselves."""
     for child in _single_partition_inputs(E.queries()[name](spark, sf_small)):
         assert "HashAggregate" in child, child
+
+
+def test_entry_imports_without_spark_jars(tmp_path):
+    """Registry and oracle text must not depend on files of the Spark installation."""
+    import subprocess
+    import sys
+    code = ("import glob, zipfile\n"
+            "def no(*a, **k): raise AssertionError('reads an installation file')\n"
+            "glob.glob = no; zipfile.ZipFile.__init__ = no\n"
+            "import __spark_entry__ as e\n"
+            "assert len(e.queries()) >= 60 and len(e.oracle_sql()) >= 50\n")
+    root = str(__import__("pathlib").Path(E.__file__).resolve().parent)
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**__import__("os").environ, "PYTHONPATH": root},
+                         capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
