@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import langid, quality, secret_scan
+from . import langid, packing, quality, secret_scan, token_count
 from .common import crc_mod
 
 
@@ -25,6 +26,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     joined = lambda kinds: F.array_join(F.transform(
@@ -35,10 +41,17 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(joined(secret_scan.BASE), 256).alias("base_sha256"), joined(()).alias("spans"))
 
 
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op6_language_id": op6_language_id,
+    "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
+    "op10_token_count": op10_token_count,
 }
 
 ORACLE_SQL: dict[str, str] = {}
