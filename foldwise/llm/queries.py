@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import langid, lm, packing, quality, secret_scan, token_count
+from . import decontaminate, jaccard, langid, lm, packing, quality, secret_scan, token_count
 from .common import crc_mod
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = crc_mod(F.col("doc_id"), 5) == 0
@@ -23,6 +27,10 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_mod(F.col("doc_id"), 4) == 2
@@ -51,8 +59,10 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_quality": op2_quality,
     "op3_lm_score": op3_lm_score,
+    "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
