@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import _GOLD, WordHashes, batches, id_text, mix
 
-BLOCK_WORDS = 2_000_000
-RANGE_WORDS = 2_000_000  # corpus words per hash range, so that a range's entries stay bounded
+BLOCK_WORDS = 1_500_000
+RANGE_WORDS = 1_000_000  # corpus words per hash range, so that a range's entries stay bounded
 BUCKETS = 26             # context frequencies from 2^25 share the last bucket
 STEPS = 4                # of a held-out probability per octave, in the statistics for EM
 END = np.uint64(0x454E44)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, jaccard, langid, lm, packing, quality, secret_scan, token_count
+from . import ann, decontaminate, jaccard, langid, lm, packing, quality, secret_scan, token_count, token_file
 from .common import crc_mod
 
 
@@ -27,6 +27,10 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) == 2)
 
 
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,6 +42,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_file.scratch_path(spark)
+    token_file.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_file.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(pieces)
@@ -62,8 +72,10 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality": op2_quality,
     "op3_lm_score": op3_lm_score,
+    "op4_permutation_index": op4_permutation_index,
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,
+    "op7_token_file": op7_token_file,
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_count": op10_token_count,

@@ -1,14 +1,14 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
 Each block is coded by itself: all models start anew. A token is first predicted by the id that followed the last two
-ids (order 2) or the last one (order 1); how far either is to be trusted, and how often predictions held lately
-(order 0), are adaptive probabilities that a small online mixer joins in the logistic domain. If the joint prediction
-fails, the other order's id is tried, and then the id is coded by an adaptive order-0 model of its bit length and its
-remaining bits. Everything is integer arithmetic, so any machine decodes alike.
+ids (order 2), or else the last one (order 1); how far either is to be trusted, and how often predictions held lately
+(order 0), are adaptive probabilities that a small online mixer joins in the logistic domain. If the prediction fails,
+the id is coded by an adaptive order-0 model of its bit length, and its lower bits follow as they are. All coding and
+learning is integer arithmetic, so any machine decodes alike.
 
 The blocks of a call are coded side by side, one lane each: step ``t`` codes token ``t`` of every block that has one.
-A coded block is: words of 16 bits, most significant first. The range coder keeps 32 bits; a carry out of ``low`` is
-added to the word before and settled at the end.
+A coded block is a list of 16-bit words, most significant byte first. The range coder keeps 32 bits; a carry out of
+``low`` is added to the word before and settled at the end.
 """
 
 from __future__ import annotations
@@ -17,27 +17,21 @@ from collections.abc import Sequence
 
 import numpy as np
 
-TABLE_BITS = 12
-CLASSES = 33
-LANES = 1024
+TABLE_BITS = 10
+LANES = 512
+CLASSES = 18        # bit lengths 1 to 17 of the id plus one; the last class holds all longer ones
+REBUILD = 16        # steps after which the order-0 intervals follow the counts
 _TOP = 1 << 32
 _LEAST = 1 << 16
-_STEP = 24          # added to the count of a bit length that occurred
+_PLUS = 32          # added to the count of a class that occurred
 _MOST = 1 << 13     # sum of counts at which they are halved
 
-
-def _squash_table() -> np.ndarray:
-    x = (np.arange(4096) - 2048) / 256.0
-    return np.clip(np.rint(4096.0 / (1.0 + np.exp(-x))), 1, 4095).astype(np.int64)
-
-
-def _stretch_table(squash: np.ndarray) -> np.ndarray:
-    """The least point whose squash reaches each probability: exact integers, whatever the machine's exp rounds."""
-    return np.clip(np.searchsorted(squash, np.arange(4096), "left"), 1, 4095).astype(np.int64) - 2048
-
-
-SQUASH = _squash_table()
-STRETCH = _stretch_table(SQUASH)
+# 4096 / (1 + 2^(-x / 177)) in whole steps would need a transcendental function; a cubic blend is exact.
+_X = np.arange(-2048, 2048, dtype=np.int64)
+_HALF = np.minimum(2047, np.abs(_X))
+_RISE = 2048 - (2048 - _HALF) ** 3 // 2048 ** 2          # 0 to 2047, steep at first as a logistic curve
+SQUASH = np.clip(np.where(_X < 0, 2048 - _RISE, 2048 + _RISE), 1, 4095)
+STRETCH = np.clip(np.searchsorted(SQUASH, np.arange(4096), "left"), 1, 4095) - 2048
 
 
 class _Encoder:
@@ -50,8 +44,9 @@ class _Encoder:
         self.low = np.zeros(n, np.int64)
         self.range = np.full(n, _TOP - 1, np.int64)
 
-    def code(self, lanes, low, freq, total) -> None:
-        r = self.range[lanes] // total
+    def code(self, lanes, low, freq, bits) -> None:
+        """An interval ``[low, low + freq)`` of ``2^bits`` in each of ``lanes``."""
+        r = self.range[lanes] >> bits
         base = self.low[lanes] + r * low
         r = r * freq
         at = self.at[lanes]
@@ -69,8 +64,27 @@ class _Encoder:
         self.low[lanes] = base
         self.range[lanes] = r
 
-    def bit(self, lanes, p, y) -> None:
-        self.code(lanes, np.where(y, 0, p), np.where(y, p, 4096 - p), 4096)
+    def bit(self, m: int, p, y) -> None:
+        """One decision in each of the first ``m`` lanes; ``p`` of 4096 is the share of ``y``."""
+        left = (self.range[:m] >> 12) * p
+        low = self.low[:m]
+        low += np.where(y, 0, left)
+        rng = np.where(y, left, self.range[:m] - left)
+        over = np.flatnonzero(low >= _TOP)
+        if len(over):
+            self.out[self.at[over] - 1] += 1
+            low[over] -= _TOP
+        small = np.flatnonzero(rng < _LEAST)
+        if len(small):
+            self.shift(small, rng)
+        self.range[:m] = rng
+
+    def shift(self, lanes, rng) -> None:
+        base, at = self.low[lanes], self.at[lanes]
+        self.out[at] = base >> 16
+        self.low[lanes] = (base << 16) & (_TOP - 1)
+        rng[lanes] <<= 16
+        self.at[lanes] = at + 1
 
     def finish(self) -> list[bytes]:
         for shift in (16, 0):
@@ -92,10 +106,10 @@ class _Decoder:
         self.at += 2
         self.range = np.full(len(data), _TOP - 1, np.int64)
 
-    def point(self, lanes, total):
-        """Where the code lies in ``[0, total)``, and the unit."""
-        r = self.range[lanes] // total
-        return np.minimum(self.code[lanes] // r, total - 1), r
+    def point(self, lanes, bits):
+        """Where the code lies in ``[0, 2^bits)``, and the unit."""
+        r = self.range[lanes] >> bits
+        return np.minimum(self.code[lanes] // r, (1 << bits) - 1), r
 
     def take(self, lanes, r, low, freq) -> None:
         code = self.code[lanes] - r * low
@@ -110,81 +124,89 @@ class _Decoder:
         self.code[lanes] = code
         self.range[lanes] = r
 
-    def bit(self, lanes, p):
-        at, r = self.point(lanes, 4096)
-        y = at < p
-        self.take(lanes, r, np.where(y, 0, p), np.where(y, p, 4096 - p))
+    def bit(self, m: int, p):
+        left = (self.range[:m] >> 12) * p
+        code = self.code[:m]
+        y = code < left
+        code -= np.where(y, 0, left)
+        rng = np.where(y, left, self.range[:m] - left)
+        small = np.flatnonzero(rng < _LEAST)
+        if len(small):
+            at = self.at[small]
+            self.code[small] = (self.code[small] << 16) | self.words[at]
+            rng[small] <<= 16
+            self.at[small] = at + 1
+        self.range[:m] = rng
         return y
 
 
 class _Model:
-    """The models of all lanes. Ids are held plus one, so that 0 is no prediction."""
+    """The models of all lanes. Ids are held plus one, so that 0 is no prediction; table entries are id and trust."""
 
     def __init__(self, n: int) -> None:
         size = 1 << TABLE_BITS
         self.base = np.arange(n, dtype=np.int64) << TABLE_BITS
-        self.next2, self.next1 = np.zeros(n * size, np.uint32), np.zeros(n * size, np.uint32)
-        self.sure2, self.sure1 = np.zeros(n * size, np.uint8), np.zeros(n * size, np.uint8)
-        self.p = np.full((3, n * 16), 1 << 15, np.int64)      # by trust in order 2, in order 1, by recent hits
-        self.weight = np.full((3, n), 22000, np.int64)
-        self.other = np.full(n * 16, 1 << 13, np.int64)
+        self.next2, self.next1 = np.zeros(n * size, np.int64), np.zeros(n * size, np.int64)
+        self.p = [np.full(n * 16, 1 << 15, np.int64) for _ in range(3)]  # by trust in order 2, order 1, by recent hits
+        self.weight = [np.full(n, 22000, np.int64) for _ in range(3)]
         self.counts = np.ones((n, CLASSES), np.int64)
+        self.edges = np.empty((n, CLASSES + 1), np.int64)
         self.recent = np.zeros(n, np.int64)
         self.last1, self.last2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.lane16 = np.arange(n, dtype=np.int64) << 4
 
+    def rebuild(self, m: int) -> None:
+        """Order-0 intervals of 4096 in proportion to the counts, none empty."""
+        counts = self.counts[:m]
+        full = np.flatnonzero(counts.sum(axis=1) > _MOST)
+        counts[full] = (counts[full] + 1) >> 1
+        upto = np.cumsum(counts, axis=1)
+        self.edges[:m, 0] = 0
+        self.edges[:m, 1:] = upto * (4096 - CLASSES) // upto[:, -1:] + np.arange(1, CLASSES + 1)
+
     def predict(self, m: int):
-        last1, last2 = self.last1[:m], self.last2[:m]
+        last1 = self.last1[:m]
         mask = (1 << TABLE_BITS) - 1
-        self.i1 = self.base[:m] + ((last1 * 40503 >> 4) & mask)
-        self.i2 = self.base[:m] + (((last1 * 2654435761 + last2 * 40503) >> 9) & mask)
-        self.a2, self.a1 = self.next2[self.i2].astype(np.int64), self.next1[self.i1].astype(np.int64)
-        self.c2, self.c1 = self.sure2[self.i2].astype(np.int64), self.sure1[self.i1].astype(np.int64)
+        self.i1 = (last1 * 40503 >> 4 & mask) + self.base[:m]
+        self.i2 = (last1 * 2654435761 + self.last2[:m] * 40503 >> 9 & mask) + self.base[:m]
+        self.e2, self.e1 = self.next2.take(self.i2), self.next1.take(self.i1)
+        self.a2, self.a1 = self.e2 >> 4, self.e1 >> 4
         self.guess = np.where(self.a2 > 0, self.a2, self.a1)
-        agree = self.a1 == self.guess
-        self.at = (self.lane16[:m] + self.c2, self.lane16[:m] + np.where(agree, self.c1, 0), self.lane16[:m] + self.recent[:m])
-        self.s = [STRETCH[self.p[k][at] >> 4] for k, at in enumerate(self.at)]
-        dot = sum(self.weight[k, :m] * s for k, s in enumerate(self.s)) >> 16
-        self.joint = SQUASH[np.clip(dot, -2047, 2047) + 2048]
+        lane = self.lane16[:m]
+        self.at = (lane + (self.e2 & 15), lane + (self.e1 & 15) * (self.a1 == self.guess), lane + self.recent[:m])
+        self.q = [p.take(at) for p, at in zip(self.p, self.at)]
+        self.s = [STRETCH.take(q >> 4) for q in self.q]
+        w, s = self.weight, self.s
+        dot = (w[0][:m] * s[0] + w[1][:m] * s[1] + w[2][:m] * s[2]) >> 16
+        self.joint = SQUASH.take(np.minimum(np.maximum(dot, -2047), 2047) + 2048)
         return self.joint
 
     def learn(self, m: int, y: np.ndarray) -> None:
         hit = y.astype(np.int64)
         err = ((hit << 12) - self.joint) * 6
-        for k in range(3):
-            self.weight[k, :m] += (self.s[k] * err + 0x8000) >> 16
-            p = self.p[k][self.at[k]]
-            self.p[k][self.at[k]] = np.clip(p + (((hit << 16) - p) >> 5), 16, 65519)
-        self.recent[:m] = ((self.recent[:m] << 1) | hit) & 15
-
-    def other_p(self, lanes):
-        self.o_at = self.lane16[lanes] + self.c1[lanes]
-        return np.clip(self.other[self.o_at] >> 4, 1, 4095)
-
-    def learn_other(self, y) -> None:
-        p = self.other[self.o_at]
-        self.other[self.o_at] = np.clip(p + (((y.astype(np.int64) << 16) - p) >> 5), 16, 65519)
-
-    def learn_class(self, lanes, c) -> None:
-        self.counts[lanes, c] += _STEP
-        full = lanes[self.counts[lanes].sum(axis=1) > _MOST]
-        if len(full):
-            self.counts[full] = (self.counts[full] + 1) >> 1
+        goal = hit << 16
+        for w, s, p, q, at in zip(self.weight, self.s, self.p, self.q, self.at):
+            w[:m] += (s * err + 0x8000) >> 16
+            p[at] = q + ((goal - q) >> 5)
+        recent = self.recent[:m]
+        recent <<= 1
+        recent |= hit
+        recent &= 15
 
     def push(self, m: int, x: np.ndarray) -> None:
         """``x``: the ids plus one."""
-        for table, sure, at, a, c in ((self.next2, self.sure2, self.i2, self.a2, self.c2), (self.next1, self.sure1, self.i1, self.a1, self.c1)):
-            same = a == x
-            keep = same | (c > 2)
-            table[at] = np.where(keep, a, x)
-            sure[at] = np.where(same, np.minimum(c + 1, 15), np.where(keep, c >> 1, 1))
+        fresh = x << 4 | 1
+        for table, at, e, a in ((self.next2, self.i2, self.e2, self.a2), (self.next1, self.i1, self.e1, self.a1)):
+            trust = e & 15
+            # held: trust grows; failed: trust falls by half, and an entry of little trust is replaced
+            table[at] = np.where(a == x, e + (trust < 15), np.where(trust > 2, e - (trust + 1 >> 1), fresh))
         self.last2[:m] = self.last1[:m]
         self.last1[:m] = x
 
 
 def _class(x: np.ndarray) -> np.ndarray:
-    """Bit length less one of positive integers below 2^33."""
-    return np.frexp(x.astype(np.float64))[1] - 1
+    """Bit length less one of positive integers, the last class for all longer ones."""
+    return np.minimum(np.frexp(x.astype(np.float64))[1] - 1, CLASSES - 1)
 
 
 def _order(lengths: np.ndarray) -> np.ndarray:
@@ -203,40 +225,36 @@ def encode(blocks: Sequence[np.ndarray]) -> list[bytes]:
     return out
 
 
+def _steps(lengths: np.ndarray) -> list[int]:
+    """Lanes that still have a token at each step (lengths fall)."""
+    return np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), "left").tolist()
+
+
 def _encode_lanes(blocks: list[np.ndarray], lengths: np.ndarray) -> list[bytes]:
     model, coder = _Model(len(blocks)), _Encoder(lengths)
     start = np.cumsum(lengths) - lengths
     ids = np.concatenate(blocks).astype(np.int64) + 1
-    active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), "left")
-    for t, m in enumerate(active.tolist()):
-        x = ids[start[:m] + t]
+    for t, m in enumerate(_steps(lengths)):
+        if t % REBUILD == 0:
+            model.rebuild(m)
+        x = ids.take(start[:m] + t)
         p = model.predict(m)
         y = x == model.guess
-        coder.bit(slice(0, m), p, y)
+        coder.bit(m, p, y)
         model.learn(m, y)
-        missed = np.flatnonzero(~y)
-        if len(missed):
-            try_other = missed[(model.a1[missed] > 0) & (model.a1[missed] != model.guess[missed])]
-            literal = np.zeros(m, bool)
-            literal[missed] = True
-            if len(try_other):
-                y = x[try_other] == model.a1[try_other]
-                coder.bit(try_other, model.other_p(try_other), y)
-                model.learn_other(y)
-                literal[try_other[y]] = False
-            lanes = np.flatnonzero(literal)
-            if len(lanes):
-                c = _class(x[lanes])
-                before = np.cumsum(model.counts[lanes], axis=1)
-                row = np.arange(len(lanes))
-                freq = model.counts[lanes, c]
-                coder.code(lanes, before[row, c] - freq, freq, before[:, -1])
-                model.learn_class(lanes, c)
-                rest = x[lanes] - (np.int64(1) << c)
-                high = np.maximum(c - 16, 0)
-                if high.any():
-                    coder.code(lanes, rest >> 16 & ((1 << high) - 1), 1, np.int64(1) << high)
-                coder.code(lanes, rest & ((np.int64(1) << np.minimum(c, 16)) - 1), 1, np.int64(1) << np.minimum(c, 16))
+        lanes = np.flatnonzero(~y)
+        if len(lanes):
+            v = x[lanes]
+            c = _class(v)
+            low = model.edges[lanes, c]
+            coder.code(lanes, low, model.edges[lanes, c + 1] - low, 12)
+            model.counts[lanes, c] += _PLUS
+            long = c == CLASSES - 1
+            if long.any():
+                for high, bits in ((v[long] >> 24, 9), (v[long] >> 16 & 255, 8)):
+                    coder.code(lanes[long], high, 1, bits)
+            bits = np.minimum(c, 16)
+            coder.code(lanes, v & ((1 << bits) - 1), 1, bits)
         model.push(m, x)
     return coder.finish()
 
@@ -257,42 +275,35 @@ def _decode_lanes(data: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
     model, coder = _Model(len(data)), _Decoder(data)
     start = np.cumsum(lengths) - lengths
     ids = np.zeros(int(lengths.sum()), np.int64)
-    active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), "left")
-    for t, m in enumerate(active.tolist()):
+    for t, m in enumerate(_steps(lengths)):
+        if t % REBUILD == 0:
+            model.rebuild(m)
         p = model.predict(m)
-        y = coder.bit(slice(0, m), p)
+        y = coder.bit(m, p)
         model.learn(m, y)
         x = model.guess.copy()
-        missed = np.flatnonzero(~y)
-        if len(missed):
-            try_other = missed[(model.a1[missed] > 0) & (model.a1[missed] != model.guess[missed])]
-            literal = np.zeros(m, bool)
-            literal[missed] = True
-            if len(try_other):
-                y = coder.bit(try_other, model.other_p(try_other))
-                model.learn_other(y)
-                held = try_other[y]
-                x[held] = model.a1[held]
-                literal[held] = False
-            lanes = np.flatnonzero(literal)
-            if len(lanes):
-                counts = model.counts[lanes]
-                before = np.cumsum(counts, axis=1)
-                at, r = coder.point(lanes, before[:, -1])
-                c = (before <= at[:, None]).sum(axis=1)
-                row = np.arange(len(lanes))
-                freq = counts[row, c]
-                coder.take(lanes, r, before[row, c] - freq, freq)
-                model.learn_class(lanes, c)
-                rest = np.zeros(len(lanes), np.int64)
-                high = np.maximum(c - 16, 0)
-                if high.any():
-                    at, r = coder.point(lanes, np.int64(1) << high)
-                    coder.take(lanes, r, at, 1)
-                    rest = at << 16
-                at, r = coder.point(lanes, np.int64(1) << np.minimum(c, 16))
-                coder.take(lanes, r, at, 1)
-                x[lanes] = (np.int64(1) << c) + rest + at
+        lanes = np.flatnonzero(~y)
+        if len(lanes):
+            edges = model.edges[lanes]
+            at, r = coder.point(lanes, 12)
+            c = (edges <= at[:, None]).sum(axis=1) - 1
+            row = np.arange(len(lanes))
+            low = edges[row, c]
+            coder.take(lanes, r, low, edges[row, c + 1] - low)
+            model.counts[lanes, c] += _PLUS
+            bits = np.minimum(c, 16)
+            v = np.int64(1) << bits
+            long = np.flatnonzero(c == CLASSES - 1)
+            if len(long):
+                v[long] = 0
+                for bits_long in (9, 8):
+                    at, r = coder.point(lanes[long], bits_long)
+                    coder.take(lanes[long], r, at, 1)
+                    v[long] = v[long] << bits_long | at
+                v[long] <<= 16
+            at, r = coder.point(lanes, bits)
+            coder.take(lanes, r, at, 1)
+            x[lanes] = v + at
         model.push(m, x)
         ids[start[:m] + t] = x
     ids -= 1
