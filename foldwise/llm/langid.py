@@ -134,8 +134,8 @@ def fit(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text
     return Model(languages, w, idf, temperature(logits, np.array(back_labels, dtype=int)))
 
 
-def predict(docs: DataFrame, model: Model, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every row; the score is the calibrated probability of the language."""
+def _predictor(model: Model, params: Params):
+    """Text -> language and calibrated probability."""
     w, idf = model.weights.astype(np.float32), model.idf.astype(np.float32)
     languages, heat = model.languages, model.temperature
 
@@ -147,10 +147,27 @@ def predict(docs: DataFrame, model: Model, params: Params = Params(), id_col: st
         k = int(p.argmax())
         return languages[k], float(p[k])
 
+    return one
+
+
+def predict(docs: DataFrame, model: Model, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, lang_pred, score)`` of every row; the score is the calibrated probability of the language."""
     def work(it):
+        one = _predictor(model, params)
         for b, texts in batches(it):
             got = [one(t.decode("utf-8", "replace")) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0] for g in got], pa.string()),
                                               pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return id_text(docs, id_col, text_col).mapInArrow(work, "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model, least_score: float, params: Params = Params(), text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is identified with at least ``least_score``."""
+    def work(it):
+        one = _predictor(model, params)
+        for b in it:
+            got = [one(t or "") for t in b.column(text_col).to_pylist()]
+            yield b.filter(pa.array([k != UNDETERMINED and p >= least_score for k, p in got], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

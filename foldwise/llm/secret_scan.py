@@ -168,3 +168,30 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: t
         work, "doc_id long, found array<struct<kind: string, start: long, end: long>>")
 
 
+def redacted(text: str, s: Scanner) -> str:
+    """The text with a marker of its first kind in place of each run of overlapping spans."""
+    out, at, end = [], 0, -1
+    for a, k, b in s.spans(text.encode("utf-8", "replace")):
+        if a >= end:
+            out += [text[at:a], f"[{s.rules[k].kind}]"]
+        end = at = max(end, b)
+    return "".join(out) + text[at:] if out else text
+
+
+def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All rows of ``docs`` with their columns, secrets replaced in ``text_col``; ``chars_col`` follows if it is there."""
+    def work(it):
+        s = scanner(rules)
+        for b in it:
+            texts = b.column(text_col).to_pylist()
+            new = [None if t is None else redacted(t, s) for t in texts]
+            i = b.schema.get_field_index(text_col)
+            b = b.set_column(i, b.schema.field(i), pa.array(new, b.schema.field(i).type))
+            j = b.schema.get_field_index(chars_col)
+            if j >= 0:
+                old = b.column(j).to_pylist()
+                n = [c if t == u else len(u) for c, t, u in zip(old, texts, new)]
+                b = b.set_column(j, b.schema.field(j), pa.array(n, b.schema.field(j).type))
+            yield b
+
+    return docs.mapInArrow(work, docs.schema)
