@@ -1,13 +1,15 @@
 """TF-IDF as long tables (TF-1..TF-5, SM-1, T-4).
 
-A document's terms and counts are produced inside its row (no shuffle) and
-exploded to ``doc_term(id, term, tf)``. Document frequencies are one
+A document's terms and counts are produced inside its row and exploded to
+``doc_term(id, term, tf)``; nothing exploded is ever stored. Two passes read
+the texts: the first aggregates document frequencies of the fit part, one
 ``groupBy(term)`` with map-side partial aggregation (a term present in every
-document costs one partial row per task). The vocabulary is the top
-``max_features`` terms by corpus count after the document-frequency limits,
-taken with a per-task top-k before the merge; it has at most
-``max_features`` rows, which bounds the broadcast that attaches idf. The L2
-norm is a window per document over its vocabulary terms only.
+document costs one partial row per task); the second keeps the terms of the
+vocabulary, by a broadcast whose size is checked, and weights them. Callers
+``spread`` documents by id first, so all cores work whatever the input's file
+layout, and the L2 norm per document needs no further exchange.
+The vocabulary is the top ``max_features`` terms by corpus count after the
+document-frequency limits, taken with a per-task top-k before the merge.
 
 Weights follow the usual smooth-idf definition:
 ``tf' = 1 + ln(tf)`` when sublinear (``1`` when binary),
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stopwords import ENGLISH_STOP_WORDS
-from ..session import materialize
+from ..session import DEFAULT_BROADCAST_ROWS, materialize
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -86,6 +88,12 @@ def _grams_of(n: int):
 
 # ---------------------------------------------------------------- long tables
 
+def spread(docs: DataFrame, id_col: str = "id", partitions: int | None = None) -> DataFrame:
+    """Documents dealt by id (default: ``spark.sql.shuffle.partitions``); later steps per document stay in place."""
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return docs.repartition(n, id_col)
+
+
 def doc_terms(df: DataFrame, id_col: str, terms: Column, keep: Sequence[str] = ()) -> DataFrame:
     """``(id, keep..., term, tf)`` with counts computed inside each row, then exploded."""
     t = df.select(id_col, *keep, terms.alias("_terms"))
@@ -140,36 +148,29 @@ def top_terms(st: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
     return out
 
 
-def tfidf_transform(dt: DataFrame, vocab: DataFrame, id_col: str = "id", sublinear: bool = False,
-                    binary: bool = False, by: Sequence[str] = ()) -> DataFrame:
-    """``(id, by..., term, tfidf)`` L2-normalised per document over vocabulary terms.
+def _small(vocab: DataFrame) -> DataFrame:
+    """A written vocabulary, broadcast only up to the bound of rows."""
+    vocab = materialize(vocab)
+    return F.broadcast(vocab) if vocab.count() <= DEFAULT_BROADCAST_ROWS else vocab
 
-    ``vocab`` has at most ``max_features`` rows per ``by`` group, so it is
-    broadcast (a bounded size).
-    """
+
+def tfidf_transform(dt: DataFrame, vocab: DataFrame, id_col: str = "id", sublinear: bool = False,
+                    binary: bool = False, by: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
+    """``(id, by..., keep..., term, tfidf)`` L2-normalised per document over vocabulary terms."""
     by = list(by)
-    v = F.broadcast(vocab.select(*by, "term", "idf"))
-    x = dt.join(v, [*by, "term"])
+    x = dt.join(_small(vocab.select(*by, "term", "idf")), [*by, "term"])
     tf = F.lit(1.0) if binary else (F.lit(1.0) + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double"))
     x = x.withColumn("_w", tf * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col, *by)))
-    return x.select(id_col, *by, "term", F.when(norm > 0, F.col("_w") / norm).otherwise(F.lit(0.0)).alias("tfidf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
+    return x.select(id_col, *by, *keep, "term", F.when(norm > 0, F.col("_w") / norm).otherwise(F.lit(0.0)).alias("tfidf"))
 
 
 def tfidf_fit_transform(fit_docs: DataFrame, all_docs: DataFrame, terms: Column, id_col: str = "id",
                         min_df: int = 1, max_df: float = 1.0, max_features: int | None = None,
                         sublinear: bool = False, binary: bool = False) -> DataFrame:
-    """Fit vocabulary and idf on ``fit_docs``; weight ``all_docs`` (TF-1/TF-2/TF-3 with folds=None).
-
-    ``fit_docs`` must be a subset of ``all_docs`` (same ids): the document
-    terms are built once for all documents and the fit part is a semi join.
-    """
-    dt_all = materialize(doc_terms(all_docs, id_col, terms))  # read by the fit and the transform
-    fit_ids = fit_docs.select(id_col)
-    dt_fit = dt_all.join(fit_ids, id_col, "left_semi")
-    n = fit_ids.count()
-    vocab = fit_vocabulary(dt_fit, n, min_df, max_df, max_features)
-    return tfidf_transform(dt_all, vocab, id_col, sublinear, binary)
+    """Fit vocabulary and idf on ``fit_docs``; weight ``all_docs`` (TF-1/TF-2/TF-3 with folds=None)."""
+    vocab = fit_vocabulary(doc_terms(fit_docs, id_col, terms), fit_docs.select(id_col).count(), min_df, max_df, max_features)
+    return tfidf_transform(doc_terms(all_docs, id_col, terms), vocab, id_col, sublinear, binary)
 
 
 def fixed_vocabulary_tfidf(fit_docs: DataFrame, all_docs: DataFrame, text_col: str, vocabulary: Sequence[str],
@@ -200,7 +201,9 @@ def tfidf_by_fold(docs: DataFrame, terms: Column, fold_col: str, id_col: str = "
     folds = docs.groupBy(fold_col).agg(F.count(F.lit(1)).alias("n_f"))
     folds = folds.withColumn("n_train", F.sum("n_f").over(Window.partitionBy()) - F.col("n_f"))  # k rows
     # a term absent from fold k keeps its full counts for that fold's train part
-    grid = per.select("term", "df_t", "ctf_t").distinct().crossJoin(F.broadcast(folds.select(fold_col, "n_train")))
+    # (a train part never holds more documents with a term than all folds do, so rare terms go first)
+    grid = per.where(F.col("df_t") >= min_df).select("term", "df_t", "ctf_t").distinct() \
+        .crossJoin(F.broadcast(folds.select(fold_col, "n_train")))
     st = (grid.join(per.select("term", fold_col, "df_f", "ctf_f"), ["term", fold_col], "left")
           .na.fill(0, ["df_f", "ctf_f"])
           .select("term", fold_col, "n_train", (F.col("df_t") - F.col("df_f")).alias("df"),
@@ -216,23 +219,31 @@ def tfidf_by_fold(docs: DataFrame, terms: Column, fold_col: str, id_col: str = "
                            id_col, sublinear, by=[fold_col])
 
 
-def cosine_topic_answer(docs: DataFrame, id_col: str, topic_col: str, answer_col: str, terms_of,
+def cosine_topic_answer(docs: DataFrame, id_col: str, topic_col: str, answer_col: str, with_terms,
                         max_features: int | None = 2000) -> DataFrame:
     """SM-1: cosine similarity of topic and answer in a TF-IDF space fitted on answers + topics.
 
-    ``terms_of(col)`` builds the term array of a text column. 0 when either text is blank.
+    ``with_terms(df, text_col)`` returns the frame with token columns and the term array over them. Topics are
+    weighted once per distinct topic (their document counts enter the corpus statistics), and only the answer's
+    terms that its topic has meet them. 0 when either text is blank.
     """
-    # each term table feeds the vocabulary fit and the weighting: built once
-    ans = materialize(doc_terms(docs.select(F.col(id_col).alias("_id"), F.col(answer_col).alias("_x")), "_id",
-                                terms_of(F.col("_x"))))
-    top = materialize(doc_terms(docs.select(F.col(id_col).alias("_id"), F.col(topic_col).alias("_x")), "_id",
-                                terms_of(F.col("_x"))))
+    a_df, a_terms = with_terms(docs.select(F.col(id_col).alias("_id"), F.col(topic_col).alias("_topic"),
+                                           F.col(answer_col).alias("_x")), "_x")
+    ans = doc_terms(a_df, "_id", a_terms, keep=["_topic"])
+    t_df, t_terms = with_terms(docs.groupBy(F.col(topic_col).alias("_topic")).agg(F.count(F.lit(1)).alias("_n"))
+                               .withColumn("_x", F.col("_topic")), "_x")
+    top = materialize(doc_terms(t_df, "_topic", t_terms, keep=["_n"]))
     # the corpus is every answer and every topic row (2n documents), as in the reference
     n = docs.count() * 2
-    vocab = fit_vocabulary(ans.unionByName(top), n, 1, 1.0, max_features)
-    va = tfidf_transform(ans, vocab, "_id").withColumnRenamed("tfidf", "_a")
-    vt = tfidf_transform(top, vocab, "_id").withColumnRenamed("tfidf", "_b")
-    sim = va.join(vt, ["_id", "term"]).groupBy("_id").agg(F.sum(F.col("_a") * F.col("_b")).alias("_c"))
+    st = ans.select("term", F.lit(1).cast("long").alias("df"), F.col("tf").cast("long").alias("ctf")).unionByName(
+        top.select("term", F.col("_n").alias("df"), (F.col("tf") * F.col("_n")).alias("ctf"))) \
+        .groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+    if max_features is not None:
+        st = top_terms(st, max_features)
+    vocab = materialize(st.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).drop("ctf"))
+    va = tfidf_transform(ans, vocab, "_id", keep=["_topic"]).withColumnRenamed("tfidf", "_a")
+    vt = tfidf_transform(top, vocab, "_topic").withColumnRenamed("tfidf", "_b")
+    sim = va.join(_small(vt), ["_topic", "term"]).groupBy("_id").agg(F.sum(F.col("_a") * F.col("_b")).alias("_c"))
     blank = ~T.text_or_empty(topic_col).rlike(T.NON_WS) | ~T.text_or_empty(answer_col).rlike(T.NON_WS)
     out = docs.select(F.col(id_col), blank.alias("_blank")).join(sim.withColumnRenamed("_id", id_col), id_col, "left")
     return out.select(id_col, F.when(F.col("_blank"), F.lit(0.0)).otherwise(F.coalesce(F.col("_c"), F.lit(0.0)))

@@ -27,7 +27,7 @@ AI_PATTERN_WORDS = ["conclusion", "summary", "however", "therefore", "moreover",
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
+    docs = TF.spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer")))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     return docs, docs.join(labels, "id", "left_semi")
 
@@ -64,25 +64,22 @@ def tfidf_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("topic"),
-                                                     F.col("text").alias("answer"))
-    stops = TF.english_stop_words()
+    docs = TF.spread(table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("topic"), F.col("text").alias("answer")))
 
-    def terms_of(c):
-        # tokens are an array expression read by several slices: materialised per row by Catalyst
-        toks = TF.word_tokens(F.coalesce(c, F.lit("")), stops)
-        m = F.size(toks)
-        bi = F.zip_with(F.slice(toks, 1, F.greatest(m - 1, F.lit(0))), F.slice(toks, 2, F.greatest(m - 1, F.lit(0))),
-                        lambda a, b: F.concat_ws(" ", a, b))
-        return F.concat(toks, F.when(m >= 2, bi).otherwise(F.array().cast("array<string>")))
+    def with_terms(df, c):
+        # tokens in a projection of their own: computed once per row, read by several slices
+        df = df.withColumn("_tok", TF.word_tokens(F.coalesce(F.col(c), F.lit("")), TF.english_stop_words()))
+        return df, TF.word_ngrams("_tok", *SHARED["n"])
 
-    return finish(TF.cosine_topic_answer(docs, "id", "topic", "answer", terms_of, SHARED["max_features"]))
+    return finish(TF.cosine_topic_answer(docs, "id", "topic", "answer", with_terms, SHARED["max_features"]))
 
 
 def tfidf_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
-    f = stratified_kfold(docs.join(labels, "id"), 5, "quality", seed=42)
+    f = stratified_kfold(labels, 5, "quality", seed=42).select("id", "fold")
+    f = TF.spread(docs).join(f, "id")
     d, terms = _word_terms(f, FOLD_WORD["n"])
     out = TF.tfidf_by_fold(d, terms, "fold", "id", FOLD_WORD["min_df"], FOLD_WORD["max_df"],
                            FOLD_WORD["max_features"], FOLD_WORD["sublinear"])
