@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import DEFAULT_BROADCAST_ROWS, materialize
-from .metrics import global_row_rank
+from .ranking import rank_by_range
 
 
 
@@ -239,25 +239,19 @@ def factorize(df: DataFrame, cols: Sequence[str], order_cols: Sequence[str], suf
               max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Codes in order of first appearance under ``order_cols`` (e.g. split rank, id).
 
-    One aggregate over all columns: the smallest order key per (column,
-    value), then ``row_number - 1`` per column over the distinct values (a
-    per-column window over the value table, not over rows). Integral order
-    columns are packed into one long (hash aggregation with partial
-    aggregation); the first column gets the high bits, the last the low 44
-    bits (ids below 2^44). Codes are joined back by broadcast when a
-    column's value table is under the bound, else by a shuffle join.
+    One aggregate over all columns: the smallest order key (a struct, so
+    order columns may be of any orderable type and size) per (column,
+    value), then the rank of the values by it within their column, in
+    ranges (no task holds a column's values). Codes are joined back by
+    broadcast when a column's value table is under the bound, else by a
+    shuffle join.
     """
-    order = F.lit(0).cast("long")
-    for i, c in enumerate(order_cols):
-        shift = 44 * (len(order_cols) - 1 - i)
-        order = order + F.shiftleft(F.col(c).cast("long"), shift)
-    long = df.select(order.alias("_o"), F.explode(F.array(*[
+    long = df.select(F.struct(*order_cols).alias("_o"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), key_expr(c).alias("key")) for c in cols])).alias("_kv")
     ).select("_o", "_kv.column", "_kv.key").where(F.col("key").isNotNull())
     first = long.groupBy("column", "key").agg(F.min("_o").alias("_o"))
-    # first-appearance keys are distinct within a column: two-level rank (no task holds a column's values)
-    codes = global_row_rank(first, "_o", out="code", by=["column"])
-    codes = materialize(codes)
+    # rows may tie in the order columns: the value then decides
+    codes = materialize(rank_by_range(first, ["column"], ["_o", "key"], out="code").drop("_o"))
     sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for c in cols:

@@ -13,11 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_key
-from .ranking import rank_by_hash
-
-# group tables above this many groups are dealt in hash order (see group_kfold)
-MAX_SORTED_GROUPS = 5_000_000
-
+from ..session import DEFAULT_BROADCAST_ROWS, materialize
+from .ranking import rank_by_hash, rank_by_range
 
 def kfold(df: DataFrame, k: int, seed: int = 42, id_col: str = "id", out: str = "fold") -> DataFrame:
     """FO-1: shuffled k-fold. Rows ranked by ``md5(seed|id)``; fold = rank mod k (sizes differ by <= 1)."""
@@ -63,30 +60,27 @@ def group_kfold(df: DataFrame, k: int, group_col: str, label_col: str | None = N
                 out: str = "fold") -> DataFrame:
     """FO-3: stratified group k-fold by a snake deal over groups.
 
-    Groups (with row and positive counts) are ordered by size descending,
-    ties by ``md5(seed|group)``, and dealt in snake order: position ``i``
-    goes to fold ``i % k`` in even blocks ``i // k`` and ``k-1-i % k`` in
-    odd ones. A group never spans folds; large groups are spread first so
-    sizes and label shares come out near equal. Only the group table is
-    ranked (one row per group); rows get their fold by a join on the group.
+    Groups (with row and positive counts) are ordered by their majority
+    label (positive groups first), then size descending, ties by
+    ``md5(seed|group)``, and dealt in snake order: position ``i`` goes to
+    fold ``i % k`` in even blocks ``i // k`` and ``k-1-i % k`` in odd ones.
+    A group never spans folds; groups of each label, large ones first, are
+    spread over all folds, so sizes and label shares come out near equal.
+    Only the group table is ranked (one row per group), in ranges; rows get
+    their fold by a join on the group.
     """
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    if label_col:
-        aggs.append(F.sum(F.col(label_col)).alias("_pos"))
-    groups = df.groupBy(group_col).agg(*aggs).withColumn("_h", md5_key(F.lit(seed), group_col))
-    n_groups = groups.count()
-    if n_groups <= MAX_SORTED_GROUPS:
-        # one task orders at most MAX_SORTED_GROUPS group rows
-        w = Window.orderBy(F.col("_n").desc(), F.col("_h"), F.col(group_col))
-        ranked = groups.withColumn("_i", F.row_number().over(w) - 1)
-    else:
-        # very many small groups: size order adds nothing, deal in hash order
-        ranked = rank_by_hash(groups, [], "_h", group_col, out="_i")
+    pos = F.sum(F.col(label_col).cast("long")) if label_col else F.lit(0).cast("long")
+    groups = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"), pos.alias("_pos"))
+    groups = groups.select(group_col, (-(F.col("_pos") * 2 >= F.col("_n")).cast("int")).alias("_minor"),
+                           (-F.col("_n")).alias("_size"), md5_key(F.lit(seed), group_col).alias("_h"))
+    ranked = rank_by_range(groups, [], ["_minor", "_size", "_h", group_col], out="_i")
     block = F.floor(F.col("_i") / k)
-    pos = F.col("_i") % k
-    fold = F.when(block % 2 == 0, pos).otherwise(F.lit(k - 1) - pos).cast("int")
-    mapping = ranked.select(group_col, fold.alias(out))
-    return df.join(mapping, group_col, "left") if n_groups > MAX_SORTED_GROUPS else df.join(F.broadcast(mapping), group_col, "left")
+    at = F.col("_i") % k
+    fold = F.when(block % 2 == 0, at).otherwise(F.lit(k - 1) - at).cast("int")
+    mapping = materialize(ranked.select(group_col, fold.alias(out)))
+    if mapping.count() <= DEFAULT_BROADCAST_ROWS:
+        mapping = F.broadcast(mapping)
+    return df.join(mapping, group_col, "left")
 
 
 def fold_split(df: DataFrame, fold_col: str, k: int) -> tuple[DataFrame, DataFrame]:

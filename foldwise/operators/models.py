@@ -80,16 +80,19 @@ def gbt(seed: int = 42, max_iter: int = 20, depth: int = 4, step: float = 0.1, s
 
 def cv_oof(train: DataFrame, test: DataFrame | None, feature_cols: Sequence[str], label: str, fold_col: str,
            make_estimator: Callable[[DataFrame], object], id_col: str = "id", standardize: bool = False,
-           early_stopping: bool = False) -> DataFrame:
+           early_stopping: bool = False, balance_col: str | None = None) -> DataFrame:
     """ML-5: per fold k fit on ``fold <> k``, score the validation rows (OOF) and the test rows.
 
     Returns ``(id, fold, role, p)`` with role 'oof' (one row per train id)
     or 'test' (one row per test id and fold; average with ``mean_blend``).
     ``make_estimator(fit_df)`` builds the estimator (it may read the fit
     size, e.g. for ``regParam``). With ``standardize`` the scaler is fitted
-    on the fold's training part only.
+    on the fold's training part only, and ``balance_col`` (A-11) gets the
+    class weights ``n / (classes * n_class)`` of that part.
     """
     train = materialize(train.withColumn("label", F.col(label).cast("double")))
+    # folds x labels rows
+    counts = [(r[fold_col], r["label"], r["n"]) for r in train.groupBy(fold_col, "label").agg(F.count(F.lit(1)).alias("n")).collect()]
     folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())  # k values
     parts = []
     for k in folds:
@@ -104,6 +107,12 @@ def cv_oof(train: DataFrame, test: DataFrame | None, feature_cols: Sequence[str]
             fit_df = tr.withColumn("_is_val", F.lit(False)).unionByName(va.withColumn("_is_val", F.lit(True)))
         else:
             fit_df = tr
+        if balance_col:
+            of = {y: sum(n for f, z, n in counts if f != k and z == y) for y in sorted({y for _, y, _ in counts})}
+            w = F.lit(None).cast("double")
+            for y, n in of.items():
+                w = F.when(F.col("label") == y, F.lit(sum(of.values()) / (len(of) * max(n, 1)))).otherwise(w)
+            fit_df = fit_df.withColumn(balance_col, w)
         model = make_estimator(fit_df).fit(assemble(fit_df, feature_cols))
         parts.append(model.transform(assemble(va, feature_cols)).select(
             id_col, F.lit(k).alias("fold"), F.lit("oof").alias("role"), p1().alias("p")))
@@ -139,7 +148,8 @@ def calibrated_stacker(oof_wide: DataFrame, cols: Sequence[str], fold_col: str,
     for k in folds:
         tr, va = d.where(F.col(fold_col) != k), d.where(F.col(fold_col) == k)
         base = logistic(1.0, tr.count()).fit(tr)
-        logit_col = F.log(p1() / (F.lit(1.0) - p1()))
+        p = F.least(F.greatest(p1(), F.lit(1e-15)), F.lit(1.0 - 1e-15))
+        logit_col = F.log(p / (F.lit(1.0) - p))
         va_s = base.transform(va).select("id", "label", logit_col.alias("z"))
         platt = LogisticRegression(featuresCol="zf", labelCol="label", regParam=0.0).fit(
             VectorAssembler(inputCols=["z"], outputCol="zf").transform(va_s))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hex_bucket
+from ..session import materialize
 
 
 def rank_by_hash(df: DataFrame, part_cols: Sequence[str], hash_col: str, tie_col: str,
@@ -75,6 +76,23 @@ def range_bucketed(df: DataFrame, order_cols: Sequence[str | Column], n_buckets:
     return b.withColumn(out, F.col(out).cast("int")).drop(tmp)
 
 
+def rank_by_range(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "_rank") -> DataFrame:
+    """0-based rank within ``by`` in ascending order of the columns ``order`` (any orderable types); keeps every column.
+
+    Rows are dealt to contiguous ranges of ``(by, order)``, written, and ranked inside their range; the counts before
+    a range (``|by| * ranges`` rows) are prefix-summed and broadcast.
+    """
+    by = list(by)
+    t = df.repartitionByRange(default_buckets(df), *by, *order).withColumn("_pid", F.spark_partition_id())
+    t = materialize(t)
+    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = t.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_c")) \
+        .withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
+    within = Window.partitionBy(*by, "_pid").orderBy(*order)
+    t = t.withColumn("_rn", F.row_number().over(within) - 1).join(F.broadcast(offs), [*by, "_pid"])
+    return t.withColumn(out, F.col("_off") + F.col("_rn")).drop("_off", "_rn", "_pid")
+
+
 def default_buckets(df: DataFrame, floor: int = 16) -> int:
     sp = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(sp, floor)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import WS_BODY
 from ..operators import blend as BL
 from ..operators import models as MO
 from ..operators import post as PP
@@ -18,7 +19,7 @@ from ..operators.joins import lookup_join
 from ..operators.folds import group_kfold, kfold, kfold_sql, repeated_stratified_kfold, stratified_kfold
 from ..operators.metrics import auc, auc_sql
 from ..session import materialize
-from ..sources.tables import strict_lookup, table
+from ..sources.tables import table
 from ..sources.views import ANSWERS_SQL, APPLICATIONS_SQL, CATS, NUMERIC, TARGET, answers, applications, scores
 from .common import finish, pvar, r6
 from .text_queries import TOK
@@ -34,14 +35,14 @@ def _labelled(spark, sf_dir):
 # ---------------------------------------------------------------- folds (SQL)
 
 def folds_group(spark, sf_dir):
-    """FO-3: topics never span folds (snake deal over topic sizes)."""
+    """FO-3: topics never span folds (snake deal by majority label and size)."""
     f = group_kfold(_labelled(spark, sf_dir).select("id", "topic", "is_cheating"), K, "topic", "is_cheating", seed=SEED)
     return finish(f.select("id", "topic", "fold"))
 
 
 FOLDS_GROUP_SQL = f"""with a as (select * from ({ANSWERS_SQL}) x where split = 'train'),
-g as (select topic, count(*) n, md5(concat('{SEED}', '|', topic)) h from a group by topic),
-r as (select topic, row_number() over (order by n desc, h, topic) - 1 i from g)
+g as (select topic, count(*) n, sum(is_cheating) pos, md5(concat('{SEED}', '|', topic)) h from a group by topic),
+r as (select topic, row_number() over (order by pos * 2 >= n desc, n desc, h, topic) - 1 i from g)
 select a.id, a.topic, cast(case when (i // {K}) % 2 = 0 then i % {K} else {K} - 1 - i % {K} end as bigint) fold
 from a join r on r.topic = a.topic"""
 
@@ -128,24 +129,25 @@ EMBEDDING_MEANS_SQL = f"""select cast(label as bigint) label, pos, {r6('avg(cast
 
 
 def embedding_lookup(spark, sf_dir):
-    """VE-2 / IO-8 / J-4: attach vectors to documents by id, every id must have one (strict)."""
-    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars").join(ids, "id", "left_semi")
-    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"))
-    out = strict_lookup(docs, vec, "id", prefix="ext_")
-    return finish(out.select("id", "n_chars", F.size("ext_emb").alias("dims"),
+    """VE-2 / IO-8 / J-4: vectors attached to all documents by id; ``has_vector`` is the completeness check that the
+    strict form (``strict_lookup``, which raises) makes of it."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("ext_emb"))
+    out = docs.join(vec, "id", "left")
+    return finish(out.select("id", "n_chars", F.col("ext_emb").isNotNull().alias("has_vector"),
+                             F.when(F.col("ext_emb").isNotNull(), F.size("ext_emb")).alias("dims"),
                              F.aggregate("ext_emb", F.lit(0.0), lambda a, x: a + x).alias("emb_sum")))
 
 
-EMBEDDING_LOOKUP_SQL = f"""select d.doc_id id, d.n_chars, cast(len(e.embedding) as bigint) dims,
+EMBEDDING_LOOKUP_SQL = f"""select d.doc_id id, d.n_chars, e.vec_id is not null has_vector, cast(len(e.embedding) as bigint) dims,
        {r6('list_sum(list_transform(e.embedding, lambda x: cast(x as double)))')} emb_sum
-from documents d join embeddings e on e.vec_id = d.doc_id"""
+from documents d left join embeddings e on e.vec_id = d.doc_id"""
 
 
 # ---------------------------------------------------------------- selection (SQL)
 
 def mi_screen(spark, sf_dir):
-    """FS-1 / T-3: 32-bin mutual information of each meta feature with the label; keep the top k."""
+    """FS-1 / T-3: mutual information (32 quantile bins) of each meta feature with the label; keep the top k."""
     lab = _labelled(spark, sf_dir)
     m = meta_features(lab).join(lab.select("id", F.col("is_cheating").alias("y")), "id")
     return finish(SE.mi_screen(m, META, "y", bins=32, ratio=0.7, min_keep=4))
@@ -156,9 +158,8 @@ def _mi_sql() -> str:
     return f"""{_meta_sql()},
 mm as (select m.*, l.quality y from m join labels l on l.doc_id = m.id),
 u as ({unp}),
-rng as (select feature, min(v) lo, max(v) hi from u group by feature),
-b as (select u.feature, u.y, case when rng.hi > rng.lo then least(cast(floor((u.v - rng.lo) / (rng.hi - rng.lo) * 32) as bigint), 31)
-                              else 0 end bin from u join rng on rng.feature = u.feature),
+b as (select feature, y, cast(floor((rank() over (partition by feature order by v) - 1) * 32 / count(*) over (partition by feature)) as bigint) bin
+      from u),
 j as (select feature, bin, y, count(*) c from b group by all),
 tot as (select feature, sum(c) n from j group by feature),
 pb as (select feature, bin, sum(c) c from j group by all),
@@ -203,17 +204,34 @@ select k.id, {r6('coalesce(pol, 0e0)')} sentiment_polarity, {r6('coalesce(subj,
 from k left join s on s.id = k.id"""
 
 
+# The prompt's words.
+PROMPT = ("Predict if AI generated text was used:\nTopic:", "\nAnswer:")
+
+
+def strip(c):
+    """Without white space at either end."""
+    return F.regexp_replace(c, f"^[{WS_BODY}]+|[{WS_BODY}]+$", "")
+
+
+def joined_text(df, topic="topic", answer="answer"):
+    """P-1: topic and answer, null as empty, joined by a space; all white space at the edges removed."""
+    return strip(F.concat_ws(" ", strip(F.coalesce(topic, F.lit(""))), strip(F.coalesce(answer, F.lit("")))))
+
+
 def text_inputs(spark, sf_dir):
-    """P-1 / P-2: joined text (null -> '', trimmed) and the three-line prompt."""
+    """P-1 / P-2: joined text and the three-line prompt; null is empty text in both."""
     a = answers(spark, sf_dir)
-    t = F.trim(F.concat_ws(" ", F.trim(F.coalesce("topic", F.lit(""))), F.trim(F.coalesce("answer", F.lit("")))))
-    prompt = F.concat(F.lit("Predict if AI generated text was used:\nTopic:"), F.coalesce("topic", F.lit("None")),
-                      F.lit("\nAnswer:"), F.coalesce("answer", F.lit("None")))
-    return finish(a.select("id", t.alias("text"), prompt.alias("prompt")))
+    prompt = F.concat(F.lit(PROMPT[0]), F.coalesce("topic", F.lit("")), F.lit(PROMPT[1]), F.coalesce("answer", F.lit("")))
+    return finish(a.select("id", joined_text(a).alias("text"), prompt.alias("prompt")))
+
+
+def _strip_sql(x):
+    return f"regexp_replace({x}, '^[{WS_BODY}]+|[{WS_BODY}]+$', '', 'g')"
 
 
-TEXT_INPUTS_SQL = f"""select id, trim(concat_ws(' ', trim(coalesce(topic, '')), trim(coalesce(answer, '')))) text,
-       'Predict if AI generated text was used:' || chr(10) || 'Topic:' || coalesce(topic, 'None') || chr(10) || 'Answer:' || coalesce(answer, 'None') prompt
+TEXT_INPUTS_SQL = f"""select id,
+       {_strip_sql("concat_ws(' ', " + _strip_sql("coalesce(topic, '')") + ", " + _strip_sql("coalesce(answer, '')") + ")")} "text",
+       'Predict if AI generated text was used:' || chr(10) || 'Topic:' || coalesce(topic, '') || chr(10) || 'Answer:' || coalesce(answer, '') prompt
 from ({ANSWERS_SQL}) a"""
 
 
@@ -281,11 +299,9 @@ def _tab_frame(spark, sf_dir):
 def cv_gbt_tabular(spark, sf_dir):
     """ML-3 / ML-4: boosted trees with early stopping on the validation fold, balanced class weights."""
     tr, te = _tab_frame(spark, sf_dir)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    tr = tr.withColumn("w", n / (F.lit(2) * F.count(F.lit(1)).over(Window.partitionBy(TARGET))))
     out = MO.cv_oof(tr, te, NUMERIC + CATS, TARGET, "fold",
                     lambda d: MO.gbt(SEED, max_iter=15, validation_col="_is_val", weight_col="w"),
-                    early_stopping=True)
+                    early_stopping=True, balance_col="w")
     return finish(out)
 
 

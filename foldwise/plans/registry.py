@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import io_queries as io
 from . import slice as slice_
 from . import text_queries as tq
 from . import tfidf_queries as fq
@@ -58,6 +59,11 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "topic_frequency": (sq.topic_frequency, sq.TOPIC_FREQUENCY_SQL),
     "describe_applications": (sq.describe_applications, sq.DESCRIBE_APPLICATIONS_SQL),
     "score_summary": (sq.score_summary, sq.SCORE_SUMMARY_SQL),
+    "csv_sources": (io.csv_sources, io.CSV_SOURCES_SQL),
+    "score_files": (io.score_files, io.SCORE_FILES_SQL),
+    "feature_export": (io.feature_export, io.FEATURE_EXPORT_SQL),
+    "run_record": (io.run_record, io.RUN_RECORD_SQL),
+    "softmax_scores": (io.softmax_scores, io.SOFTMAX_SCORES_SQL),
     "isotonic_calibration": (sq.isotonic_calibration, None),
     "folds_group": (mq.folds_group, mq.FOLDS_GROUP_SQL),
     "folds_repeated": (mq.folds_repeated, mq.FOLDS_REPEATED_SQL),

@@ -242,25 +242,41 @@ _TEST_ENS_SQL = (f"select t.id, avg(t.p) p, any_value(d.source) topic from ({tes
                  f"join documents d on d.doc_id = t.id group by t.id")
 
 
+STRETCHES = (0.0, 0.6, 1.8)  # of the test ensemble around .5: none, the relaxed and the strict pair of thresholds apply
+
+
+def _stretched(t, stretch):
+    p = F.lit(0.5) + (F.col("p") - 0.5) * (1 + stretch)
+    return t.withColumn("p", F.least(F.greatest(F.round(p, 4), F.lit(0.0)), F.lit(1.0)))
+
+
 def pseudo_labels(spark, sf_dir):
-    """PP-1 / PP-2 / U-1."""
+    """PP-1 / PP-2 / U-1, for three spreads of the test scores."""
     train = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
-    return finish(PP.pseudo_labels(train, _test_ensemble(spark, sf_dir)))
+    t = _test_ensemble(spark, sf_dir)
+    out = None
+    for s in STRETCHES:
+        one = PP.pseudo_labels(train, _stretched(t, s)).withColumn("stretch", F.lit(s))
+        out = one if out is None else out.unionByName(one)
+    return finish(out)
 
 
-PSEUDO_LABELS_SQL = f"""with t as ({_TEST_ENS_SQL}),
-th as (select case when sum(case when p >= 0.98 or p <= 0.02 then 1 else 0 end) >= count(*) * 0.3
+PSEUDO_LABELS_SQL = f"""with s as (select unnest([{', '.join(f'{x!r}e0' for x in STRETCHES)}]) stretch),
+t as (select stretch, id, least(greatest(round(0.5e0 + (p - 0.5e0) * (1 + stretch), 4), 0e0), 1e0) p from ({_TEST_ENS_SQL}) e cross join s),
+th as (select stretch, case when sum(case when p >= 0.98 or p <= 0.02 then 1 else 0 end) >= count(*) * 0.3
                    then 0.98 else 0.95 end hi,
               case when sum(case when p >= 0.98 or p <= 0.02 then 1 else 0 end) >= count(*) * 0.3
-                   then 0.02 else 0.05 end lo from t)
-select doc_id id, cast(quality as bigint) y, 1e0 weight, 'train' source from labels
+                   then 0.02 else 0.05 end lo from t group by stretch)
+select doc_id id, cast(quality as bigint) y, 1e0 weight, 'train' source, stretch from labels cross join s
 union all
-select id, cast(p > 0.5 as bigint) y, {r6('0.5e0 * greatest(p, 1 - p)')} weight, 'pseudo' source
-from t, th where p >= th.hi or p <= th.lo"""
+select id, cast(p > 0.5 as bigint) y, {r6('0.5e0 * greatest(p, 1 - p)')} weight, 'pseudo' source, t.stretch
+from t join th on th.stretch = t.stretch where p >= th.hi or p <= th.lo"""
 
 
 def _calibrated(spark, sf_dir):
-    train = answers(spark, sf_dir).where(F.col("split") == "train").select("topic", F.col("is_cheating").alias("y"))
+    """Topics of long names are labelled by ``toxic``, so that some have a mean below .3 and others one above .7."""
+    train = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("topic")), "doc_id") \
+        .select("topic", F.when(F.length("topic") > 4, F.col("toxic")).otherwise(F.col("quality")).alias("y"))
     return PP.topic_calibration(_test_ensemble(spark, sf_dir), train)
 
 
@@ -270,7 +286,8 @@ def topic_calibration(spark, sf_dir):
 
 
 _CAL_SQL = f"""with t as ({_TEST_ENS_SQL}),
-st as (select topic, avg(is_cheating) tm from ({ANSWERS_SQL}) a where split = 'train' group by topic having count(*) > 5)
+st as (select d.source topic, avg(case when length(d.source) > 4 then l.toxic else l.quality end) tm
+       from labels l join documents d on d.doc_id = l.doc_id group by d.source having count(*) > 5)
 select t.id, t.topic, t.p,
        case when st.tm > 0.7 then t.p * 0.9e0 + least(greatest(t.p + 0.1e0, 0e0), 1e0) * 0.1e0
             when st.tm < 0.3 then t.p * 0.9e0 + least(greatest(t.p - 0.1e0, 0e0), 1e0) * 0.1e0

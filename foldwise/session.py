@@ -44,7 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
     as is; a local scratch folder is only chosen when nothing is configured
-    (tests and the local bench).
+    in a local session (tests and the bench). A cluster without the setting
+    is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -54,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local"):
+        # executors would each write to their own disk, and later reads would miss those files
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="foldwise-ckpt-", dir=os.environ.get("FOLDWISE_SCRATCH", "/tmp"))
     sc.setCheckpointDir(scratch)
     return scratch

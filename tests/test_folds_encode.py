@@ -76,3 +76,30 @@ def test_factorize_first_appearance(spark):
     df = spark.createDataFrame([(1, "z"), (2, "a"), (3, "z"), (4, None)], "id long, c string")
     out = {r["id"]: r["c_code"] for r in E.factorize(df, ["c"], ["id"], suffix="_code").collect()}
     assert out == {1: 0, 2: 1, 3: 0, 4: -1}
+
+
+def test_factorize_takes_large_and_text_ids(spark):
+    df = spark.createDataFrame([(0, 2**44 + 5, "a"), (1, 1, "b"), (1, 2**60, "c")], "s int, id long, c string")
+    got = {r["c"]: r["k"] for r in E.factorize(df.withColumn("k", F.col("c")), ["k"], ["s", "id"]).collect()}
+    assert got == {"a": 0, "b": 1, "c": 2}
+    text = spark.createDataFrame([("z", "x"), ("b", "y"), ("c", None)], "id string, k string")
+    assert {r["id"]: r["k"] for r in E.factorize(text, ["k"], ["id"]).collect()} == {"z": 1, "b": 0, "c": -1}
+
+
+def test_group_folds_balance_the_label(spark):
+    # 30 groups of one size, a third of them positive: every fold gets two positive and four negative groups
+    df = spark.range(300).selectExpr("id", "id % 30 as g", "cast(id % 30 < 10 as int) as y")
+    per = {r["fold"]: (r["n"], r["p"]) for r in FO.group_kfold(df, 5, "g", "y").groupBy("fold").agg(
+        F.count("*").alias("n"), F.sum("y").alias("p")).collect()}
+    assert all(n == 60 and p == 20 for n, p in per.values()) and len(per) == 5
+
+
+def test_rank_by_range_equals_sort(spark):
+    from foldwise.operators.ranking import rank_by_range
+    df = spark.range(500).selectExpr("id % 3 as g", "(id * 7919) % 503 as v", "cast(id as string) as t")
+    want = {}
+    for r in sorted(df.collect(), key=lambda r: (r["g"], r["v"], r["t"])):
+        want[r["t"]] = sum(1 for x in want.values() if x[0] == r["g"])
+        want[r["t"]] = (r["g"], want[r["t"]])
+    got = {r["t"]: (r["g"], r["_rank"]) for r in rank_by_range(df, ["g"], ["v", "t"]).collect()}
+    assert got == want

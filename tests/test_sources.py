@@ -47,3 +47,13 @@ def test_export_features(spark):
     sinks.export_features(tr, te, os.path.join(d, "all"))
     back = spark.read.parquet(os.path.join(d, "all"))
     assert sorted((r["id"], r["split"]) for r in back.collect()) == [(1, "train"), (2, "test")]
+
+
+def test_cluster_without_shared_folder_is_refused():
+    import types
+
+    from foldwise import session
+    sc = types.SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://host:7077")
+    spark = types.SimpleNamespace(sparkContext=sc, conf={})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(spark)

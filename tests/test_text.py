@@ -91,3 +91,20 @@ def test_benford_punct_positions_match_brute_force(spark):
         assert [got[f"c{i}"] for i in range(9)] == counts
     finally:
         D.MAX_MAGNITUDE = old
+
+
+def test_joined_text_strips_all_white_space(spark):
+    from foldwise.plans.model_queries import joined_text
+    rows = [("\t t \n", " a "), (None, "\r\n x"), ("q", None), (None, None), ("a", "b\nc")]
+    df = spark.createDataFrame(rows, "topic string, answer string")
+    assert [r[0] for r in df.select(joined_text(df)).collect()] == ["t a", "x", "q", "", "a b\nc"]
+
+
+def test_phrase_and_paragraph_goldens(spark):
+    from foldwise.operators import textstyle as TS
+    text = f"{TS.AI_CONNECTORS[0]} we saw it.\n\nSecond paragraph, {TS.FORMAL_WORDS[0]} and {TS.PASSIVE_INDICATORS[0]} done.\n\n \n\nThird."
+    df = spark.createDataFrame([(1, text), (2, "plain words")], "id long, answer string")
+    a, b = TS.style_features(df, "answer", ["id"], ["phrases", "lengths"]).orderBy("id").collect()
+    for c in ("ai_connector_density", "formal_word_ratio", "passive_voice_ratio"):
+        assert a[c] > 0 and b[c] == 0, c
+    assert (a["paragraph_count"], b["paragraph_count"]) == (3, 1)
