@@ -10,7 +10,6 @@ AUC in one distributed pass partitioned by the weight (ME-3); the argmax is
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,8 +86,16 @@ def best_weight(grid: DataFrame, by: Sequence[str] = (), key: str = "w") -> Data
 def simplex_points(n_models: int, step: float = 0.1) -> list[tuple[float, ...]]:
     """Non-negative weights on a grid of ``step`` summing to 1 (286 points for 4 models at 0.1)."""
     k = round(1 / step)
-    pts = [c for c in product(range(k + 1), repeat=n_models) if sum(c) == k]
-    return [tuple(x / k for x in c) for c in pts]
+
+    def compositions(left: int, parts: int):
+        if parts == 1:
+            yield (left,)
+            return
+        for first in range(left + 1):
+            for rest in compositions(left - first, parts - 1):
+                yield (first, *rest)
+
+    return [tuple(x / k for x in c) for c in compositions(k, n_models)]
 
 
 def simplex_search(wide: DataFrame, cols: Sequence[str], label: str = "y", step: float = 0.1) -> DataFrame:

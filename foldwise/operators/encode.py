@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +41,27 @@ def unpivot(df: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFram
     return df.select(*keep, kv.alias("_kv")).select(*keep, "_kv.column", "_kv.key")
 
 
+def _column_sizes(mapping: DataFrame) -> dict[str, int]:
+    """Rows of a written ``(column, ...)`` mapping by column: one small row per column."""
+    return {r["column"]: r["n"] for r in mapping.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _look_up(long: DataFrame, mapping: DataFrame, on: Sequence[str], sizes: dict[str, int], bound: int) -> DataFrame:
+    """Left join of unpivoted rows with a mapping, decided column by column: the columns that fit the bound together,
+    smallest first, are broadcast; only the others are shuffled."""
+    small, total = [], 0
+    for c, n in sorted(sizes.items(), key=lambda x: (x[1], x[0])):
+        if total + n > bound:
+            break
+        small.append(c)
+        total += n
+    if len(small) == len(sizes):
+        return long.join(F.broadcast(mapping), list(on), "left")
+    few = F.col("column").isin(small)
+    return long.where(few).join(F.broadcast(mapping.where(few)), list(on), "left").unionByName(
+        long.where(~few).join(mapping.where(~few), list(on), "left"))
+
+
 # ---------------------------------------------------------------------------
 # TE-1 / TE-2: fit on all rows, transform other rows (unsmoothed lookup)
 # ---------------------------------------------------------------------------
@@ -70,9 +90,10 @@ def te_transform(df: DataFrame, mapping: DataFrame, globals_: DataFrame, cols: S
                  aggs: Sequence[str] = ("mean",), drop_original: bool = False, prefix: str = "TE_",
                  id_col: str = "id", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """TE-2: ``TE_<col>_<agg>`` = mapping lookup, missing key -> the global statistic."""
-    mapping = mapping.persist(StorageLevel.MEMORY_AND_DISK)
+    mapping = materialize(mapping)
     g = globals_.first()
-    small = mapping.count() <= max_broadcast_rows
+    sizes = _column_sizes(mapping)
+    small = sum(sizes.values()) <= max_broadcast_rows
     out = df
     if small and len(cols) <= MAX_PER_COLUMN_JOINS:
         for c in cols:
@@ -81,8 +102,7 @@ def te_transform(df: DataFrame, mapping: DataFrame, globals_: DataFrame, cols: S
             out = out.join(F.broadcast(m), key_expr(c) == F.col(f"_k_{c}"), "left")
     else:
         long = unpivot(df, cols, [id_col])
-        e = F.broadcast(mapping) if small else mapping
-        looked = long.join(e, ["column", "key"], "left")
+        looked = _look_up(long, mapping, ["column", "key"], sizes, max_broadcast_rows)
         for a in aggs:
             wide = looked.groupBy(id_col).pivot("column", list(cols)).agg(F.first(a))
             out = out.join(wide.select(id_col, *[F.col(f"`{c}`").alias(f"_v_{c}__{a}") for c in cols]), id_col, "left")
@@ -117,7 +137,7 @@ def oof_mapping(df: DataFrame, cols: Sequence[str], y: str, fold: str,
     fg = df.groupBy(fold).agg(F.count(F.lit(1)).alias("fn"), F.sum(yc).alias("fs"))
     tw = Window.partitionBy()
     fg = fg.select(fold, ((F.sum("fs").over(tw) - F.col("fs")) / (F.sum("fn").over(tw) - F.col("fn"))).alias("g"))
-    fg = fg.persist(StorageLevel.MEMORY_AND_DISK)
+    fg = materialize(fg)
 
     key_w = Window.partitionBy("column", "key")
     kw = (kf.withColumn("N", F.sum("n_f").over(key_w)).withColumn("S", F.sum("s_f").over(key_w))
@@ -184,8 +204,8 @@ def target_encode_oof(df: DataFrame, cols: Sequence[str], y: str, fold: str, id_
     """TE-3: add ``TE_<col>_mean`` = leave-fold-out smoothed mean; missing -> that fold's global mean."""
     df = materialize(df)  # read by the unpivot, the fold totals and the final join
     enc, fg, kw = oof_mapping(df, cols, y, fold, smooth)
-    n_enc = kw.count()  # one row per (column, key, fold) present; kw is already materialised
-    small = n_enc <= max_broadcast_rows
+    sizes = _column_sizes(kw)  # one row per (column, key, fold) present; kw is already materialised
+    small = sum(sizes.values()) <= max_broadcast_rows
     out = df.join(F.broadcast(fg.withColumnRenamed("g", "_g")), fold, "left")  # k rows
     if small and len(cols) <= MAX_PER_COLUMN_JOINS:
         for c in cols:
@@ -194,8 +214,7 @@ def target_encode_oof(df: DataFrame, cols: Sequence[str], y: str, fold: str, id_
             out = out.join(F.broadcast(m), (key_expr(c) == F.col(f"_k_{c}")) & (F.col(fold) == F.col(f"_f_{c}")), "left")
     else:
         long = unpivot(df, cols, [id_col, fold])
-        e = F.broadcast(enc) if small else enc
-        looked = long.join(e, ["column", "key", fold], "left")
+        looked = _look_up(long, enc, ["column", "key", fold], sizes, max_broadcast_rows)
         out = _attach_long(out, looked, cols, id_col, "te")
     enc_cols = [F.coalesce(F.col(f"_v_{c}"), F.col("_g")).alias(f"{prefix}{c}{suffix}") for c in cols]
     keep = [c for c in df.columns if not (drop_original and c in cols)]

@@ -1,7 +1,7 @@
 """Join helpers (J-1..J-6).
 
 ``lookup_join`` is the one place that decides broadcast: the small side is
-persisted, counted, and broadcast only when the count is under a bound;
+written, counted, and broadcast only when the count is under a bound;
 beyond it the join is a plain shuffle join (AQE may still split skew).
 """
 
@@ -9,16 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_BROADCAST_ROWS
+from ..session import DEFAULT_BROADCAST_ROWS, materialize
 
 
 def checked_broadcast(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Return ``(small', is_broadcast)``: ``small`` hinted for broadcast iff it has <= ``max_rows`` rows."""
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    small = materialize(small)
     n = small.count()
     if n <= max_rows:
         return F.broadcast(small), True

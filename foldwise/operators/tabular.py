@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_BROADCAST_ROWS
+from ..session import DEFAULT_BROADCAST_ROWS, materialize
 from .encode import key_expr, unpivot
 
 # Digit columns (multiplier, width) and rounding levels of the reference.
@@ -73,7 +73,7 @@ def external_encodings(df: DataFrame, external: DataFrame, cols: Sequence[str],
     ext = external.select(*cols, F.col(y).cast("double").alias("_y"))
     long = unpivot(ext, cols, ["_y"]).where(F.col("key").isNotNull())
     stats = long.groupBy("column", "key").agg(F.avg("_y").alias("_m"), F.count(F.lit(1)).cast("double").alias("_n"))
-    stats = stats.persist()
+    stats = materialize(stats)
     sizes = {r["column"]: r["n"] for r in stats.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     g = ext.agg(F.avg("_y").alias("g")).first()["g"]
     out = df

@@ -47,6 +47,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "blend_logit_grid": (sq.blend_logit_grid, sq.BLEND_LOGIT_GRID_SQL),
     "blend_logit_best": (sq.blend_logit_best, sq.BLEND_LOGIT_BEST_SQL),
     "blend_simplex": (sq.blend_simplex, sq.BLEND_SIMPLEX_SQL),
+    "blend_simplex_test": (sq.blend_simplex_test, sq.BLEND_SIMPLEX_TEST_SQL),
     "meta_blend": (sq.meta_blend, sq.META_BLEND_SQL),
     "seed_trim": (sq.seed_trim, sq.SEED_TRIM_SQL),
     "hp_objective": (sq.hp_objective, sq.HP_OBJECTIVE_SQL),

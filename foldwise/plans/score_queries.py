@@ -184,6 +184,26 @@ def _simplex_sql() -> str:
 BLEND_SIMPLEX_SQL = f"select cast(point as bigint) point, {r6('w_p_1')} w_p_1, {r6('w_p_2')} w_p_2, {r6('w_p_3')} w_p_3, {r6('auc')} auc from ({_simplex_sql()}) a"
 
 
+def blend_simplex_test(spark, sf_dir):
+    """BL-6 in full: the best simplex weights (equal ones if no AUC is defined) applied to the test scores, beside
+    their plain mean."""
+    cols = ["p_1", "p_2", "p_3"]
+    best = BL.best_simplex(BL.simplex_search(_wide(spark, sf_dir), cols), cols)  # one row
+    test = test_scores(spark, sf_dir).groupBy("id").pivot("model", [1, 2, 3]).agg(F.first("p"))
+    test = test.select("id", *[F.col(f"`{m}`").alias(f"p_{m}") for m in (1, 2, 3)])
+    w = [F.coalesce(F.col(f"w_{c}"), F.lit(1.0 / len(cols))) for c in cols]
+    weighted = sum((a * F.col(c) for a, c in zip(w[1:], cols[1:])), w[0] * F.col(cols[0]))
+    plain = (F.col("p_1") + F.col("p_2") + F.col("p_3")) / 3
+    return finish(test.crossJoin(F.broadcast(best)).select("id", weighted.alias("p_weighted"), plain.alias("p_plain"), "best_auc"))
+
+
+BLEND_SIMPLEX_TEST_SQL = f"""with a as ({_simplex_sql()}),
+b as (select * from a order by auc desc, point limit 1),
+t as (select id, max(p) filter (where model = 1) p_1, max(p) filter (where model = 2) p_2, max(p) filter (where model = 3) p_3
+      from ({test_scores_sql()}) s group by id)
+select id, {r6('w_p_1 * p_1 + w_p_2 * p_2 + w_p_3 * p_3')} p_weighted, {r6('(p_1 + p_2 + p_3) / 3')} p_plain, {r6('auc')} best_auc from t, b"""
+
+
 def meta_blend(spark, sf_dir):
     """BL-10: ensemble A = logit mean of models 1 and 2, ensemble B = model 3; logit weight search A vs B."""
     s = scores(spark, sf_dir)

@@ -103,3 +103,11 @@ def test_rank_by_range_equals_sort(spark):
         want[r["t"]] = (r["g"], want[r["t"]])
     got = {r["t"]: (r["g"], r["_rank"]) for r in rank_by_range(df, ["g"], ["v", "t"]).collect()}
     assert got == want
+
+
+def test_encoding_is_the_same_whatever_is_broadcast(rows):
+    f = FO.kfold(rows, 5, seed=1).withColumn("a", F.col("id") % 3).withColumn("b", F.col("id") % 400)
+    take = lambda df: [x for r in df.select("id", "TE_a_mean", "TE_b_mean").orderBy("id").collect() for x in r]
+    want = take(E.target_encode_oof(f, ["a", "b"], "y", "fold"))
+    for bound in (0, 100):  # nothing broadcast; only the small column
+        assert take(E.target_encode_oof(f, ["a", "b"], "y", "fold", max_broadcast_rows=bound)) == pytest.approx(want)
