@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import _GOLD, WordHashes, batches, id_text, mix
+from .packed import pack, pack_sorted, slices, unpack, unpack_sorted
 
 BLOCK_WORDS = 1_500_000
 RANGE_WORDS = 1_000_000  # corpus words per hash range, so that a range's entries stay bounded
@@ -41,29 +42,6 @@ END = np.uint64(0x454E44)
 UNSEEN = -1
 
 
-# ---- packed arrays
-
-def pack(x: np.ndarray) -> bytes:
-    """Byte planes, compressed."""
-    x = np.ascontiguousarray(x)
-    planes = x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T if len(x) else x.view(np.uint8)
-    return zstandard.compress(planes.tobytes(), 1)
-
-
-def unpack(b: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(b), np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    return pack(np.diff(x, prepend=np.uint64(0)))
-
-
-def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
-
-
 # ---- blocks
 
 class Block:
@@ -124,7 +102,7 @@ def _messages(bits: int):
             for kind, h in ((1, uni), (2, bi)):
                 at, inv = np.unique(h, return_inverse=True)
                 n = np.bincount(inv[train], minlength=len(at)).astype(np.uint32)
-                for part, lo, hi in _slices(at, bits):
+                for part, lo, hi in slices(at, bits):
                     rows.append((key, kind, part, pack_sorted(at[lo:hi]), pack(n[lo:hi])))
             yield _batch(rows, ["block", "kind", "part", "hashes", "counts"])
     return work
@@ -135,13 +113,6 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types.get(k, pa.int64())) for k, c in zip(names, zip(*rows))], names)
 
 
-def _slices(at: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    part = (at >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
-    edges = np.flatnonzero(np.diff(part, prepend=-1, append=1 << 62))
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        yield int(part[lo]), lo, hi
-
-
 def _answer(table: pa.Table) -> pa.Table:
     """Totals of one range: for each block in the order of its slice; ``block`` null carries tokens and types."""
     got = [unpack_sorted(b) for b in table.column("hashes").to_pylist()]

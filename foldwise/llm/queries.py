@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import ann, decontaminate, jaccard, langid, lm, packing, quality, secret_scan, token_count, token_file
+from . import ann, decontaminate, jaccard, langid, lm, oracle, packing, quality, secret_scan, token_count, token_file
 from .common import crc_mod
 
 
@@ -81,4 +81,4 @@ QUERIES = {
     "op10_token_count": op10_token_count,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": oracle.JACCARD_JOIN_SQL}

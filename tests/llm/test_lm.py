@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foldwise.llm import lm
+from foldwise.llm import lm, packed
 from foldwise.llm import queries as Q
 
 
@@ -91,5 +91,5 @@ def test_edges(spark):
 def test_packed_arrays_round_trip():
     rng = np.random.default_rng(0)
     x = np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2))
-    assert (lm.unpack_sorted(lm.pack_sorted(x)) == x).all()
-    assert len(lm.unpack(lm.pack(x[:0]), np.uint64)) == 0
+    assert (packed.unpack_sorted(packed.pack_sorted(x)) == x).all()
+    assert len(packed.unpack(packed.pack(x[:0]), np.uint64)) == 0
