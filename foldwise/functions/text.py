@@ -124,10 +124,6 @@ def with_value_counts(df: DataFrame, arr_col: str, prefix: str) -> DataFrame:
     return df.drop(s, m, st)
 
 
-def counts_only(vc: Column) -> Column:
-    return F.transform(vc, lambda e: e["tf"])
-
-
 def count_matches(t: Column, pattern: str) -> Column:
     return F.regexp_count(t, F.lit(pattern))
 

@@ -47,13 +47,6 @@ def logit_mean_blend(scores: DataFrame, by: Sequence[str] = ("id",), p_col: str
     return scores.groupBy(*by).agg(sigmoid(F.avg(logit(F.col(p_col)))).alias("p_logit_mean"))
 
 
-def weight_grid(n: int = 101) -> Column:
-    """``np.linspace(0, 1, n)``: i * step, the last point exactly 1."""
-    step = 1.0 / (n - 1)
-    i = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return i
-
-
 def _w_of(i: Column, n: int) -> Column:
     step = 1.0 / (n - 1)
     return F.when(i == n - 1, F.lit(1.0)).otherwise(i.cast("double") * F.lit(step))
@@ -130,8 +123,3 @@ def drop_worst_seed(diag: DataFrame, group: Sequence[str] = ("model", "fold"), s
     n = F.count(F.lit(1)).over(Window.partitionBy(*group))
     return diag.withColumn("_rk", F.row_number().over(w)).withColumn("_n", n) \
         .where((F.col("_rk") > 1) | (F.col("_n") == 1)).drop("_rk", "_n")
-
-
-def choose_stacker(blend_auc: Column, stack_auc: Column) -> Column:
-    """BL-8: use the stacker only if its AUC beats the blend."""
-    return stack_auc > blend_auc

@@ -83,11 +83,6 @@ def group_kfold(df: DataFrame, k: int, group_col: str, label_col: str | None = N
     return df.join(mapping, group_col, "left")
 
 
-def fold_split(df: DataFrame, fold_col: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """P-13: (train, validation) for fold ``k``."""
-    return df.where(F.col(fold_col) != k), df.where(F.col(fold_col) == k)
-
-
 def kfold_sql(source: str, k: int, seed: int = 42, label: str | None = None, id_col: str = "id",
               out: str = "fold") -> str:
     """DuckDB oracle text for FO-1 / FO-2 over a relation ``source``."""

@@ -29,26 +29,3 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str | Sequence[str] | Colu
     """J-1/J-2/J-3: join a mapping onto rows, broadcasting it only behind a size check."""
     small2, _ = checked_broadcast(small, max_rows)
     return big.join(small2, on, how)
-
-
-def lookup_with_default(big: DataFrame, mapping: DataFrame, key: str, value: str, default: Column | float,
-                        out: str | None = None, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """J-3: ``Series.map`` + ``fillna``: left join then ``coalesce`` with a default.
-
-    Null keys never match (as in pandas, whose group-by drops null keys).
-    """
-    out = out or value
-    m = mapping.select(F.col(key).alias("__k"), F.col(value).alias("__v")).where(F.col("__k").isNotNull())
-    j = lookup_join(big, m, F.col(key) == F.col("__k"), "left", max_rows)
-    d = default if isinstance(default, Column) else F.lit(default)
-    return j.withColumn(out, F.coalesce(F.col("__v"), d)).drop("__k", "__v")
-
-
-def require_all_present(ids: DataFrame, lookup: DataFrame, key: str) -> int:
-    """J-4: number of ``ids`` keys absent from ``lookup`` (a distributed ``left_anti`` count)."""
-    return ids.select(key).join(lookup.select(key), key, "left_anti").count()
-
-
-def rows_of_qualifying_groups(rows: DataFrame, group_stats: DataFrame, key: str, condition: Column) -> DataFrame:
-    """J-6: rows whose group meets a condition on its statistics (semi join on the filtered stats)."""
-    return rows.join(group_stats.where(condition).select(key), key, "left_semi")

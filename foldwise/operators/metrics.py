@@ -140,23 +140,6 @@ def prevalence_threshold(df: DataFrame, score: str = "p", label: str = "y") -> D
                     .alias("prevalence_threshold"))
 
 
-def global_row_rank(df: DataFrame, score: str, n_buckets: int | None = None, out: str = "_r",
-                    by: Sequence[str] = ()) -> DataFrame:
-    """0-based position of each row in ascending ``score`` order within ``by`` (ties in arbitrary order).
-
-    Two-level: value-range buckets ranked in their own tasks + the per-bucket
-    counts (``groups * n_buckets`` rows) prefix-summed and broadcast.
-    """
-    by = list(by)
-    nb = n_buckets or default_buckets(df)
-    rb = range_bucketed(df, [*by, score], nb)
-    counts = rb.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
-    rb = rb.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(score)) - 1)
-    return rb.join(F.broadcast(offs), [*by, "_b"]).withColumn(out, F.col("_off") + F.col("_rn")).drop("_off", "_rn", "_b")
-
-
 def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
     """``(*by, _v, _lo, _hi)``: each distinct value with the 0-based positions it occupies in the sorted
     multiset of its group. Rows are first folded to (value, count) with partial aggregation, so a value

@@ -52,11 +52,6 @@ def pseudo_labels(train: DataFrame, test: DataFrame, id_col: str = "id", y_col:
     return base.unionByName(pseudo)
 
 
-def pseudo_blend_ratio(n_pseudo: Column, n_test: Column) -> Column:
-    """PP-3: min(.3, n_pseudo / n_test)."""
-    return F.least(F.lit(0.3), n_pseudo / n_test)
-
-
 def topic_calibration(test: DataFrame, train: DataFrame, topic_col: str = "topic", y_col: str = "y",
                       p_col: str = "p", min_count: int = 5, strength: float = 0.1) -> DataFrame:
     """PP-4 / A-3 / J-6: for topics with more than ``min_count`` training rows, mean > .7 pushes test
@@ -119,10 +114,3 @@ def validate_output(out: DataFrame, expected_ids: DataFrame, id_col: str = "id",
     missing = expected_ids.select(id_col).join(out.select(id_col), id_col, "left_anti").agg(
         F.count(F.lit(1)).alias("missing_ids"))
     return o.crossJoin(e).crossJoin(missing)  # three one-row tables
-
-
-def class_weights(df: DataFrame, label: str = "y", by: Sequence[str] = ("fold",)) -> DataFrame:
-    """A-11: balanced weight ``n / (2 * n_c)`` per group and class."""
-    c = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n_c"))
-    tot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return c.join(tot, list(by)).select(*by, label, (F.col("n") / (F.lit(2) * F.col("n_c"))).alias("weight"))

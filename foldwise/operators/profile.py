@@ -79,12 +79,3 @@ def importance_rollup(imp: DataFrame, top: int = 25, group: Sequence[str] | None
     if group is not None:
         ranked = ranked.withColumn("in_group", F.col("feature").isin(*group))
     return ranked
-
-
-def top_k_features(scores: DataFrame, d: int, ratio: float = 0.7, min_keep: int = 128,
-                   max_keep: int | None = None) -> DataFrame:
-    """T-3: keep ``k = max(min_keep, int(ratio * d))`` (capped by ``max_keep``) features by score."""
-    k = max(min_keep, int(ratio * d))
-    if max_keep is not None:
-        k = min(k, max_keep)
-    return scores.orderBy(F.col("score").desc(), F.col("feature")).limit(k)

@@ -8,7 +8,7 @@ to the driver except the one-row run metadata. Paths are caller-supplied
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +61,3 @@ def metric_stamped_path(template: str, metrics: DataFrame, metric_col: str = "au
     """IO-10: format a path with a metric computed by Spark (one-row table), e.g. ``oof_cv_{auc}``."""
     v = metrics.select(metric_col).first()[0]
     return template.format(**{metric_col: f"{v:.{digits}f}"})
-
-
-def columns_for_output(df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return df.select(*keep)
