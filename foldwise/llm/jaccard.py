@@ -9,17 +9,19 @@ none cannot link. A set signs for its own band and for the next one, which cover
 
 From signatures to components, without pairs inside a group:
 
-1. Equal sets form one class; only class representatives sign.
+1. Equal sets form one class. A task signs the distinct sets of a block of texts; signatures that only one set of
+   the block carries travel packed, one slice per hash range, and a range keeps those that several blocks sent.
 2. Every set is compared with the smallest set id of each signature it carries (its centre), which links large groups
    of near copies at a cost linear in their size.
 3. Components of those links are contracted. Signatures whose members now lie in one component are settled. In the
-   others only members of different components can bring a new link; those pairs are formed by size, filtered by the
-   sets' distances to their common centre (a metric, so a difference above ``k`` rules a link out) and compared.
+   others only members of different components can bring a new link. A pair of them is ruled out, before it becomes
+   a row, by the sizes, by the sets' distances to their common centre (a metric, so a difference above ``k`` rules a
+   link out) and by byte sketches (each byte that differs is at least one element); the others are compared.
 4. Components of all links give the class of every document.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with nothing; fewer words than the n-gram
-make one shingle; equal texts link with distance 0; repeated rows of one id and text count once, one id with several
-texts is one document per text (rows carry the same id); null ids are left out; only id and text are read.
+make one shingle; equal texts link with distance 0; an id stands for one text, and rows that repeat it give one row;
+null ids are left out; an empty table gives an empty result; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -36,9 +38,17 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .common import _GOLD, WordHashes, batches, id_text, mix, shingles, signed
 from .components import components
+from .packed import pack, pack_sorted, slices, unpack, unpack_sorted
 
+NEED_ROWS = 500_000  # class ids broadcast to fetch their texts, at most; beyond it that join is a shuffle
+SKETCH = 2           # sketch parts for each element in which linked sets may differ
 K2 = 1   # parts of a range in which near sets may differ
-N2 = 2   # parts of a range: signatures per range = N2 choose K2
+
+
+def parts_per_range(share: Fraction) -> int:
+    """``n2``: signatures per range are ``n2 choose K2``. More parts make a signature hold more elements, which low
+    shares need, as their ranges are short (about ``(1 + share) / (2 - 2 share)`` elements a part at ``n2 = 2``)."""
+    return 2 if (1 + share) / (2 - 2 * share) >= 8 else 3
 
 
 class Bands:
@@ -47,6 +57,7 @@ class Bands:
     def __init__(self, share: Fraction) -> None:
         self.share = share
         self.lows = [1]
+        self.n2 = parts_per_range(share)
 
     def _grow(self, size: int) -> None:
         while self.lows[-1] <= size:
@@ -71,7 +82,7 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     own, out = bands.of(len(s)), []
     for band in (own, own + 1):
         k = bands.differ(band)
-        k2, n2 = (K2, N2) if k else (0, 1)
+        k2, n2 = (K2, bands.n2) if k else (0, 1)
         n1 = -(-(k + 1) // (k2 + 1))
         n = n1 * n2
         width = (1 << 64) // n
@@ -87,24 +98,98 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def sketch(s: np.ndarray, parts: int) -> np.ndarray:
+    """One byte for each of ``parts`` ranges of the hash space, seven to a long: ranges whose bytes differ hold
+    different elements, so their number never exceeds the number of elements in which two sets differ."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(s), dtype=np.uint64)])
+    width = (1 << 64) // parts
+    edge = np.searchsorted(s, np.arange(1, parts, dtype=np.uint64) * np.uint64(width))
+    edge = np.concatenate([[0], edge, [len(s)]])
+    byte = mix(total[edge[1:]] - total[edge[:-1]]) & np.uint64(255)
+    byte = np.append(byte, np.zeros(-parts % 7, np.uint64)).reshape(-1, 7)
+    return signed((byte << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64))
+
+
+def _differing(a, b):
+    """Bytes in which two sketches differ, as a column (the top byte of each long is empty, so nothing overflows)."""
+    low, high = 0x007F7F7F7F7F7F7F, 0x0080808080808080
+
+    def nonzero(x):
+        return F.bit_count(x.bitwiseAND(F.lit(low)).__add__(F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(high))).cast("int")
+
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + nonzero(x))
+
+
 def _key(s: np.ndarray) -> bytes | None:
     """128 bits of a set; None for the empty one."""
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
-def sets(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """``(doc_id, n_shingles, set_key, signatures)`` of rows ``(doc_id, text)``."""
+BLOCK_SIGNATURES = 1_000_000
+RANGE_SIGNATURES = 1_000_000  # signatures of the corpus per hash range
+_FIELDS = {"kind": pa.int32(), "doc_id": pa.int64(), "n_shingles": pa.int64(), "set_key": pa.binary(), "sig": pa.int64(),
+           "part": pa.int64(), "sigs": pa.binary(), "nodes": pa.binary()}
+POSTS = "kind int, doc_id long, n_shingles long, set_key binary, sig long, part long, sigs binary, nodes binary"
+DOC, LOCAL, SLICE = 0, 1, 2
+
+
+def _rows(kind: int, n: int, **cols) -> pa.RecordBatch:
+    arrays = [pa.array(cols[c], t) if c in cols else pa.nulls(n, t) for c, t in _FIELDS.items()]
+    arrays[0] = pa.array(np.full(n, kind, np.int32))
+    return pa.RecordBatch.from_arrays(arrays, list(_FIELDS))
+
+
+def _posts(n: int, bands: Bands, bits: int):
+    """Texts -> a DOC row each; by block, LOCAL rows ``(sig, doc_id)`` of signatures that several of its sets carry, and
+    SLICE rows with each signature once and the first set that carries it."""
+    def flush(sigs, nodes):
+        sig = np.concatenate(sigs)
+        node = np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs])
+        order = np.argsort(sig, kind="stable")
+        sig, node = sig[order], node[order]
+        new = np.concatenate([[True], sig[1:] != sig[:-1]])
+        several = ~new
+        several[:-1] |= ~new[1:]
+        if several.any():
+            yield _rows(LOCAL, int(several.sum()), sig=signed(sig[several]), doc_id=node[several])
+        sig, node = sig[new], node[new]
+        cut = list(slices(sig, bits))
+        yield _rows(SLICE, len(cut), part=[p for p, _, _ in cut], sigs=[pack_sorted(sig[a:b]) for _, a, b in cut],
+                    nodes=[pack(node[a:b]) for _, a, b in cut])
+
     def work(it):
         words = WordHashes()
+        seen, sigs, nodes, held = set(), [], [], 0
         for b, texts in batches(it):
-            got = [shingles(words(t.lower().split()), n) for t in texts]
-            sig = [signatures(s, bands) for s in got]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array([_key(s) for s in got], pa.binary()),
-                 pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in sig]).astype(np.int32), signed(np.concatenate(sig)))],
-                ["doc_id", "n_shingles", "set_key", "signatures"])
+            ids, sizes, keys = b.column("doc_id"), [], []
+            for d, t in zip(ids.to_pylist(), texts):
+                s = shingles(words(t.lower().split()), n)
+                sizes.append(len(s))
+                keys.append(_key(s))
+                if len(s) and keys[-1] not in seen:
+                    seen.add(keys[-1])
+                    sigs.append(signatures(s, bands))
+                    nodes.append(d)
+                    held += len(sigs[-1])
+                    if held >= BLOCK_SIGNATURES:
+                        yield from flush(sigs, nodes)
+                        seen, sigs, nodes, held = set(), [], [], 0
+            yield _rows(DOC, len(sizes), doc_id=ids, n_shingles=sizes, set_key=keys)
+        if nodes:
+            yield from flush(sigs, nodes)
+    return work
+
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, set_key binary, signatures array<long>")
+def _across(t: pa.Table) -> pa.Table:
+    """One hash range: ``(sig, doc_id)`` of the signatures that several blocks sent."""
+    sig = np.concatenate([unpack_sorted(x) for x in t.column("sigs").to_pylist()])
+    node = np.concatenate([unpack(x, np.int64) for x in t.column("nodes").to_pylist()])
+    order = np.argsort(sig, kind="stable")
+    sig, node = sig[order], node[order]
+    several = np.zeros(len(sig), bool)
+    several[1:] = sig[1:] == sig[:-1]
+    several[:-1] |= several[1:]
+    return pa.Table.from_arrays([pa.array(signed(sig[several])), pa.array(node[several])], ["sig", "doc_id"])
 
 
 def _of_sets(n: int):
@@ -134,22 +219,42 @@ def _check(n: int):
     return work
 
 
+def _texts(ids: DataFrame, docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """``(doc_id, set_key, text)`` of class ids: only these texts move."""
+    need = materialize(ids.distinct().join(classes.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id"))
+    if need.count() <= NEED_ROWS:
+        need = F.broadcast(need)
+    return docs.join(need, "doc_id").select("doc_id", "set_key", "text") \
+        .mapInArrow(_of_sets(n), "doc_id long, set_key binary, text binary").dropDuplicates(["doc_id"])
+
+
 def distances(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """``(a, b, differ)`` for pairs of class ids: the size of the sets' symmetric difference, from the whole texts.
 
-    Only texts that some pair needs move. Both joins run between written tables on an id, so Spark can split an id
-    that stands in very many pairs.
+    Both joins are on an id and on nothing else, so Spark can split an id that stands in very many pairs.
     """
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct() \
-        .join(classes.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id")
-    text = materialize(docs.join(need, "doc_id").select("doc_id", "set_key", "text")
-                       .mapInArrow(_of_sets(n), "doc_id long, set_key binary, text binary")
-                       .dropDuplicates(["doc_id"]).drop("set_key"))
-    half = materialize(pairs.join(text.select(F.col("doc_id").alias("b"), "text"), "b"))
-    return half.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("center_text")), "a") \
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    text = _texts(ids, docs, classes, n)
+    return pairs.join(text.select(F.col("doc_id").alias("b"), "text"), "b") \
+        .join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("center_text")), "a") \
         .select("a", "b", "center_text", "text").mapInArrow(_check(n), "a long, b long, differ long")
 
 
+def _sketches(n: int, bands: Bands):
+    def work(it):
+        words = WordHashes()
+        for b in it:
+            rows = []
+            for t in b.column("text").to_pylist():
+                s = shingles(words(t.lower().split()), n)
+                band = bands.of(len(s))
+                rows.append((band, *[sketch(s, SKETCH * (bands.differ(k) + 1)) for k in (band, band + 1)]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([r[0] for r in rows], pa.int32()),
+                 *[pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2)]], ["rep", "band", "own", "next"])
+    return work
+
+
 def link_components(df: DataFrame, n: int = 3, share: Fraction = Fraction(9, 10), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: texts link when their sets' Jaccard similarity is at least ``share``."""
@@ -159,16 +264,21 @@ def link_components(df: DataFrame, n: int = 3, share: Fraction = Fraction(9, 10)
     linked = lambda x, y, d: (x + y - d) * F.lit(down) >= (x + y + d) * F.lit(up)
     sizes_fit = lambda x, y: F.least(x, y) * F.lit(down) >= F.greatest(x, y) * F.lit(up)
 
-    one = materialize(sets(docs, n, Bands(share)))
-    mine = materialize(one.groupBy("doc_id").agg(F.max(F.struct("set_key", "n_shingles")).alias("s"))
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    expected = size / 6 * float(2 * (1 - share) / (1 + share)) * 2.3
+    bits = max(0, int(np.ceil(np.log2(max(expected / RANGE_SIGNATURES, 1)))))
+    signed_docs = docs.mapInArrow(_posts(n, Bands(share), bits), POSTS)
+    one = materialize(signed_docs.where(F.col("kind") != SLICE))
+    mine = materialize(one.where(F.col("kind") == DOC).groupBy("doc_id").agg(F.max(F.struct("set_key", "n_shingles")).alias("s"))
                        .select("doc_id", "s.set_key", "s.n_shingles"))
     classes = materialize(mine.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size")))
+    class_of = materialize(mine.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep", "size"))
 
-    # signatures of class representatives
-    signed_sets = materialize(one.select(F.col("doc_id").alias("rep"), "set_key", "signatures")
-                              .join(classes, ["rep", "set_key"]).select("rep", "size", "signatures"))
-    posts = signed_sets.select("rep", "size", F.explode("signatures").alias("sig"))
+    # signatures that more than one class carries, and who carries them
+    across = signed_docs.where(F.col("kind") == SLICE).select("part", "sigs", "nodes").groupBy("part").applyInArrow(_across, "sig long, doc_id long")
+    posts = across.unionByName(one.where(F.col("kind") == LOCAL).select("sig", "doc_id"))
+    posts = materialize(posts.join(class_of, "doc_id").select("sig", "rep", "size").distinct())
     shared = materialize(posts.groupBy("sig").agg(F.min(F.struct("rep", "size")).alias("c"), F.max("rep").alias("last"))
                          .where(F.col("c.rep") < F.col("last")).select("sig", F.col("c.rep").alias("center"), F.col("c.size").alias("center_size")))
     members = materialize(posts.join(shared, "sig"))
@@ -177,7 +287,22 @@ def link_components(df: DataFrame, n: int = 3, share: Fraction = Fraction(9, 10)
     pairs = members.where((F.col("rep") != F.col("center")) & sizes_fit(F.col("size"), F.col("center_size"))) \
         .select(F.col("center").alias("a"), F.col("rep").alias("b"), F.col("center_size").alias("x"), F.col("size").alias("y")).distinct()
     pairs = materialize(pairs)
-    to_center = materialize(distances(pairs.select("a", "b"), docs, classes, n).join(pairs, ["a", "b"]))
+    bands = Bands(share)
+    ids = members.select(F.col("rep").alias("doc_id"))
+    sketches = materialize(_texts(ids, docs, classes, n)
+                           .mapInArrow(_sketches(n, bands), "rep long, band int, own array<long>, next array<long>"))
+    within = lambda d, x, y: d * F.lit(up + down) <= (x + y) * F.lit(down - up)
+
+    def bytes_differ(p, q):
+        return F.when(F.col(f"{p}.band") == F.col(f"{q}.band"), _differing(F.col(f"{p}.own"), F.col(f"{q}.own"))) \
+            .when(F.col(f"{p}.band") < F.col(f"{q}.band"), _differing(F.col(f"{p}.next"), F.col(f"{q}.own"))) \
+            .otherwise(_differing(F.col(f"{p}.own"), F.col(f"{q}.next")))
+
+    near = pairs.join(sketches.alias("q"), F.col("b") == F.col("q.rep")) \
+        .join(sketches.alias("p"), (F.col("a") == F.col("p.rep")) & within(bytes_differ("p", "q"), F.col("x"), F.col("y"))) \
+        .select("a", "b", "x", "y")
+    near = materialize(near)
+    to_center = materialize(distances(near.select("a", "b"), docs, classes, n).join(near, ["a", "b"]))
     links = to_center.where(linked(F.col("x"), F.col("y"), F.col("differ"))).select("a", "b")
     parts = components(links)
 
@@ -187,14 +312,17 @@ def link_components(df: DataFrame, n: int = 3, share: Fraction = Fraction(9, 10)
     label = materialize(label)
     open_sigs = label.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
         .where("lo < hi").select("sig")
-    apart = materialize(label.join(materialize(open_sigs), "sig", "left_semi")
-                        .join(to_center.select(F.col("a").alias("center"), F.col("b").alias("rep"), "differ"), ["center", "rep"], "left")
-                        .withColumn("differ", F.when(F.col("rep") == F.col("center"), F.lit(0)).otherwise(F.col("differ"))))
+    apart = materialize(label.where(F.col("rep") != F.col("center")).join(materialize(open_sigs), "sig", "left_semi")
+                        .join(to_center.select(F.col("a").alias("center"), F.col("b").alias("rep"), "differ"), ["center", "rep"], "left"))
+    carried = materialize(apart.groupBy("rep").agg(F.sort_array(F.collect_set("sig")).alias("sigs")))  # a set's own signatures
+    apart = materialize(apart.join(materialize(sketches.join(carried, "rep")), "rep"))
     l, r = apart.alias("l"), apart.alias("r")
     x, y = F.col("l.size"), F.col("r.size")
-    gap = F.abs(F.col("l.differ") - F.col("r.differ")) * F.lit(up + down) <= (x + y) * F.lit(down - up)
+    gap = F.coalesce(within(F.abs(F.col("l.differ") - F.col("r.differ")), x, y), F.lit(True))
+    # a pair stands in the first signature that both carry
+    first = F.array_min(F.array_intersect("l.sigs", "r.sigs")) == F.col("l.sig")
     rest = l.join(r, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.component") < F.col("r.component")) & sizes_fit(x, y)
-                  & F.coalesce(gap, F.lit(True)) & (F.col("l.rep") != F.col("l.center")) & (F.col("r.rep") != F.col("l.center"))) \
+                  & gap & within(bytes_differ("l", "r"), x, y) & first) \
         .select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"),
                 F.when(F.col("l.rep") < F.col("r.rep"), x).otherwise(y).alias("x"),
                 F.when(F.col("l.rep") < F.col("r.rep"), y).otherwise(x).alias("y")).distinct()

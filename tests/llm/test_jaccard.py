@@ -97,3 +97,21 @@ def test_shingles_count_distinct():
     h = WordHashes()
     assert len(shingles(h(b"a b a b a b".split()), 3)) == 2
     assert len(shingles(h(b"a b".split()), 3)) == 1
+
+
+def test_sketch_never_exceeds_the_difference(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for m in (5, 40, 200, 900):
+        base = np.unique(rng.integers(0, 2**63, m, dtype=np.uint64) * np.uint64(2))
+        for cut in (0, 1, m // 10, m // 2):
+            other = np.unique(np.concatenate([base[cut:], rng.integers(0, 2**63, cut, dtype=np.uint64)]))
+            a, b = J.sketch(base, 4 * 21), J.sketch(other, 4 * 21)
+            rows.append((a.tolist(), b.tolist()))
+            plain = sum((x.to_bytes(8, "little", signed=True)[k] != y.to_bytes(8, "little", signed=True)[k])
+                        for x, y in zip(a.tolist(), b.tolist()) for k in range(8))
+            assert plain <= len(np.setxor1d(base, other))
+            want.append(plain)
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    assert [r[0] for r in df.select(J._differing(F.col("a"), F.col("b"))).collect()] == want
