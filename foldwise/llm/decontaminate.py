@@ -2,9 +2,10 @@
 
 A seed is the hash of the words that a fixed mask keeps inside a window; the words it ignores may be substituted. The
 three masks each ignore another third of the positions, so one substitution, or several a multiple of three words
-apart, always leaves a mask that still hits. Seeds of the test set meet the seeds of the texts; around each hit the
-two texts are aligned, and the best run through it (one for a matching word, ``-MISMATCH`` for a substituted one)
-must hold ``MIN_WORDS`` words, or all of a shorter item, with a share of ``MIN_SHARE`` equal.
+apart, always leaves a mask that still hits. Seeds of the test set meet the seeds of the texts; at each hit the
+two texts are aligned, and any run of the aligned words counts that holds ``MIN_WORDS`` words, or all of a shorter item,
+with a share of ``MIN_SHARE`` equal, whatever stands beside it. One for a matching word and ``-MISMATCH`` for a
+substituted one add up to 0 or more in exactly the runs that have that share.
 
 The test set is read in parts of at most about ``PART_WORDS`` words. A part's seeds are broadcast (its size is the
 bound) and each part takes one pass over the texts, so a larger test set means more passes, not a larger broadcast.
@@ -30,7 +31,7 @@ MASKS = ("110110110110", "101101101101", "011011011011")
 MIN_WORDS = 13
 MIN_ITEM = 5
 MIN_SHARE = 0.8
-MISMATCH = 2
+MISMATCH = 4  # MIN_SHARE / (1 - MIN_SHARE)
 PART_WORDS = 500_000
 _FILTER_BITS = 22
 
@@ -81,14 +82,27 @@ def index_items(items: list[tuple[int, bytes]]) -> Part:
                 np.concatenate([h for _, h in hs]) if hs else np.empty(0, np.uint64), index)
 
 
-def _best_run(same: np.ndarray, lo: int, hi: int) -> tuple[int, int]:
-    """The best-scoring run that contains ``[lo, hi)``."""
-    gain = np.where(same, 1, -MISMATCH)
-    left = np.cumsum(gain[:lo][::-1])
-    right = np.cumsum(gain[hi:])
-    a = lo - (int(left.argmax()) + 1 if len(left) and left.max() > 0 else 0)
-    b = hi + (int(right.argmax()) + 1 if len(right) and right.max() > 0 else 0)
-    return a, b
+def _best_run(same: np.ndarray, least: int) -> tuple[int, int] | None:
+    """The run of at least ``least`` words, a share of ``MIN_SHARE`` equal, with the most equal words.
+
+    Substituted words at its ends are left out as far as ``least`` allows. None if there is no such run.
+    """
+    n = len(same)
+    if n < least:
+        return None
+    score = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
+    top = np.maximum.accumulate(score[::-1])  # the highest score from each place on, from the last place
+    first = np.arange(n - least + 1)
+    last = n - np.searchsorted(top, score[first])  # the last place that scores no less
+    equal = np.concatenate([[0], np.cumsum(same)])
+    gain = np.where(last - first >= least, equal[last] - equal[first], -1)
+    k = int(gain.argmax())
+    if gain[k] < 0:
+        return None
+    a, b = k, int(last[k])
+    kept = np.flatnonzero(same[a:b])
+    end = min(b, max(a + int(kept[-1]) + 1, a + int(kept[0]) + least))
+    return min(a + int(kept[0]), end - least), end
 
 
 def overlaps(part: Part, h: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -96,7 +110,7 @@ def overlaps(part: Part, h: np.ndarray, starts: np.ndarray) -> list[tuple[int, i
 
     ``h`` holds the words of several texts one behind the other, ``starts`` where each begins, and the end.
     """
-    hits: set[tuple[int, int, int, int, int]] = set()
+    hits: set[tuple[int, int, int]] = set()
     for mask, bits, known, at in part.index:
         s = seeds(h, mask)
         near = np.flatnonzero(bits[s >> np.uint64(64 - _FILTER_BITS)])
@@ -108,20 +122,15 @@ def overlaps(part: Part, h: np.ndarray, starts: np.ndarray) -> list[tuple[int, i
         for pos, t, a, b in zip(near[inside].tolist(), text[inside].tolist(), lo[inside].tolist(), hi[inside].tolist()):
             for place in at[a:b].tolist():
                 item = int(np.searchsorted(part.start, place, "right")) - 1
-                hits.add((t, item, pos - place, pos, len(mask)))
+                hits.add((t, item, pos - place))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    done: dict[tuple[int, int, int], int] = {}
-    for t, item, diagonal, pos, span in sorted(hits):
-        if done.get((t, item, diagonal), -1) >= pos + span:
-            continue  # inside the run that an earlier hit on this diagonal gave
+    for t, item, diagonal in sorted(hits):
         i0, i1 = int(part.start[item]), int(part.start[item + 1])
         a0, a1 = max(int(starts[t]), i0 + diagonal), min(int(starts[t + 1]), i1 + diagonal)
         same = h[a0:a1] == part.words[a0 - diagonal:a1 - diagonal]
-        a, b = _best_run(same, pos - a0, pos + span - a0)
-        done[t, item, diagonal] = a0 + b
-        n, equal = b - a, int(same[a:b].sum())
-        if n >= min(MIN_WORDS, i1 - i0) and equal >= MIN_SHARE * n:
-            best[t, item] = max(best.get((t, item), (0, 0, 0)), (equal, n, a0 + a - int(starts[t])))
+        if run := _best_run(same, min(MIN_WORDS, i1 - i0)):
+            a, b = run
+            best[t, item] = max(best.get((t, item), (0, 0, 0)), (int(same[a:b].sum()), b - a, a0 + a - int(starts[t])))
     return [(t, item, first, n, equal) for (t, item), (equal, n, first) in sorted(best.items())]
 
 

@@ -89,3 +89,36 @@ def test_one_substitution_leaves_a_seed():
         g = h.copy()
         g[k] = np.uint64(99)
         assert any((D.seeds(h, m) == D.seeds(g, m)).all() for m in D.MASKS)
+
+
+def test_loose_neighbours_do_not_hide_a_core(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items, docs, least = [], [], {}
+    for d, (core, blocks) in enumerate([(13, 0), (13, 5), (13, 20), (30, 12)]):
+        item = [word() for _ in range(core + 7 * blocks)]
+        copy = [word() if k >= core and (k - core) % 7 < 2 else w for k, w in enumerate(item)]
+        for turn in (1, -1):  # the loose part behind the core, and before it
+            items.append((len(items), " ".join(item[::turn])))
+            docs.append((len(docs), " ".join([word() for _ in range(40)] + copy[::turn] + [word() for _ in range(40)])))
+            least[len(docs) - 1] = core
+    got = D.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"),
+                          spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, d) for d in least}
+    assert all(r["n_equal"] >= least[r["doc_id"]] and r["n_equal"] >= D.MIN_SHARE * r["n_words"] for r in got)
+
+
+def test_best_run_against_all_runs():
+    rng = np.random.default_rng(4)
+    for _ in range(3000):
+        n, least = int(rng.integers(1, 45)), int(rng.integers(5, 14))
+        same = rng.random(n) < rng.choice([0.5, 0.7, 0.8, 0.9])
+        runs = [(int(same[a:b].sum()), b - a) for a in range(n) for b in range(a + least, n + 1)
+                if 5 * int(same[a:b].sum()) >= 4 * (b - a)]
+        got = D._best_run(same, least)
+        assert (got is None) == (not runs)
+        if got:
+            a, b = got
+            equal = max(e for e, _ in runs)
+            assert 0 <= a and b <= n and (equal, b - a) in runs and int(same[a:b].sum()) == equal
+            assert b - a == least or same[a] and same[b - 1]
