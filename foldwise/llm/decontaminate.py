@@ -1,23 +1,29 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is the hash of the words that a fixed mask keeps inside a window; the words it ignores may be substituted. The
-three masks each ignore another third of the positions, so one substitution, or several a multiple of three words
-apart, always leaves a mask that still hits. Seeds of the test set meet the seeds of the texts; at each hit the
-two texts are aligned, and any run of the aligned words counts that holds ``MIN_WORDS`` words, or all of a shorter item,
-with a share of ``MIN_SHARE`` equal, whatever stands beside it. One for a matching word and ``-MISMATCH`` for a
-substituted one add up to 0 or more in exactly the runs that have that share.
+A seed is the hash of the words that a fixed mask keeps inside a window; the words it ignores may be substituted. Seeds
+of the test set meet the seeds of the texts; at each hit the two texts are aligned, and any run of the aligned words
+counts that holds ``MIN_WORDS`` words, or all of a shorter item, with a share of ``MIN_SHARE`` equal, whatever stands
+beside it. One for a matching word and ``-MISMATCH`` for a substituted one add up to 0 or more in exactly those runs.
+
+The seeds miss no such run. A run of twice ``MIN_WORDS`` or more has a half that counts too, so one of 13 to 25 words is
+there; it has at most a fifth substituted, which leaves four equal words side by side, or else three equal words five
+times in 15 words with one substituted between them; ``MASKS`` has one mask for each. Shorter items are cut into two
+pieces more than the words that may be substituted, and have a mask for every two pieces.
 
 The test set is read in parts of at most about ``PART_WORDS`` words. A part's seeds are broadcast (its size is the
 bound) and each part takes one pass over the texts, so a larger test set means more passes, not a larger broadcast.
 
 Defined cases: texts and items that are null or empty, or have fewer than ``MIN_ITEM`` words, overlap with nothing;
-items shorter than the masks are found where they stand whole; repeated texts, items and passages are all reported,
+items of fewer than ``MIN_WORDS`` words are found where they stand whole, a share of ``MIN_SHARE`` equal; repeated texts, items and passages are all reported,
 repeated rows of one id once; null ids never appear; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +33,20 @@ from pyspark.sql import functions as F
 from .common import _GOLD, WordHashes, batches, id_text, mix
 
 # 1 keeps a word, 0 ignores it.
-MASKS = ("110110110110", "101101101101", "011011011011")
+MASKS = ("1111", "111011101110111")
 MIN_WORDS = 13
 MIN_ITEM = 5
 MIN_SHARE = 0.8
 MISMATCH = 4  # MIN_SHARE / (1 - MIN_SHARE)
 PART_WORDS = 500_000
 _FILTER_BITS = 22
+_HITS = 200_000  # looked at side by side
+
+
+def short_masks(n: int) -> list[str]:
+    """Masks of an item of ``n`` words, of which one at least ignores any words that may be substituted."""
+    cut = np.array_split(np.arange(n), n - math.ceil(MIN_SHARE * n) + 2)
+    return ["".join("01"[k in x or k in y] for k in range(n)) for x, y in combinations(cut, 2)]
 
 
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
@@ -63,10 +76,9 @@ def index_items(items: list[tuple[int, bytes]]) -> Part:
     hs = [(i, words((t or b"").lower().split())) for i, t in items if i is not None]
     hs = [(i, h) for i, h in hs if len(h) >= MIN_ITEM]
     start = np.cumsum([0] + [len(h) for _, h in hs])
-    span = len(MASKS[0])
-    masks = {m: [k for k, (_, h) in enumerate(hs) if len(h) >= span] for m in MASKS}
-    for n in sorted({len(h) for _, h in hs if len(h) < span}):
-        masks["1" * n] = [k for k, (_, h) in enumerate(hs) if len(h) == n]
+    masks = {m: [k for k, (_, h) in enumerate(hs) if len(h) >= max(MIN_WORDS, len(m))] for m in MASKS}
+    for n in sorted({len(h) for _, h in hs if len(h) < MIN_WORDS}):
+        masks |= dict.fromkeys(short_masks(n), [k for k, (_, h) in enumerate(hs) if len(h) == n])
     index = []
     for mask, members in masks.items():
         if not members:
@@ -105,24 +117,42 @@ def _best_run(same: np.ndarray, least: int) -> tuple[int, int] | None:
     return min(a + int(kept[0]), end - least), end
 
 
+def _hits(part: Part, h: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(text, item, diagonal, place in h, span)`` of the seeds that both have, some ``_HITS`` at a time."""
+    for mask, bits, known, at in part.index:
+        s = seeds(h, mask)
+        near = np.flatnonzero(bits[s >> np.uint64(64 - _FILTER_BITS)])
+        lo, hi = (np.searchsorted(known, s[near], side) for side in ("left", "right"))
+        text = np.searchsorted(starts, near, "right") - 1
+        real = (hi > lo) & (near + len(mask) <= starts[text + 1])
+        near, lo, n, text = near[real], lo[real], (hi - lo)[real], text[real]
+        ends = np.cumsum(n)
+        i = 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + _HITS, "right")))
+            m, done = n[i:j], ends[i:j] - n[i:j]
+            place = at[np.repeat(lo[i:j] - done, m) + np.arange(done[0], done[0] + m.sum())]
+            pos = np.repeat(near[i:j], m)
+            yield np.repeat(text[i:j], m), np.searchsorted(part.start, place, "right") - 1, pos - place, pos, len(mask)
+            i = j
+
+
 def overlaps(part: Part, h: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """``(text, item, first word, words, equal words)`` of the best overlap of each text with each item.
 
     ``h`` holds the words of several texts one behind the other, ``starts`` where each begins, and the end.
     """
+    reach = 2 * MIN_WORDS - 1  # words of the longest run that no part of stands for
     hits: set[tuple[int, int, int]] = set()
-    for mask, bits, known, at in part.index:
-        s = seeds(h, mask)
-        near = np.flatnonzero(bits[s >> np.uint64(64 - _FILTER_BITS)])
-        lo, hi = (np.searchsorted(known, s[near], side) for side in ("left", "right"))
-        real = hi > lo
-        near, lo, hi = near[real], lo[real], hi[real]
-        text = np.searchsorted(starts, near, "right") - 1
-        inside = near + len(mask) <= starts[text + 1]
-        for pos, t, a, b in zip(near[inside].tolist(), text[inside].tolist(), lo[inside].tolist(), hi[inside].tolist()):
-            for place in at[a:b].tolist():
-                item = int(np.searchsorted(part.start, place, "right")) - 1
-                hits.add((t, item, pos - place))
+    for text, item, diagonal, pos, span in _hits(part, h, starts):
+        i0, i1 = part.start[item], part.start[item + 1]
+        a = np.maximum(np.maximum(starts[text], i0 + diagonal), pos + span - reach)
+        n = np.minimum(np.minimum(starts[text + 1], i1 + diagonal), pos + reach) - a
+        first = np.cumsum(n) - n
+        k = np.repeat(a - first, n) + np.arange(n.sum())
+        equal = np.add.reduceat(h[k] == part.words[k - np.repeat(diagonal, n)], first, dtype=np.int64)
+        full = equal >= MIN_SHARE * np.minimum(MIN_WORDS, i1 - i0)
+        hits.update(zip(text[full].tolist(), item[full].tolist(), diagonal[full].tolist()))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for t, item, diagonal in sorted(hits):
         i0, i1 = int(part.start[item]), int(part.start[item + 1])

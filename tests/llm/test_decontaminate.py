@@ -122,3 +122,46 @@ def test_best_run_against_all_runs():
             equal = max(e for e, _ in runs)
             assert 0 <= a and b <= n and (equal, b - a) in runs and int(same[a:b].sum()) == equal
             assert b - a == least or same[a] and same[b - 1]
+
+
+def test_every_passage_that_meets_the_rule_is_found():
+    """Random substitutions down to the rule's share, in whole items of 5 words and more."""
+    rng = np.random.default_rng(5)
+    word = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    for n in [*range(5, 26), 30, 60]:
+        for k in range(n // 5 + 1):
+            items = [" ".join(f"w{x}" for x in word(n)) for _ in range(30)]
+            part = D.index_items([(i, t.encode()) for i, t in enumerate(items)])
+            hs = []
+            for i in range(30):
+                body = np.concatenate([word(40), part.words[part.start[i]:part.start[i + 1]], word(40)])
+                body[40 + rng.choice(n, k, replace=False)] = word(k)
+                hs.append(body)
+            got = D.overlaps(part, np.concatenate(hs), np.cumsum([0] + [len(x) for x in hs]))
+            assert {(t, i) for t, i, *_ in got} == {(i, i) for i in range(30)}, (n, k)
+
+
+def test_seeds_lose_no_run():
+    """Every placing of the substituted words that meets the rule leaves a seed, and nothing else is reported."""
+    from itertools import combinations
+    for n in range(5, 26):
+        item = np.arange(1, n + 1, dtype=np.uint64)
+        masks = D.MASKS if n >= D.MIN_WORDS else D.short_masks(n)
+        for gone in combinations(range(n), n // 5):
+            copy = item.copy()
+            copy[list(gone)] = 0
+            assert any((D.seeds(item, m) == D.seeds(copy, m)).any() for m in masks), (n, gone)
+    part = D.index_items([(0, " ".join(f"a{k}" for k in range(12)).encode())])
+    copy = part.words.copy()
+    copy[[1, 5, 9]] = 7  # 9 of 12
+    assert D.overlaps(part, copy, np.array([0, 12])) == []
+
+
+def test_hits_in_small_lots_give_the_same(monkeypatch):
+    part = D.index_items([(0, b"q " * 30), (1, b"r " * 30)])
+    h = np.concatenate([part.words, part.words[20:50]])
+    starts = np.array([0, 25, 25, 60, 90])
+    whole = D.overlaps(part, h, starts)
+    assert {t for t, *_ in whole} == {0, 2, 3}
+    monkeypatch.setattr(D, "_HITS", 5)
+    assert D.overlaps(part, h, starts) == whole
