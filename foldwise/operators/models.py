@@ -209,30 +209,77 @@ def draw_trials(spark, n_trials: int, space: dict, seed: int = 0) -> DataFrame:
     return t.select("trial", *cols)
 
 
-def svd_project(rows: DataFrame, idx_col: str, val_col: str, n_features: int, k: int,
-                id_col: str = "id") -> DataFrame:
-    """SV-1: truncated SVD (no centring) of a sparse row matrix given as ``(id, indices, values)``;
-    rows are projected on the top-k right singular vectors (``x @ V``). ``RowMatrix.computeSVD`` is
-    distributed; V is features x k (bounded by the vocabulary, not by the rows) and is broadcast for
-    the projection, which runs per Arrow batch."""
+_SVD_ROWS = 500  # rows that are dense at a time
+
+
+def _dense(batch, idx_col: str, val_col: str, n: int):
+    """The rows of an Arrow batch as a matrix; a null list is a row of zeros."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    idx, val = batch.column(idx_col), batch.column(val_col)
+    size = pc.fill_null(pc.list_value_length(idx), 0).to_numpy(zero_copy_only=False)
+    out = np.zeros((batch.num_rows, n))
+    out[np.repeat(np.arange(batch.num_rows), size), idx.flatten().to_numpy(zero_copy_only=False)] = \
+        val.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def svd_fit(rows: DataFrame, idx_col: str, val_col: str, n_features: int, k: int):
+    """SV-1 fit: the top-k right singular vectors (no centring) of rows given as ``(indices, values)``, as a matrix of
+    features x k; those beyond the rank are zero. Each task sums ``x'x`` of its rows (features x features, bounded by
+    the vocabulary), Spark adds the sums by feature, and only their total comes to the driver."""
     import numpy as np
-    import pandas as pd
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    import pyarrow as pa
 
     nf = int(n_features)
-    rdd = rows.select(idx_col, val_col).rdd.map(lambda r: MV.sparse(nf, list(r[0]), list(r[1])))
-    V = np.asarray(RowMatrix(rdd).computeSVD(k, computeU=False).V.toArray())
-    kk = V.shape[1]
-    bv = rows.sparkSession.sparkContext.broadcast(V)
+    names = ["feature", "part"]
+
+    def gram(it):
+        g = np.zeros((nf, nf))
+        for b in it:
+            for lo in range(0, b.num_rows, _SVD_ROWS):
+                x = _dense(b.slice(lo, _SVD_ROWS), idx_col, val_col, nf)
+                g += x.T @ x
+        for lo in range(0, nf, 256):
+            at = range(lo, min(lo + 256, nf))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([g[i, i:].tobytes() for i in at], pa.binary())], names)
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, float) for x in t.column("part").to_pylist()], axis=0)
+        return pa.table([pa.array(t.column("feature").to_pylist()[:1], pa.int32()), pa.array([total.tobytes()], pa.binary())], names)
+
+    schema = "feature int, part binary"
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = rows.select(idx_col, val_col).coalesce(cores).mapInArrow(gram, schema)
+    g = np.zeros((nf, nf))
+    for r in parts.groupBy("feature").applyInArrow(add, schema).collect():  # features rows
+        g[r["feature"], r["feature"]:] = np.frombuffer(bytes(r["part"]), float)
+    V = np.zeros((nf, k))
+    if nf:
+        value, vec = np.linalg.eigh(g, UPLO="U")
+        top = [i for i in range(nf - 1, max(nf - 1 - k, -1), -1) if value[i] > value[-1] * nf * 1e-15]
+        V[:, :len(top)] = vec[:, top]
+        V *= np.where(V[np.abs(V).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)  # the largest entry is positive
+    return V
+
+
+def svd_project(rows: DataFrame, spaces: Sequence[tuple[str, str, str, object]], id_col: str = "id") -> DataFrame:
+    """SV-1: every row on the vectors of each space ``(name, indices, values, V)`` (``x @ V``), as ``name_0``...; a row
+    without indices is zero. V is broadcast (bounded by the vocabulary); the projection runs per Arrow batch."""
+    import pyarrow as pa
+
+    held = rows.sparkSession.sparkContext.broadcast([tuple(x) for x in spaces])
+    names = [id_col, *[n for n, *_ in spaces]]
 
     def proj(it):
-        Vl = bv.value
-        for pdf in it:
-            out = np.zeros((len(pdf), Vl.shape[1]))
-            for r, (ix, vs) in enumerate(zip(pdf[idx_col], pdf[val_col])):
-                out[r] = np.asarray(vs, dtype=float) @ Vl[np.asarray(ix, dtype=int)]
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "svd": list(out)})
-
-    return rows.mapInPandas(proj, schema=f"{id_col} long, svd array<double>").select(
-        id_col, *[F.col("svd")[i].alias(f"svd_{i}") for i in range(kk)])
+        for b in it:
+            for lo in range(0, b.num_rows, _SVD_ROWS):
+                part = b.slice(lo, _SVD_ROWS)
+                out = [pa.array(list(_dense(part, i, v, len(V)) @ V), pa.list_(pa.float64())) for _, i, v, V in held.value]
+                yield pa.RecordBatch.from_arrays([part.column(id_col), *out], names)
+
+    cols = [c for _, i, v, _ in spaces for c in (i, v)]
+    schema = ", ".join([f"{id_col} long", *[f"{n} array<double>" for n in names[1:]]])
+    return rows.select(F.col(id_col).cast("long").alias(id_col), *cols).mapInArrow(proj, schema).select(
+        id_col, *[F.col(n)[j].alias(f"{n}_{j}") for n, _, _, V in spaces for j in range(V.shape[1])])

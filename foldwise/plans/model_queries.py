@@ -374,17 +374,35 @@ def hp_search(spark, sf_dir):
     return finish(obj.crossJoin(best))
 
 
+SVD_WORD = dict(components=384, n=(1, 3), max_features=3000, min_df=2, max_df=0.95)
+SVD_CHAR = dict(components=192, n=(3, 5), max_features=2000, min_df=2, max_df=1.0)
+
+
 def svd_tfidf(spark, sf_dir):
-    """SV-1: 16-component truncated SVD of the word TF-IDF of the documents (train-fitted vocabulary)."""
+    """SV-1: truncated SVD of the word and the character TF-IDF, both fitted on the labelled documents; one row per
+    document, zero in a space where it has no vocabulary term."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
-    d = docs.withColumn("_tok", TF.word_tokens(F.coalesce("answer", F.lit("")), TF.english_stop_words()))
-    terms = TF.word_ngrams("_tok", 1, 1)
-    tf = TF.tfidf_fit_transform(d.join(labels, "id", "left_semi"), d, terms, "id", 2, 0.95, 1000, True)
-    # column index per vocabulary term: at most max_features rows
-    vocab = tf.select("term").distinct().withColumn("_j", F.row_number().over(Window.orderBy("term")) - 1)
-    n = vocab.count()
-    rows = tf.join(F.broadcast(vocab), "term").groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("_j", "tfidf"))).alias("_e"))  # one document's terms
-    rows = rows.select("id", F.col("_e._j").alias("idx"), F.col("_e.tfidf").alias("val"))
-    return finish(MO.svd_project(rows, "idx", "val", n, 16))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
+    docs = TF.spread(docs)
+    text = F.coalesce(F.col("answer"), F.lit(""))
+    rows = docs.select("id").join(labels.withColumn("_fit", F.lit(True)), "id", "left")
+    sizes = {}
+    for name, p, col, prepared, terms in (
+            ("wsvd", SVD_WORD, "_tok", TF.word_tokens(text, TF.english_stop_words()), TF.word_ngrams("_tok", *SVD_WORD["n"])),
+            ("csvd", SVD_CHAR, "_pw", TF.padded_words(text), TF.char_wb_ngrams("_pw", *SVD_CHAR["n"]))):
+        d = docs.withColumn(col, prepared)
+        fit = d.join(labels, "id", "left_semi")
+        vocab = materialize(TF.fit_vocabulary(TF.doc_terms(fit, "id", terms), fit.count(), p["min_df"], p["max_df"],
+                                              p["max_features"]))
+        # column index per vocabulary term: at most max_features rows
+        place = materialize(vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("_j")))
+        sizes[name] = place.count()
+        tf = TF.tfidf_transform(TF.doc_terms(d, "id", terms), vocab, "id", sublinear=True)
+        e = tf.join(F.broadcast(place), "term").groupBy("id").agg(
+            F.collect_list(F.struct("_j", "tfidf")).alias("_e"))  # one document's terms
+        rows = rows.join(e.select("id", F.col("_e._j").alias(f"{name}_i"), F.col("_e.tfidf").alias(f"{name}_v")), "id", "left")
+    rows = materialize(rows)
+    spaces = [(name, f"{name}_i", f"{name}_v",
+               MO.svd_fit(rows.where("_fit"), f"{name}_i", f"{name}_v", sizes[name], p["components"]))
+              for name, p in (("wsvd", SVD_WORD), ("csvd", SVD_CHAR))]
+    return finish(MO.svd_project(rows, spaces))
