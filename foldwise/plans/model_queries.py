@@ -282,9 +282,9 @@ def cv_logistic_meta(spark, sf_dir):
 
 
 def cv_forest_meta(spark, sf_dir):
-    """ML-2: random forest, OOF + test (fewer trees for the local run)."""
+    """ML-2: random forest of the reference's 300 trees, OOF + test."""
     tr, te = _text_model_frame(spark, sf_dir)
-    return finish(MO.cv_oof(tr, te, META, "y", "fold", lambda d: MO.random_forest(SEED, trees=50)))
+    return finish(MO.cv_oof(tr, te, META, "y", "fold", lambda d: MO.random_forest(SEED)))
 
 
 def _tab_frame(spark, sf_dir):
