@@ -6,7 +6,7 @@ cuts at exactly those bytes, so ``text.lower().split()`` on UTF-8 bytes gives th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,33 @@ class WordHashes:
             return np.fromiter(map(c.__getitem__, words), np.uint64, len(words))
 
 
+class Generations:
+    """A cache of two generations: when the new one is full it becomes the old one, and what is asked for again moves over,
+    so frequent keys are never forgotten. Holds at most ``2 * size`` entries and those of one call."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size, {}, {}
+
+    def look_up(self, keys: list, make: Callable[[list], list]) -> list:
+        """The values of ``keys``; ``make`` gives those of the distinct keys that are not known."""
+        try:
+            return list(map(self.new.__getitem__, keys))
+        except KeyError:
+            new, old = self.new, self.old
+            unknown = []
+            for k in set(keys):
+                if k not in new:
+                    if k in old:
+                        new[k] = old[k]
+                    else:
+                        unknown.append(k)
+            new.update(zip(unknown, make(unknown)))
+            out = list(map(new.__getitem__, keys))
+            if len(new) > self.size:
+                self.old, self.new = new, {}
+            return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (wraps)."""
     x = (x ^ (x >> np.uint64(30))) * _M1

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import ann, decontaminate, jaccard, langid, lm, oracle, packing, quality, secret_scan, token_count, token_file
+from . import (ann, byte_bpe, decontaminate, jaccard, langid, lm, merkle, oracle, packing, quality, reversed_search, secret_scan,
+               token_count, token_file)
 from .common import crc_mod
 
 
@@ -68,6 +71,30 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = merkle.leaf_hash([lower if c == "text" else F.col(c) for c in merkle.COLUMNS])
+    manifest = merkle.build(docs, carry=F.when(crc_mod(F.col("doc_id"), 5) == 0, tampered))
+    proofs = manifest.proofs().withColumn("given", F.coalesce("carried", "leaf"))
+    hexed = lambda c: F.lower(F.hex(c))
+    return merkle.folded(proofs, "given").select(
+        F.col("id").alias("doc_id"), hexed("leaf").alias("leaf"), hexed("subroot").alias("subroot"), hexed("root").alias("root"),
+        F.sha2(hexed("siblings"), 256).alias("proof_sha256"), hexed("folded_root").alias("folded_root"),
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    texts = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return texts.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_quality": op2_quality,
@@ -79,6 +106,13 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_token_count": op10_token_count,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_reversed_search": op12_reversed_search,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_jaccard_join": oracle.JACCARD_JOIN_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": oracle.JACCARD_JOIN_SQL,
+    "op11_merkle_manifest": oracle.MERKLE_SQL,
+    "op12_reversed_search": oracle.SEARCH_SQL,
+}
