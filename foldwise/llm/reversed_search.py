@@ -30,7 +30,7 @@ from ..session import materialize
 from .common import batches, id_text
 
 BLOCK_POSTINGS = 1_000_000  # postings of a broadcast index
-CELLS = 2_000_000  # scores (documents x items) a task holds at a time
+CELLS = 500_000  # scores (documents x items) a task holds at a time
 MERGE_GROUPS = 64
 
 # separators are blanks, letters A-Z are folded; all other bytes (digits, a-z, UTF-8 sequences) belong to terms
@@ -103,16 +103,17 @@ class Index:
         self.posting = np.array([p for ps in by_term.values() for p in ps], np.int64)
         self.n, self.length = n, length
 
-    def scores(self, docs: list[list[bytes]]) -> np.ndarray:
-        """``documents x items``."""
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """``documents x items``; the terms of one text are held at a time."""
         get, size = self.term.get, len(self.items)
-        at, found, m = [], [], np.empty(len(docs), np.int64)
-        for d, all_ in enumerate(docs):
+        at, found, m = [], [], np.empty(len(texts), np.int64)
+        for d, x in enumerate(texts):
+            all_ = terms(x)
             own = [p for p in map(get, all_) if p is not None]
             found += own
             at += [d] * len(own)
             m[d] = 10 + 90 * len(all_) * self.n // self.length
-        out = np.zeros(len(docs) * size, np.int64)
+        out = np.zeros(len(texts) * size, np.int64)
         if found:
             key, tf = np.unique(np.array(at, np.int64) * len(self.term) + np.array(found, np.int64), return_counts=True)
             doc, term = np.divmod(key, len(self.term))
@@ -121,7 +122,7 @@ class Index:
             ends = np.cumsum(n)
             items = self.posting[np.arange(ends[-1]) + np.repeat(self.first[term] - (ends - n), n)]
             np.add.at(out, np.repeat(doc * size, n) + items, np.repeat(part, n))
-        return out.reshape(len(docs), size)
+        return out.reshape(len(texts), size)
 
 
 class Heaps:
@@ -154,7 +155,7 @@ def _heaps(docs: DataFrame, shared, k: int) -> DataFrame:
         for b, texts in batches(it):
             ids = b.column("doc_id").to_pylist()
             for lo in range(0, len(texts), step):
-                heaps.add(index.scores([terms(x) for x in texts[lo:lo + step]]), ids[lo:lo + step])
+                heaps.add(index.scores(texts[lo:lo + step]), ids[lo:lo + step])
         rows = [(index.items[i], None if d == -(1 << 64) else -d, s) for i, h in enumerate(heaps.heaps) for s, d in h]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["item_id", "doc_id", "score"])
 
