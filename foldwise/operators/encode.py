@@ -1,4 +1,4 @@
-"""Target encoding (TE-1..TE-6), first-appearance codes (W-2), external encodings (TB-4).
+"""Target encoding (TE-1..TE-4; TE-5 and TE-6 are in ``nested_encode``), first-appearance codes (W-2), external encodings (TB-4).
 
 Everything is computed in long form ``(column, key, ...)`` so that any
 number of encoded columns costs one aggregate, not one job per column:
@@ -221,35 +221,6 @@ def target_encode_oof(df: DataFrame, cols: Sequence[str], y: str, fold: str, id_
     return out.select(*keep, *enc_cols)
 
 
-# ---------------------------------------------------------------------------
-# TE-6: nested encoding (inner folds inside each outer fold's train part)
-# ---------------------------------------------------------------------------
-
-def target_encode_nested(df: DataFrame, cols: Sequence[str], y: str, outer: str, inner: str, id_col: str = "id",
-                         smooth: str | float = "auto", prefix: str = "TE_") -> DataFrame:
-    """TE-6: for outer fold ``o``: train rows (``outer <> o``) get leave-inner-fold-out encodings
-    fitted on the outer train part only; validation rows (``outer = o``) get the encoding fitted on
-    all of the outer train part (TE-1/TE-2 with smoothing 0, as the reference's ``transform``).
-
-    Output is long in the outer fold: one copy of each row per outer fold it takes part in,
-    tagged ``outer_fold`` and ``role`` ('train' / 'valid').
-    """
-    outs = [r[0] for r in df.select(outer).distinct().collect()]  # k values
-    parts = []
-    for o in sorted(outs):
-        tr = df.where(F.col(outer) != o)
-        va = df.where(F.col(outer) == o)
-        enc_tr = target_encode_oof(tr, cols, y, inner, id_col, smooth, prefix)
-        mapping, globals_ = te_fit(tr, cols, y, ["mean"])
-        enc_va = te_transform(va, mapping, globals_, cols, ["mean"], prefix=prefix)
-        parts.append(enc_tr.withColumn("outer_fold", F.lit(o)).withColumn("role", F.lit("train")))
-        parts.append(enc_va.withColumn("outer_fold", F.lit(o)).withColumn("role", F.lit("valid")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 # ---------------------------------------------------------------------------
 # W-2: first-appearance integer codes (pandas factorize), null -> -1
 # ---------------------------------------------------------------------------

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
+from .joins import checked_broadcast
+from .ranking import rank_by_range
 
 # Phrase and word lists of the reference, in its order.
 AI_CONNECTORS = [
@@ -264,9 +267,22 @@ def topic_onehot(df: DataFrame, topic_col: str, vocabulary: Sequence[str], prefi
     return df.select("*", *[(F.col(topic_col) == F.lit(v)).cast("int").alias(f"{prefix}{v}") for v in vocabulary])
 
 
-def topic_vocabulary(df: DataFrame, topic_col: str, max_topics: int = 10_000) -> list[str]:
-    """Distinct topics (sorted), a bounded driver-side list used as column names."""
-    vals = df.select(topic_col).where(F.col(topic_col).isNotNull()).distinct().limit(max_topics + 1).collect()
-    if len(vals) > max_topics:
-        raise ValueError(f"more than {max_topics} topics: one-hot is the wrong encoding, use target encoding")
-    return sorted(r[0] for r in vals)
+def topic_table(df: DataFrame, topic_col: str) -> DataFrame:
+    """``(topic, slot, n_slots)``: the vocabulary of any size, in byte order of the topics."""
+    distinct = df.select(F.col(topic_col).alias("topic")).where(F.col("topic").isNotNull()).distinct()
+    ranked = materialize(rank_by_range(distinct, [], ["topic"], out="slot"))
+    return ranked.withColumn("n_slots", F.lit(ranked.count()).cast("long"))
+
+
+def topic_slots(df: DataFrame, topic_col: str, topics: DataFrame) -> DataFrame:
+    """TX-33 / P-8, sparse: adds ``slot`` (null for a topic outside the vocabulary), ``x`` (whether a slot is set) and
+    ``n_slots``. The table of topics is broadcast only up to the bound of rows."""
+    sized, _ = checked_broadcast(topics.select(F.col("topic").alias("_topic"), "slot"))
+    n = topics.agg(F.coalesce(F.max("n_slots"), F.lit(0))).first()[0]
+    return df.join(sized, F.col(topic_col) == F.col("_topic"), "left").drop("_topic").select(
+        "*", F.col("slot").isNotNull().cast("long").alias("x"), F.lit(n).cast("long").alias("n_slots"))
+
+
+def topic_vocabulary(df: DataFrame, topic_col: str) -> list[str]:
+    """Distinct topics (sorted), the column names of the wide form; ``topic_slots`` needs no such list."""
+    return sorted(r[0] for r in df.select(topic_col).where(F.col(topic_col).isNotNull()).distinct().collect())

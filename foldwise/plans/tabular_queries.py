@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import encode as E
 from ..operators import tabular as TB
 from ..operators.folds import kfold, kfold_sql, stratified_kfold
+from ..operators.nested_encode import target_encode_roles
+from ..session import materialize
 from ..sources.views import APPLICATIONS_SQL, BASE, CATS, TARGET, applications
 from .common import finish, r6
 
@@ -53,18 +55,23 @@ def tab_ratio_band(spark: SparkSession, sf_dir: str) -> DataFrame:
                              "credit_score_band"))
 
 
-def _train_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    app = _app(spark, sf_dir).where(F.col("split") == "train")
-    return TB.interactions(TB.rounding(TB.digits(app)), BASE)
+ENCODED = INTER + BASE_TE_COL  # stage 1: the interactions, whose originals go; stage 2: the others, kept
+
+
+def _features(rows: DataFrame) -> DataFrame:
+    return TB.interactions(TB.rounding(TB.digits(rows)), BASE)
+
+
+def _with_folds(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Train rows with their folds, test rows with null folds: one written table of the base columns."""
+    return materialize(train.unionByName(test, allowMissingColumns=True))
 
 
 def te_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TE-5: stage 1 on the 55 interactions (originals dropped), stage 2 on the 20 base/round/digit
-    columns (kept). Both stages share one inner fold column, so they run as one long aggregate."""
-    tr = kfold(_train_features(spark, sf_dir), K_INNER, SEED)
-    enc = E.target_encode_oof(tr, INTER + BASE_TE_COL, TARGET, "fold", drop_original=False)
-    enc = enc.drop(*INTER)
-    return finish(enc.select("id", *[f"TE_{c}_mean" for c in INTER + BASE_TE_COL]))
+    """TE-5: both stages share one inner fold column, so their 75 columns are one aggregate; train and test rows."""
+    app = _app(spark, sf_dir)
+    rows = _with_folds(kfold(app.where(F.col("split") == "train"), K_INNER, SEED), app.where(F.col("split") == "test"))
+    return finish(target_encode_roles(_features(rows), ENCODED, TARGET, "fold"))
 
 
 def te_fit_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +84,11 @@ def te_fit_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def te_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TE-6 over the stage-2 columns: outer stratified folds, one global inner fold column."""
-    tr = _train_features(spark, sf_dir).select("id", TARGET, *BASE_TE_COL)
-    tr = stratified_kfold(tr, K_OUTER, TARGET, seed=SEED, out="outer")
-    tr = kfold(tr, K_INNER, seed=SEED + 1, out="inner")
-    out = E.target_encode_nested(tr, BASE_TE_COL, TARGET, "outer", "inner")
-    return finish(out.select("id", "outer_fold", "role", *[f"TE_{c}_mean" for c in BASE_TE_COL]))
+    """TE-6: both stages inside each outer stratified fold, one global inner fold column; train, validation and test rows."""
+    app = _app(spark, sf_dir)
+    train = stratified_kfold(app.where(F.col("split") == "train"), K_OUTER, TARGET, seed=SEED, out="outer")
+    rows = _with_folds(kfold(train, K_INNER, seed=SEED + 1, out="inner"), app.where(F.col("split") == "test"))
+    return finish(target_encode_roles(_features(rows), ENCODED, TARGET, "inner", "outer"))
 
 
 def factorize_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,18 +144,25 @@ select id, {r6('loan_amount / (annual_income + 1e0)')} loan_to_income, {r6('ln(1
             when credit_score > 760 and credit_score <= 900 then 'excellent' end credit_score_band
 from app"""
 
+_FEATURES = f"select *, {_digit_sql()}, {_round_sql()}, {_inter_sql()}"
 FEATS = f"""{APP},
-feats as (select *, {_digit_sql()}, {_round_sql()}, {_inter_sql()} from app where split = 'train')"""
+feats as ({_FEATURES} from app where split = 'train'),
+tests as ({_FEATURES} from app where split = 'test')"""
+
+
+def _wide(cols: list[str], value: str = "te") -> str:
+    """One output column per encoded column (a pivot over the data could not be a view)."""
+    return ", ".join(f"max(round({value}, 6)) filter (where col = '{c}') TE_{c}_mean" for c in cols)
 
 
 def te_oof_long_sql(src: str, cols: list[str], y: str, fold: str) -> str:
     """Independent DuckDB TE-3/TE-4 for many columns: unpivot, re-aggregate the other folds per excluded fold."""
     casts = ", ".join(f"cast({c} as varchar) {c}" for c in cols)
     return f"""x as (select id, {fold} fold, {y} y, {casts} from {src}),
-u as (unpivot x on {', '.join(cols)} into name col value key),
+u as (from x unpivot include nulls (key for col in ({', '.join(cols)}))),
 ks as (select distinct fold from x),
 tp as (select ks.fold kf, u.col, u.key, count(*) n, avg(u.y) mu, var_samp(u.y) v
-       from ks join u on u.fold <> ks.fold group by all),
+       from ks join u on u.fold <> ks.fold where u.key is not null group by all),
 g as (select ks.fold kf, avg(x.y) g from ks join x on x.fold <> ks.fold group by ks.fold),
 m as (select kf, col, case when var_samp(mu) > 0 then avg(v) / greatest(var_samp(mu), 1e-9) else 0e0 end m
       from tp group by kf, col),
@@ -158,11 +171,17 @@ enc as (select u.id, u.col, coalesce((tp.n * tp.mu + m.m * g.g) / (tp.n + m.m),
         left join tp on tp.kf = u.fold and tp.col = u.col and tp.key = u.key)"""
 
 
-_TE2 = INTER + BASE_TE_COL
+_CASTS = ", ".join(f"cast({c} as varchar) {c}" for c in ENCODED)
 TE_TWO_STAGE_SQL = f"""with {FEATS},
 f as ({kfold_sql('select * from feats', K_INNER, SEED)}),
-{te_oof_long_sql('f', _TE2, TARGET, 'fold')}
-pivot (select id, 'TE_' || col || '_mean' c, round(te, 6) te from enc) on c using first(te) group by id"""
+{te_oof_long_sql('f', ENCODED, TARGET, 'fold')},
+mp as (select col, key, avg(y) mu from u group by all),
+xt as (select id, {_CASTS} from tests),
+ut as (from xt unpivot include nulls (key for col in ({', '.join(ENCODED)}))),
+enc_test as (select ut.id, ut.col, coalesce(mp.mu, (select avg(y) from x)) te
+             from ut left join mp on mp.col = ut.col and mp.key = ut.key),
+every as (select id, 'train' role, col, te from enc union all select id, 'test' role, col, te from enc_test)
+select id, role, {_wide(ENCODED)} from every group by id, role"""
 
 _FT = []
 for _c in CATS:
@@ -173,32 +192,32 @@ TE_FIT_TRANSFORM_SQL = (f"with {APP}, tr as (select * from app where split = 'tr
 
 _NEST_TRAIN = kfold_sql(kfold_sql('select * from feats', K_OUTER, SEED, label=TARGET, out="ofold"),
                         K_INNER, SEED + 1, out="ifold")
-_NCASTS = ", ".join(f"cast({c} as varchar) {c}" for c in BASE_TE_COL)
 TE_NESTED_SQL = f"""with {FEATS},
 nt as (select * from ({_NEST_TRAIN}) z),
 os as (select distinct ofold o from nt),
-x as (select os.o, nt.id, nt.ofold, nt.ifold, nt.{TARGET} y, {', '.join('nt.' + c for c in BASE_TE_COL)} from os join nt on true),
-xc as (select o, id, ofold, ifold, y, {_NCASTS} from x),
-u as (unpivot xc on {', '.join(BASE_TE_COL)} into name col value key),
+xc as (select id, ofold, ifold, {TARGET} y, {_CASTS} from nt),
+u as (from xc unpivot include nulls (key for col in ({', '.join(ENCODED)}))),
 -- train role: rows with ofold <> o, leave-ifold-fold-out over the ofold train part
-ut as (select * from u where ofold <> o),
+ut as (select os.o, u.* from os join u on u.ofold <> os.o),
 ks as (select distinct o, ifold k from ut),
 tp as (select ks.o, ks.k, ut.col, ut.key, count(*) n, avg(ut.y) mu, var_samp(ut.y) v
-       from ks join ut on ut.o = ks.o and ut.ifold <> ks.k group by all),
+       from ks join ut on ut.o = ks.o and ut.ifold <> ks.k where ut.key is not null group by all),
 g as (select ks.o, ks.k, avg(nt.{TARGET}) g from ks join nt on nt.ofold <> ks.o and nt.ifold <> ks.k group by ks.o, ks.k),
 m as (select o, k, col, case when var_samp(mu) > 0 then avg(v) / greatest(var_samp(mu), 1e-9) else 0e0 end m
       from tp group by o, k, col),
 enc_t as (select ut.o, ut.id, 'train' role, ut.col, coalesce((tp.n * tp.mu + m.m * g.g) / (tp.n + m.m), g.g) te
           from ut join g on g.o = ut.o and g.k = ut.ifold left join m on m.o = ut.o and m.k = ut.ifold and m.col = ut.col
           left join tp on tp.o = ut.o and tp.k = ut.ifold and tp.col = ut.col and tp.key = ut.key),
--- valid role: rows with ofold = o, plain mean over the whole ofold train part
+-- validation and test roles: plain mean over the whole ofold train part
 mp as (select o, col, key, avg(y) mu from ut group by all),
 gv as (select os.o, avg(nt.{TARGET}) g from os join nt on nt.ofold <> os.o group by os.o),
-enc_v as (select u.o, u.id, 'valid' role, u.col, coalesce(mp.mu, gv.g) te
-          from u join gv on gv.o = u.o left join mp on mp.o = u.o and mp.col = u.col and mp.key = u.key where u.ofold = u.o),
+xt as (select id, {_CASTS} from tests),
+utest as (from xt unpivot include nulls (key for col in ({', '.join(ENCODED)}))),
+others as (select ofold o, id, 'valid' role, col, key from u union all select os.o, id, 'test' role, col, key from os join utest on true),
+enc_v as (select x.o, x.id, x.role, x.col, coalesce(mp.mu, gv.g) te
+          from others x join gv on gv.o = x.o left join mp on mp.o = x.o and mp.col = x.col and mp.key = x.key),
 enc as (select * from enc_t union all select * from enc_v)
-pivot (select id, o outer_fold, role, 'TE_' || col || '_mean' c, round(te, 6) te from enc) on c using first(te)
-group by id, outer_fold, role"""
+select id, o outer_fold, role, {_wide(ENCODED)} from enc group by id, o, role"""
 
 FACTORIZE_CODES_SQL = f"""with {APP},
 r as (select *, row_number() over (order by case when split = 'train' then 0 else 1 end, id) pos

@@ -68,3 +68,12 @@ def test_entry_imports_without_spark_jars(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**__import__("os").environ, "PYTHONPATH": root},
                          capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
+
+
+def test_every_oracle_text_can_be_a_view(sf_small):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{sf_small}/{t}.parquet')")
+    for k, (name, text) in enumerate(E.oracle_sql().items()):
+        con.sql(text).create_view(f"oracle_{k}")
+        assert con.sql(f"describe oracle_{k}").fetchall(), name
