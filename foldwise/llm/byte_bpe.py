@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 
 from .common import Generations, batches, id_text
 
-MEMO_PAIRS = 2_000_000  # remembered answers of a worker
-CACHE_PIECES = 500_000  # pieces of one cache generation of a worker
+MEMO_PAIRS = 500_000  # remembered answers of a worker
+CACHE_PIECES = 150_000  # pieces of one cache generation of a worker
+ROWS = 256  # texts a worker holds beside their Arrow batch
 CACHED_BYTES = 64  # longer pieces are encoded anew each time
 _NEVER = 1 << 40
 
@@ -49,7 +50,7 @@ class Backtracker:
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.memo: dict[int, bool] = {}
         self.memo_pairs = memo_pairs
         automaton = ahocorasick.Automaton()
         for rank, b in sorted(self.token.items()):
@@ -87,11 +88,12 @@ class Backtracker:
                 until, y = y + 1, self.left[y]
 
     def compatible(self, x: int, y: int) -> bool:
-        known = self.memo.get((x, y))
+        pair = x << 32 | y
+        known = self.memo.get(pair)
         if known is None:
             if len(self.memo) >= self.memo_pairs:
                 self.memo.clear()
-            known = self.memo[x, y] = self._meet(x, y)
+            known = self.memo[pair] = self._meet(x, y)
         return known
 
     def _prefix(self, rank: int) -> int | None:
@@ -112,24 +114,26 @@ class Backtracker:
         if whole is not None:
             return [whole]
         longest: list[int | None] = [None] * len(piece)
-        size = self.size
+        size, memo, compatible = self.size, self.memo, self.compatible
         for end, rank in self.automaton.iter(piece.decode("latin-1")):
-            start = end - size[rank] + 1
-            if longest[start] is None or size[longest[start]] < size[rank]:
-                longest[start] = rank
+            # a match that ends later at the same place is longer
+            longest[end - size[rank] + 1] = rank
         open_ = bytearray(b"\x01") * (len(piece) + 1)
         out: list[int] = []
-        at, take = 0, longest[0] if piece else None
+        at, take, before = 0, longest[0] if piece else None, None
         while at < len(piece):
-            before = out[-1] if out else None
             while take is not None:
                 end = at + size[take]
-                if open_[end] and (before is None or self.compatible(before, take)):
-                    break
+                if open_[end]:
+                    if before is None:
+                        break
+                    known = memo.get(before << 32 | take)
+                    if known if known is not None else compatible(before, take):
+                        break
                 take = self._prefix(take)
             if take is not None:
                 out.append(take)
-                at = end
+                at, before = end, take
                 take = longest[at] if at < len(piece) else None
             else:
                 if before is None:
@@ -137,11 +141,9 @@ class Backtracker:
                 open_[at] = 0  # nothing goes on from here
                 take = self._prefix(out.pop())
                 at -= size[before]
+                before = out[-1] if out else None
         return out
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
-
 
 class Encoder:
     """Whole texts: pieces of ``pattern``, each distinct short one encoded once per cache generation."""
@@ -163,9 +165,6 @@ class Encoder:
             return b"".join(self.cache.look_up([p], self._ids)[0] if len(p) <= CACHED_BYTES else self._ids([p])[0] for p in pieces)
         return b"".join(self.cache.look_up(pieces, self._ids))
 
-    def decode(self, ids: bytes) -> bytes:
-        return self.bpe.decode(np.frombuffer(ids, "<u4").tolist())
-
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
@@ -173,24 +172,42 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+@functools.lru_cache(maxsize=2)
+def tokens(path: str) -> list[bytes | None]:
+    """The bytes of every id: all that decoding needs."""
+    ranks = read_ranks(path)
+    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for b, rank in ranks.items():
+        out[rank] = b
+    return out
+
+
+def decode_ids(ids: bytes, path: str) -> bytes:
+    return b"".join(map(tokens(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _slices(it):
+    for b in it:
+        for lo in range(0, b.num_rows, ROWS):
+            yield b.slice(lo, ROWS)
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)``: every text's ids as little-endian 32-bit integers."""
     def work(it):
         e = encoder(path, pattern)
-        for b, texts in batches(it):
+        for b, texts in batches(_slices(it)):
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([e.encode(t.decode("utf-8", "replace")) for t in texts], pa.binary())], ["doc_id", "ids"])
 
     return id_text(df, id_col, text_col).mapInArrow(work, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``, the bytes that the ids stand for."""
     def work(it):
-        e = encoder(path, pattern)
-        for b in it:
+        for b in _slices(it):
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([e.decode(x) for x in b.column("ids").to_pylist()], pa.binary())], [*b.schema.names, "decoded"])
+                [*b.columns, pa.array([decode_ids(x, path) for x in b.column("ids").to_pylist()], pa.binary())], [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(work, "doc_id long, ids binary, decoded binary")
-

@@ -90,7 +90,7 @@ def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    texts = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    texts = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path)
     return texts.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
