@@ -58,6 +58,9 @@ class Generations:
     def __init__(self, size: int) -> None:
         self.size, self.new, self.old = size, {}, {}
 
+    def __len__(self) -> int:
+        return len(self.new) + len(self.old)
+
     def look_up(self, keys: list, make: Callable[[list], list]) -> list:
         """The values of ``keys``; ``make`` gives those of the distinct keys that are not known."""
         try:

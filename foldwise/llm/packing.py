@@ -118,7 +118,9 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIEC
     """Adds ``sequence_id`` and ``offset`` to the rows of ``cut_documents``; sequence ids are unique, not dense."""
     pieces = materialize(pieces)
     shards = max(1, -(-pieces.count() // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    # the place in the written table is part of the hash, so rows that repeat are dealt to different shards
+    place = F.monotonically_increasing_id()
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", place), F.lit(shards)))
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

@@ -4,7 +4,8 @@ distinct piece is encoded by the library once per worker.
 The word tokenizer drops white space and never joins across it, so its pieces are the lower-cased words. In the
 byte-level one a run of white space belongs with what follows it, and nothing joins a word to the run after it, so its
 pieces are a run and the word behind it. Both hold for plain texts (Latin letters, ASCII punctuation, tab and line
-ends, no special-token string); every other text is encoded whole by the library.
+ends). Other texts are normalised and cut by the tokenizer's own parts. Only a text that holds a special-token string is
+encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ import re
 
 import numpy as np
 
+from .common import Generations
+
+CACHE_PIECES = 400_000  # pieces of one cache generation of a worker
+
 _RUN_AND_WORD = re.compile(r"[\t\n\r ]*[^\t\n\r ]+|[\t\n\r ]+")
 # outside it white space, case or composition may differ between Unicode versions and engines
 _NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e¡-įı-ɏ]")
@@ -25,7 +30,7 @@ _NOT_PLAIN_ASCII = re.compile("[^\t\n\r\x20-\x7e]")
 class Pieces:
     """Pre-tokens of one tokenizer and their ids (little-endian 32-bit bytes), with a bounded cache."""
 
-    def __init__(self, path: str, cache_pieces: int = 1_000_000) -> None:
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,35 +39,32 @@ class Pieces:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.lower = spec["normalizer"] is not None
-        self.cache: dict[str, bytes] = {}
-        self.cache_pieces = cache_pieces
+        self.normalizer, self.pre_tokenizer = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.cache = Generations(cache_pieces)
 
     def cut(self, text: str) -> list[str] | None:
-        """The pieces of a plain text; None if only the library may cut it."""
-        if (_NOT_PLAIN_ASCII if text.isascii() else _NOT_PLAIN).search(text) or any(s in text for s in self.special):
+        """The pieces of a text; None if only the library may cut it."""
+        if any(s in text for s in self.special):
             return None
+        if (_NOT_PLAIN_ASCII if text.isascii() else _NOT_PLAIN).search(text):
+            if self.normalizer is not None:
+                text = self.normalizer.normalize_str(text)
+                if any(s in text for s in self.special):
+                    return None
+            return [text[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(text)]
         return text.lower().split() if self.lower else _RUN_AND_WORD.findall(text)
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        """The library's ids of each piece; offsets, which nothing here reads, are not computed."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def ids(self, text: str) -> bytes:
         """All ids of a text as little-endian 32-bit integers."""
         pieces = self.cut(text)
-        if pieces is None:
-            return self.encode_whole(text)
-        c = self.cache
-        try:
-            return b"".join(map(c.__getitem__, pieces))
-        except KeyError:
-            if len(c) > self.cache_pieces:
-                c.clear()
-            new = [p for p in set(pieces) if p not in c]
-            c.update(zip(new, self.encode_pieces(new)))
-            return b"".join(map(c.__getitem__, pieces))
+        return self.encode_whole(text) if pieces is None else b"".join(self.cache.look_up(pieces, self.encode_pieces))
 
 
 @functools.lru_cache(maxsize=4)

@@ -87,3 +87,20 @@ def test_edges(spark):
     twice = P.pack(P.cut_documents(df.union(df).union(spark.createDataFrame([(None, "x", 7)], df.schema)), PATH)).collect()
     assert sum(r["length"] for r in twice if r["doc_id"] == 4) == 2 * 9001 and sum(r["doc_id"] is None for r in twice) == 1
     assert P.pack(P.cut_documents(df.limit(0), PATH)).count() == 0
+
+
+def test_rows_that_repeat_are_dealt_to_many_shards(spark):
+    from foldwise.llm import packing as K
+    rows = [(1, 0, 100, 5, 100)] * 6000
+    out = K.pack(spark.createDataFrame(rows, K.SCHEMA), shard_pieces=500).collect()
+    assert len(out) == 6000
+    per_shard = {}
+    for r in out:
+        per_shard[r["sequence_id"] >> 24] = per_shard.get(r["sequence_id"] >> 24, 0) + 1
+    assert max(per_shard.values()) < 1000
+    used = {}
+    for r in out:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for v in used.values():
+        v.sort()
+        assert [o for o, _ in v] == [100 * k for k in range(len(v))] and 100 * len(v) <= 2048

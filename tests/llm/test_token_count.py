@@ -57,3 +57,14 @@ def test_edges(spark):
         got = sorted((tuple(r) for r in C.count_tokens(df, PATH, head_pieces=head).collect()), key=repr)
         assert got == want
     assert C.count_tokens(df.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_of_other_scripts_give_the_library_ids(name):
+    import random
+    p, rng = tok.Pieces(public_tokenizers.path(name)), random.Random(9)
+    ranges = [(0x20, 0x300), (0x20, 0x3000), (0x300, 0x370), (0x2000, 0x2100), (0x1100, 0x1200), (0xAC00, 0xAC80), (0xFB00, 0xFFFF)]
+    for _ in range(3000):
+        lo, hi = rng.choice(ranges)
+        t = "".join(chr(rng.randrange(lo, hi)) if rng.random() < .7 else rng.choice(" \n\t'sa1.") for _ in range(rng.randrange(25)))
+        assert p.cut(t) is not None and p.ids(t) == p.encode_whole(t), repr(t)
