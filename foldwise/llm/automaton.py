@@ -168,6 +168,18 @@ class Nfa:
         return frozenset(seen)
 
 
+def backwards(node):
+    """The tree that matches the same strings read from the right."""
+    kind = node[0]
+    if kind == "set":
+        return node
+    if kind == "cat":
+        return ("cat", [backwards(x) for x in reversed(node[1])])
+    if kind == "alt":
+        return ("alt", [backwards(x) for x in node[1]])
+    return (kind, backwards(node[1]), *node[2:])
+
+
 @dataclass(frozen=True)
 class Dfa:
     """``table[state, byte]`` is the next state (0 starts); ``accepts[state]`` has the rules that end there, as bits."""

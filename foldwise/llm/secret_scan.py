@@ -117,7 +117,12 @@ class Scanner:
 
 
 class _Anchored:
-    """Leftmost-longest matches of one rule by its own automaton."""
+    """Leftmost-longest matches of one rule by its own automaton.
+
+    A start that comes to nothing costs the bytes read from it. Once these add up to the length of the text, one pass from
+    its end by the reversed automaton marks the places where a match does start, and only those are tried: the work stays
+    linear in the text whatever it holds.
+    """
 
     def __init__(self, tree) -> None:
         dfa = A.compile_rules([tree], anchored=True)
@@ -126,25 +131,48 @@ class _Anchored:
         self.rows = [row + [bool(a)] for row, a in zip(dfa.table.tolist(), dfa.accepts)]
         self.dead = dead
         self.first = bytes(int(t != dead) for t in dfa.table[0].tolist())
+        self.tree = tree
+
+    @functools.cached_property
+    def _from_end(self) -> tuple[list, list]:
+        dfa = A.compile_rules([A.backwards(self.tree)], anchored=False)
+        return dfa.table.tolist(), [bool(a) for a in dfa.accepts]
+
+    def starts(self, data: bytes) -> bytes:
+        """1 where a match starts."""
+        rows, accepts = self._from_end
+        out, s = bytearray(len(data)), 0
+        for i in range(len(data) - 1, -1, -1):
+            s = rows[s][data[i]]
+            if accepts[s]:
+                out[i] = 1
+        return bytes(out)
 
-    def longest(self, data: bytes, pos: int) -> int:
-        """End of the longest match that starts at ``pos``, or -1."""
-        rows, dead, s, end = self.rows, self.dead, 0, -1
+    def _longest(self, data: bytes, pos: int) -> tuple[int, int]:
+        """End of the longest match that starts at ``pos``, or -1, and where reading stopped."""
+        rows, dead, s, end, i = self.rows, self.dead, 0, -1, pos
         for i in range(pos, len(data)):
             s = rows[s][data[i]]
             if s == dead:
                 break
             if rows[s][256]:
                 end = i + 1
-        return end
+        return end, i
+
+    def longest(self, data: bytes, pos: int) -> int:
+        return self._longest(data, pos)[0]
 
     def leftmost(self, data: bytes) -> Iterator[tuple[int, int]]:
-        can_start = data.translate(self.first)
+        can_start, lost, marked = data.translate(self.first), 0, False
         pos = can_start.find(1)
         while pos >= 0:
-            end = self.longest(data, pos)
+            end, stop = self._longest(data, pos)
             if end > pos:
                 yield pos, end
+            else:
+                lost += stop - pos
+                if lost > len(data) and not marked:
+                    can_start, marked = self.starts(data), True
             pos = can_start.find(1, max(end, pos + 1))
 
 

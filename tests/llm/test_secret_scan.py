@@ -78,3 +78,25 @@ def test_edges(spark):
     got = [(r["doc_id"], len(r["found"])) for r in S.scan(df).collect()]
     assert sorted(got, key=repr) == sorted([(1, 0), (2, 0), (None, 1), (3, 0), (4, 1), (4, 1)], key=repr)
     assert S.scan(df.limit(0)).count() == 0
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+    s = S.scanner()
+    for text in (b"eyJ" * 350_000 + b" .eyJa", b"eyJa." * 200_000 + b" .eyJa", b"token= " * 150_000, b"-----BEGIN " * 90_000, b"AKIA" * 250_000,
+                 b"eyJa" * 1000 + b".eyJb.c " + b"eyJ" * 300_000):
+        t = time.perf_counter()
+        s.spans(text)
+        assert time.perf_counter() - t < 5, text[:20]
+    found = s.spans(b"eyJa" * 1000 + b".eyJb.c " + b"eyJ" * 30_000 + b" eyJx.eyJy.z")
+    assert [(a, S.RULES[k].kind, b) for a, k, b in found] == [(0, "jwt", 4007), (94009, "jwt", 94020)]
+
+
+def test_starts_from_the_end_give_the_same_spans():
+    rng, s = random.Random(6), S.scanner()
+    parts = [b"eyJ", b".", b"eyJa", b" ", b"-", b"x", b"token", b"=", b"AKIA", b"AB12", b"0123abcdef", b"-----", b"BEGIN ", b"PRIVATE KEY"]
+    for _ in range(1500):
+        data = b"".join(rng.choice(parts) for _ in range(rng.randrange(40)))
+        for one in s.spans_of:
+            flags = one.starts(data)
+            assert [p for p in range(len(data)) if flags[p]] == [p for p in range(len(data)) if one.longest(data, p) > p]
