@@ -187,38 +187,6 @@ def fixed_vocabulary_tfidf(fit_docs: DataFrame, all_docs: DataFrame, text_col: s
     return tfidf_transform(doc_terms(all_docs, id_col, terms), vocab, id_col, binary=binary)
 
 
-def tfidf_by_fold(docs: DataFrame, terms: Column, fold_col: str, id_col: str = "id", min_df: int = 1,
-                  max_df: float = 1.0, max_features: int | None = None, sublinear: bool = False) -> DataFrame:
-    """TF-5: for each fold k, fit on rows with ``fold <> k`` and weight the rows of fold k.
-
-    One pass: per-(term, fold) document counts; the train-part statistics of
-    fold k are totals minus fold k's own part. Output ``(id, fold, term, tfidf)``.
-    """
-    dt = doc_terms(docs, id_col, terms, keep=[fold_col])
-    per = dt.groupBy("term", fold_col).agg(F.count(F.lit(1)).alias("df_f"), F.sum("tf").alias("ctf_f"))
-    tot = Window.partitionBy("term")
-    per = (per.withColumn("df_t", F.sum("df_f").over(tot)).withColumn("ctf_t", F.sum("ctf_f").over(tot)))
-    folds = docs.groupBy(fold_col).agg(F.count(F.lit(1)).alias("n_f"))
-    folds = folds.withColumn("n_train", F.sum("n_f").over(Window.partitionBy()) - F.col("n_f"))  # k rows
-    # a term absent from fold k keeps its full counts for that fold's train part
-    # (a train part never holds more documents with a term than all folds do, so rare terms go first)
-    grid = per.where(F.col("df_t") >= min_df).select("term", "df_t", "ctf_t").distinct() \
-        .crossJoin(F.broadcast(folds.select(fold_col, "n_train")))
-    st = (grid.join(per.select("term", fold_col, "df_f", "ctf_f"), ["term", fold_col], "left")
-          .na.fill(0, ["df_f", "ctf_f"])
-          .select("term", fold_col, "n_train", (F.col("df_t") - F.col("df_f")).alias("df"),
-                  (F.col("ctf_t") - F.col("ctf_f")).alias("ctf"))
-          .where(F.col("df") > 0))
-    st = st.where(F.col("df") >= min_df)
-    if isinstance(max_df, float) and max_df < 1.0:
-        st = st.where(F.col("df") <= F.lit(max_df) * F.col("n_train"))
-    if max_features is not None:
-        st = top_terms(materialize(st), max_features, [fold_col])
-    vocab = st.withColumn("idf", F.log((F.lit(1.0) + F.col("n_train")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
-    return tfidf_transform(dt.select(id_col, fold_col, "term", "tf"), vocab.select(fold_col, "term", "idf"),
-                           id_col, sublinear, by=[fold_col])
-
-
 def cosine_topic_answer(docs: DataFrame, id_col: str, topic_col: str, answer_col: str, with_terms,
                         max_features: int | None = 2000) -> DataFrame:
     """SM-1: cosine similarity of topic and answer in a TF-IDF space fitted on answers + topics.

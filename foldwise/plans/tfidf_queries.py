@@ -11,15 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import NON_WS, WS_RUN
+from ..operators import termrows as TR
 from ..operators import tfidf as TF
 from ..operators.digitlaw import benford_features
 from ..operators.folds import kfold_sql, stratified_kfold
+from ..session import materialize
 from ..sources.tables import table
 from .common import finish, r6
 
 WORD = dict(n=(1, 3), max_features=3000, min_df=2, max_df=0.85, sublinear=True)
 CHAR = dict(n=(3, 5), max_features=2000, min_df=2, max_df=0.9, sublinear=True)
 FOLD_WORD = dict(n=(1, 3), max_features=3000, min_df=2, max_df=0.95, sublinear=True)
+FOLDS = 5
 SHARED = dict(n=(1, 2), max_features=2000)
 # The reference's binary vocabulary.
 AI_PATTERN_WORDS = ["conclusion", "summary", "however", "therefore", "moreover",
@@ -77,15 +80,31 @@ def topic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(TF.cosine_topic_answer(docs, "id", "topic", "answer", with_terms, SHARED["max_features"]))
 
 
+def fold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, answer, topic, y, fold)`` of every document; label and fold are null for unlabelled ones. Written: read by the
+    fit and by the weights."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.col("source").alias("topic"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
+    labelled = docs.select("id").join(labels, "id")
+    f = materialize(stratified_kfold(labelled, FOLDS, "y", seed=42).select("id", "y", "fold"))
+    return TF.spread(docs).join(f, "id", "left")
+
+
+def role_of(fold: str, k: str) -> F.Column:
+    return F.when(F.col(fold).isNull(), "test").when(F.col(fold) == F.col(k), "valid").otherwise("train")
+
+
 def tfidf_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
-    f = stratified_kfold(labels, 5, "quality", seed=42).select("id", "fold")
-    f = TF.spread(docs).join(f, "id")
-    d, terms = _word_terms(f, FOLD_WORD["n"])
-    out = TF.tfidf_by_fold(d, terms, "fold", "id", FOLD_WORD["min_df"], FOLD_WORD["max_df"],
-                           FOLD_WORD["max_features"], FOLD_WORD["sublinear"])
-    return finish(out)
+    """TF-5: every document by the vocabulary and idf of each fold's train part, as train, validation or test row."""
+    docs = fold_documents(spark, sf_dir)
+    words = TR.Analyzer("words", *FOLD_WORD["n"], TF.english_stop_words())
+    text = F.coalesce(F.col("answer"), F.lit(""))
+    vocab = TR.fit(docs.where(F.col("fold").isNotNull()), text, words, FOLDS, "fold", FOLD_WORD["min_df"], FOLD_WORD["max_df"],
+                   FOLD_WORD["max_features"])
+    out = TR.weigh(docs.withColumnRenamed("fold", "own"), text, vocab, ["id", "own"], range(FOLDS), FOLD_WORD["sublinear"])
+    e = F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("tfidf").alias("tfidf"))).alias("e")
+    return finish(out.select("id", "fold", role_of("own", "fold").alias("role"), e).select("id", "fold", "role", "e.term", "e.tfidf"))
 
 
 def benford(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,22 +183,23 @@ sim as (select a.id, sum(a.y * b.y) c from nw a join nw b on a.id = b.id and a.t
 select src.id, {r6(f"case when not regexp_matches(src.a, '{NON_WS}') or not regexp_matches(src.tp, '{NON_WS}') then 0e0 else coalesce(sim.c, 0e0) end")} topic_coherence
 from src left join sim on sim.id = src.id"""
 
-_FOLDS = kfold_sql("select d.doc_id id, d.text answer, l.quality from documents d join labels l on l.doc_id = d.doc_id",
-                   5, 42, label="quality")
+_FOLDS = kfold_sql("select d.doc_id id, l.quality from documents d join labels l on l.doc_id = d.doc_id",
+                   FOLDS, 42, label="quality")
 TFIDF_FOLD_SQL = f"""
 with f as ({_FOLDS}),
-d as (select id, fold, coalesce(answer, '') t from f),
+d as (select doc_id id, fold, coalesce(text, '') t from documents left join f on f.id = doc_id),
 {_word_grams_sql(*FOLD_WORD['n'], cols='id, fold')},
 dt as (select id, fold, term, count(*) tf from g group by all),
-ks as (select distinct fold k from d),
+ks as (select distinct fold k from f),
 nfit as (select ks.k, count(*) n from ks join d on d.fold <> ks.k group by ks.k),
 st as (select ks.k, dt.term, count(*) df, sum(dt.tf) ctf from ks join dt on dt.fold <> ks.k group by ks.k, dt.term),
 flt as (select st.* from st join nfit on nfit.k = st.k where df >= {FOLD_WORD['min_df']} and df <= {FOLD_WORD['max_df']} * nfit.n),
 voc as (select k, term, df from (select *, row_number() over (partition by k order by ctf desc, term) r from flt) x
         where r <= {FOLD_WORD['max_features']}),
-w as (select dt.id, dt.fold, dt.term, (1 + ln(dt.tf)) * (ln((1 + nfit.n) / (1 + voc.df)) + 1) x
-      from dt join voc on voc.k = dt.fold and voc.term = dt.term join nfit on nfit.k = dt.fold)
-select id, fold, term, {r6('x / sqrt(sum(x * x) over (partition by id, fold))')} tfidf from w"""
+w as (select dt.id, voc.k, case when dt.fold is null then 'test' when dt.fold = voc.k then 'valid' else 'train' end role,
+             dt.term, (1 + ln(dt.tf)) * (ln((1 + nfit.n) / (1 + voc.df)) + 1) x
+      from dt join voc on voc.term = dt.term join nfit on nfit.k = voc.k)
+select id, k fold, role, term, {r6('x / sqrt(sum(x * x) over (partition by id, k))')} tfidf from w"""
 
 
 def _benford_cols() -> str:
