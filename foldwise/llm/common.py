@@ -67,13 +67,11 @@ class Generations:
             return list(map(self.new.__getitem__, keys))
         except KeyError:
             new, old = self.new, self.old
-            unknown = []
-            for k in set(keys):
-                if k not in new:
-                    if k in old:
-                        new[k] = old[k]
-                    else:
-                        unknown.append(k)
+            unknown = list(set(keys).difference(new))
+            if old:
+                again = {k: old[k] for k in unknown if k in old}
+                new.update(again)
+                unknown = [k for k in unknown if k not in again]
             new.update(zip(unknown, make(unknown)))
             out = list(map(new.__getitem__, keys))
             if len(new) > self.size:

@@ -104,8 +104,8 @@ def cut_documents(df: DataFrame, path: str, end_id: int = 1, window: int = WINDO
         p = tok.pieces(path)
         for b, texts in batches(it):
             rows = []
-            for d, t in zip(b.column("doc_id").to_pylist(), texts):
-                ids = p.ids(tok.text_of(t)) + end
+            for d, ids in zip(b.column("doc_id").to_pylist(), p.ids_of(list(map(tok.text_of, texts)))):
+                ids += end
                 n = len(ids) // 4
                 rows += [(d, s, m, zlib.crc32(ids[4 * s:4 * (s + m)]), n) for s, m in cuts(n, window, piece)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)],

@@ -70,9 +70,9 @@ def _frames(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _FRAME_TYPES)], _FRAME_NAMES)
 
         for b, texts in batches(it):
-            for d, t in zip(b.column("doc_id").to_pylist(), texts):
+            for d, x in zip(b.column("doc_id").to_pylist(), p.ids_of(list(map(tok.text_of, texts)))):
                 docs.append(d)
-                ids.append(p.ids(tok.text_of(t)) + end)
+                ids.append(x + end)
                 held += len(ids[-1]) // 4
                 if held >= FRAME_IDS:
                     yield flush()
