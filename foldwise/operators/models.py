@@ -51,10 +51,12 @@ def p1(prob_col: str = "probability") -> F.Column:
     return vector_to_array(F.col(prob_col))[1]
 
 
-def logistic(C: float, n_rows: int, weight_col: str | None = None, max_iter: int = 100) -> LogisticRegression:
-    """ML-1: L2 logistic regression; scikit-learn's C sums the loss, MLlib averages it: regParam = 1/(C n)."""
+def logistic(C: float, n_rows: int, weight_col: str | None = None, max_iter: int = 100, standardize: bool = False) -> LogisticRegression:
+    """ML-1: L2 logistic regression; scikit-learn's C sums the loss, MLlib averages it: regParam = 1/(C n).
+
+    ``standardize`` lets the learner scale features (sparse vectors stay sparse)."""
     lr = LogisticRegression(featuresCol=FEATURES, labelCol="label", regParam=1.0 / (C * max(n_rows, 1)),
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter)
+                            elasticNetParam=0.0, standardization=standardize, maxIter=max_iter)
     if weight_col:
         lr.setWeightCol(weight_col)
     return lr
@@ -125,6 +127,26 @@ def cv_oof(train: DataFrame, test: DataFrame | None, feature_cols: Sequence[str]
     return out
 
 
+def cv_oof_rows(fit_rows: Callable[[int], DataFrame], score_rows: Callable[[int], DataFrame], folds: Sequence[int],
+                make_estimator: Callable[[int], object], id_col: str = "id") -> DataFrame:
+    """ML-5 over rows that differ by fold (features fitted on the fold's train part): ``(id, fold, role, p)`` as ``cv_oof``.
+
+    ``fit_rows(k)`` has ``label`` and ``features``; ``score_rows(k)`` has the id, ``role`` ('oof' or 'test') and ``features``.
+    """
+    parts = [make_estimator(k).fit(fit_rows(k)).transform(score_rows(k)).select(
+        id_col, F.lit(k).alias("fold"), "role", p1().alias("p")) for k in folds]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def coverage(oof: DataFrame, id_col: str = "id") -> DataFrame:
+    """ML-5: by role and fold the scored rows, their distinct ids, and the scores that are probabilities."""
+    return oof.groupBy("role", "fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(id_col).alias("n_ids"),
+                                           F.sum(F.col("p").between(0.0, 1.0).cast("long")).alias("n_scored"))
+
+
 def stacker(oof_wide: DataFrame, cols: Sequence[str], label: str = "y", C: float = 1.0,
             apply_to: DataFrame | None = None) -> tuple[DataFrame, float]:
     """BL-7: logistic stacker on OOF score columns (fitted and scored on the same rows, as the

@@ -85,7 +85,11 @@ def _char_codes(column, n_min: int, n_max: int) -> _Codes:
     alphabet, at = np.unique(chars, return_inverse=True)
     base = len(alphabet) + 1
     if base ** n_max >= 1 << 63:
-        raise OverflowError("alphabet of a slice")  # callers halve the slice
+        if len(texts) > 1:
+            raise OverflowError("alphabet of a slice")  # callers halve the slice
+        words = [f" {w} " for w in texts[0].split(" ") if w]
+        return _word_codes(pa.array([[w[i:i + n] for w in words for n in range(n_min, n_max + 1) for i in range(len(w) - n + 1)]],
+                                    pa.list_(pa.string())))
     doc = np.repeat(np.arange(len(texts)), size)
     # words are padded by one space each, so two adjacent spaces are the border of two words
     space = chars == 32
@@ -161,16 +165,16 @@ def _bytes(column) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(float)
 
 
-def _halving(batch, read, depth: int = 0) -> Iterator:
-    """``read(batch)``, in halves where a slice has too many different characters; a single text in pieces of its words."""
+def _halving(batch, read) -> Iterator:
+    """``read(batch)``, in halves where a slice has too many different characters for its codes."""
     try:
-        yield read(batch)
+        out = read(batch)
     except OverflowError:
-        if batch.num_rows == 1:
-            raise
         mid = batch.num_rows // 2
-        yield from _halving(batch.slice(0, mid), read, depth + 1)
-        yield from _halving(batch.slice(mid), read, depth + 1)
+        yield from _halving(batch.slice(0, mid), read)
+        yield from _halving(batch.slice(mid), read)
+    else:
+        yield out
 
 
 # ---------------------------------------------------------------- fit

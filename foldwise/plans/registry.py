@@ -13,6 +13,7 @@ from . import tfidf_queries as fq
 from . import tabular_queries as tb
 from . import score_queries as sq
 from . import model_queries as mq
+from . import wide_queries as wq
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +78,8 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "text_inputs": (mq.text_inputs, mq.TEXT_INPUTS_SQL),
     "importance_rollup": (mq.importance_rollup, mq.IMPORTANCE_ROLLUP_SQL),
     "cv_logistic_meta": (mq.cv_logistic_meta, None),
+    "cv_logistic_wide": (wq.cv_logistic_wide, None),
+    "cv_wide_coverage": (wq.cv_wide_coverage, wq.CV_WIDE_COVERAGE_SQL),
     "cv_forest_meta": (mq.cv_forest_meta, None),
     "cv_gbt_tabular": (mq.cv_gbt_tabular, None),
     "stack_scores": (mq.stack_scores, None),
