@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import isotonic
 from .joins import lookup_join
 
 
@@ -70,13 +71,9 @@ def topic_calibration(test: DataFrame, train: DataFrame, topic_col: str = "topic
 
 def isotonic_fit_transform(oof: DataFrame, target: DataFrame, p_col: str = "p", y_col: str = "y",
                            out: str = "p_iso") -> DataFrame:
-    """PP-5: isotonic regression fitted on OOF scores, applied to ``target`` (clipped outside the
-    fitted range, linear between knots): MLlib's ``IsotonicRegression``."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    model = IsotonicRegression(featuresCol=p_col, labelCol=y_col, predictionCol=out, isotonic=True).fit(
-        oof.select(F.col(p_col).cast("double").alias(p_col), F.col(y_col).cast("double").alias(y_col)))
-    return model.transform(target)
+    """PP-5: isotonic regression fitted on OOF scores, applied to ``target`` (constant outside the fitted range, linear
+    between blocks)."""
+    return isotonic.transform(target, isotonic.fit(oof, p_col, y_col), p_col, out)
 
 
 def final_smoothing(calibrated: Column, uncalibrated: Column) -> Column:

@@ -66,7 +66,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "feature_export": (io.feature_export, io.FEATURE_EXPORT_SQL),
     "run_record": (io.run_record, io.RUN_RECORD_SQL),
     "softmax_scores": (io.softmax_scores, io.SOFTMAX_SCORES_SQL),
-    "isotonic_calibration": (sq.isotonic_calibration, None),
+    "isotonic_calibration": (sq.isotonic_calibration, sq.ISOTONIC_CALIBRATION_SQL),
     "folds_group": (mq.folds_group, mq.FOLDS_GROUP_SQL),
     "folds_repeated": (mq.folds_repeated, mq.FOLDS_REPEATED_SQL),
     "folds_tuning_final": (mq.folds_tuning_final, mq.FOLDS_TUNING_FINAL_SQL),

@@ -411,7 +411,21 @@ SCORE_SUMMARY_SQL = f"""select (select count(*) from ({_TEST_ENS_SQL}) t where p
 
 
 def isotonic_calibration(spark, sf_dir):
-    """PP-5: isotonic fit on the OOF ensemble (labelled rows), applied to the test ensemble (rows-only check)."""
-    oof = BL.mean_blend(scores(spark, sf_dir), by=["id", "y"]).withColumnRenamed("p_mean", "p")
-    out = PP.isotonic_fit_transform(oof, _test_ensemble(spark, sf_dir))
-    return finish(out.select("id", "p", "p_iso"))
+    """PP-5: isotonic fit on the OOF ensemble (labelled rows), applied to the test ensemble."""
+    p = F.round("p", 6).alias("p")  # a mean of doubles depends on their order
+    oof = BL.mean_blend(scores(spark, sf_dir), by=["id", "y"]).withColumnRenamed("p_mean", "p").select("y", p)
+    return finish(PP.isotonic_fit_transform(oof, _test_ensemble(spark, sf_dir).select("id", p)).select("id", "p", "p_iso"))
+
+
+# the value at a score is the largest, over all starts up to it, of the least mean from there to any end from it on
+ISOTONIC_CALIBRATION_SQL = f"""with o as (select round(avg(p), 6) p, any_value(y) y from ({SCORES_SQL}) s group by id),
+d as (select p, sum(y) s, count(*) n from o group by p),
+c as (select p, row_number() over (order by p) i, sum(s) over (order by p) s, sum(n) over (order by p) n from d),
+e as (select a.i a, b.i b, (b.s - coalesce(z.s, 0)) / (b.n - coalesce(z.n, 0)) m
+      from c a join c b on b.i >= a.i left join c z on z.i = a.i - 1),
+least_ as (select a, b, min(m) over (partition by a order by b desc) m from e),
+k as (select c.p, max(m) v from least_ join c on c.i = b group by c.p),
+t as (select id, round(p, 6) p from ({_TEST_ENS_SQL}) x)
+select t.id, t.p, round(case when k0.p is null then k1.v when k1.p is null or k1.p = k0.p then k0.v
+                             else k0.v + (k1.v - k0.v) * (t.p - k0.p) / (k1.p - k0.p) end, 6) p_iso
+from t asof left join k k0 on t.p >= k0.p asof left join k k1 on t.p <= k1.p"""
