@@ -45,9 +45,57 @@ def _pooled(blocks: DataFrame) -> DataFrame:
     return materialize(blocks.groupBy("r").applyInArrow(work, _BLOCKS))
 
 
-def _violated(blocks: DataFrame) -> tuple[int, bool]:
-    """Ranges, and whether a range ends above the start of the next: one row per range."""
+def _violated(blocks: DataFrame) -> bool:
+    """Whether a range ends above the start of the next: one row per range."""
     mean = F.col("s") / F.col("w")
+    ends = blocks.groupBy("r").agg(F.min_by(mean, "lo").alias("first"), F.max_by(mean, "lo").alias("last")).orderBy("r").collect()
+    return any(a["last"] >= b["first"] for a, b in zip(ends, ends[1:]))
+
+
+def fit(rows: DataFrame, p_col: str = "p", y_col: str = "y", weight_col: str | None = None, ranges: int | None = None) -> DataFrame:
+    """``(r, lo, hi, s, w)``: the blocks of the isotonic fit of ``y`` on ``p``; the value of a block is ``s / w``.
+
+    Rows with a null or NaN score or a null ``y``, and those without positive weight, take no part.
+    """
+    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    t = rows.select(F.col(p_col).cast("double").alias("p"), F.col(y_col).cast("double").alias("y"), w.alias("w")) \
+        .where(F.col("y").isNotNull() & ~F.isnan("p") & (F.col("w") > 0))
+    cells = materialize(t.groupBy("p").agg(F.sum(F.col("y") * F.col("w")).alias("s"), F.sum("w").alias("w")))
+    dealt = cells.repartitionByRange(ranges or default_buckets(rows), "p")
+    blocks = _pooled(materialize(dealt.select(F.spark_partition_id().cast("long").alias("r"), F.col("p").alias("lo"),
+                                              F.col("p").alias("hi"), "s", "w")))
+    while _violated(blocks):
+        # the last round, if it comes to that, has one group of blocks
+        blocks = _pooled(blocks.withColumn("r", F.floor(F.col("r") / MERGED_RANGES).cast("long")))
+    return blocks
+
+
+def _values(p: np.ndarray, lo, hi, value) -> np.ndarray:
+    if not len(lo):
+        return np.full(len(p), np.nan)
+    x, y = np.column_stack([lo, hi]).reshape(-1), np.repeat(value, 2)
+    keep = np.concatenate([[True], x[1:] > x[:-1]])  # a block of one score is one knot
+    return np.interp(p, x[keep], y[keep])
+
+
+def transform(target: DataFrame, blocks: DataFrame, p_col: str = "p", out: str = "p_iso", max_bytes: int = KNOT_BYTES) -> DataFrame:
+    """Adds ``out``, the fitted value at ``p_col`` (null for a null or NaN score, or without any block).
+
+    Up to ``max_bytes`` the blocks are broadcast and rows stay where they are. Beyond, distinct scores meet the blocks of their
+    range, with one block on either side, and their values come back by score.
+    """
+    value: Column = F.col("s") / F.col("w")
+    if blocks.count() * 24 <= max_bytes:
+        b = blocks.select("lo", "hi", value.alias("v")).toPandas().sort_values("lo")
+        held = target.sparkSession.sparkContext.broadcast(tuple(b[c].to_numpy() for c in ("lo", "hi", "v")))
+
+        @F.pandas_udf("double")
+        def at(p):
+            import pandas as pd
+
+            return pd.Series(_values(p.to_numpy(dtype=float), *held.value)).where(p.notna())
+        return target.withColumn(out, F.nanvl(at(F.col(p_col).cast("double")), F.lit(None)))
+
     spark = target.sparkSession
     ends = blocks.groupBy("r").agg(F.min("lo").alias("lo")).orderBy("r").collect()  # one row per range
     numbers = [r["r"] for r in ends]
