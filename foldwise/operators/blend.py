@@ -2,9 +2,10 @@
 
 Scores are long: ``(id, model, [seed], [fold], y, p)``; a DataFrame has no
 row order, so models are aligned by ``id`` (pivot), never by position.
-Weight searches explode a bounded grid of weights per row and compute every
-AUC in one distributed pass partitioned by the weight (ME-3); the argmax is
-``max_by`` over the small (weight, auc) table.
+Weight searches fold rows to distinct ``(scores..., label)`` cells with their
+counts first; a bounded grid of weights is exploded per cell, and every AUC
+comes from one distributed pass partitioned by the weight (ME-3); the argmax
+is ``max_by`` over the small (weight, auc) table.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .metrics import auc
+from .ranking import default_buckets
 
 EPS = 1e-12
 
@@ -47,6 +50,19 @@ def logit_mean_blend(scores: DataFrame, by: Sequence[str] = ("id",), p_col: str
     return scores.groupBy(*by).agg(sigmoid(F.avg(logit(F.col(p_col)))).alias("p_logit_mean"))
 
 
+def score_cells(wide: DataFrame, cols: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, label, cols..., _c)``: equal rows with their count, written (read for the bounds and by the grid)."""
+    return materialize(wide.groupBy(*by, label, *cols).agg(F.count(F.lit(1)).alias("_c")))
+
+
+def _bounds(cells: DataFrame, cols: Sequence[str]) -> list[float]:
+    """Cuts for scores that lie between the columns of their cell: quantiles of all columns together."""
+    n = default_buckets(cells)
+    qs = cells.approxQuantile(list(cols), [i / n for i in range(1, n)], 1.0 / (4 * n))
+    every = sorted(q for one in qs for q in one)
+    return every[len(cols) // 2::len(cols)]
+
+
 def _w_of(i: Column, n: int) -> Column:
     step = 1.0 / (n - 1)
     return F.when(i == n - 1, F.lit(1.0)).otherwise(i.cast("double") * F.lit(step))
@@ -56,17 +72,18 @@ def weight_search(wide: DataFrame, a: str, b: str, label: str = "y", space: str
                   by: Sequence[str] = ()) -> DataFrame:
     """BL-4 / BL-5: AUC of ``w*a + (1-w)*b`` (or the logit-space blend) for every grid weight.
 
-    Returns ``(*by, w, auc)``. The grid (n rows) is exploded per row, so the
+    Returns ``(*by, w, auc)``. The grid (n rows) is exploded per cell, so the
     AUC pass is one shuffle partitioned by (by, w).
     """
-    t = wide.select(*by, label, a, b, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"))
+    cells = score_cells(wide, [a, b], label, by)
+    t = cells.select(*by, label, a, b, "_c", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"))
     w = _w_of(F.col("_i"), n)
     if space == "logit":
         s = sigmoid(w * logit(F.col(a)) + (F.lit(1.0) - w) * logit(F.col(b)))
     else:
         s = w * F.col(a) + (F.lit(1.0) - w) * F.col(b)
-    t = t.select(*by, label, w.alias("w"), s.alias("_s"))
-    r = auc(t, score="_s", label=label, by=[*by, "w"])
+    t = t.select(*by, label, "_c", w.alias("w"), s.alias("_s"))
+    r = auc(t, score="_s", label=label, by=[*by, "w"], weight="_c", bounds=_bounds(cells, [a, b]))
     return r.select(*by, "w", "auc")
 
 
@@ -94,18 +111,19 @@ def simplex_points(n_models: int, step: float = 0.1) -> list[tuple[float, ...]]:
 def simplex_search(wide: DataFrame, cols: Sequence[str], label: str = "y", step: float = 0.1) -> DataFrame:
     """BL-6: AUC of every simplex-grid weighting of ``cols``; ``(point, w_<col>..., auc)``.
 
-    The grid is a parameter-sized list (C(k+m-1, m-1) points), exploded per row.
+    The grid is a parameter-sized list (C(k+m-1, m-1) points), exploded per cell.
     """
     pts = simplex_points(len(cols), step)
     arr = F.array(*[F.struct(F.lit(i).alias("point"), *[F.lit(w).alias(f"w_{c}") for w, c in zip(pt, cols)])
                     for i, pt in enumerate(pts)])
-    t = wide.select(label, *cols, F.explode(arr).alias("_g")).select(label, *cols, "_g.*")
+    cells = score_cells(wide, cols, label)
+    t = cells.select(label, *cols, "_c", F.explode(arr).alias("_g")).select(label, *cols, "_c", "_g.*")
     s = None
     for c in cols:
         term = F.col(f"w_{c}") * F.col(c)
         s = term if s is None else s + term
     t = t.withColumn("_s", s)
-    r = auc(t, score="_s", label=label, by=["point", *[f"w_{c}" for c in cols]])
+    r = auc(t, score="_s", label=label, by=["point", *[f"w_{c}" for c in cols]], weight="_c", bounds=_bounds(cells, cols))
     return r.select("point", *[f"w_{c}" for c in cols], "auc")
 
 

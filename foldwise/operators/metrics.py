@@ -28,15 +28,16 @@ def _score_counts(df: DataFrame, score: str, label: str, by: Sequence[str], weig
 
 
 def auc(df: DataFrame, score: str = "p", label: str = "y", by: Sequence[str] = (), n_buckets: int | None = None,
-        out: str = "auc") -> DataFrame:
+        out: str = "auc", weight: str | None = None, bounds: Sequence[float] | None = None) -> DataFrame:
     """ME-1/ME-2/ME-3: exact ROC AUC per group; 0.5 when a class is missing.
 
-    Returns ``(*by, n_pos, n_neg, auc)``.
+    Returns ``(*by, n_pos, n_neg, auc)``. A row stands for ``weight`` rows (default: itself). ``bounds`` are the scores that
+    cut the ranges, where the caller knows them; otherwise a pass over the distinct scores finds them.
     """
     by = list(by)
-    dist = _score_counts(df, score, label, by)
+    dist = _score_counts(df, score, label, by, weight)
     nb = n_buckets or default_buckets(df)
-    rb = range_bucketed(dist, [*by, score], nb)
+    rb = range_bucketed(dist, [*by, score], nb, bounds=bounds)
     below = Window.partitionBy(*by, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     rb = rb.withColumn("_nb", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
     per_b = rb.groupBy(*by, "_b").agg(
@@ -123,30 +124,35 @@ def youden_threshold(roc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def prevalence_threshold(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
-    """ME-6: the ``1 - positive rate`` quantile of the scores (linear interpolation, numpy default).
+def prevalence_threshold(df: DataFrame, score: str = "p", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
+    """ME-6: ``(*by, prevalence_threshold)``, the ``1 - positive rate`` quantile of the scores (linear interpolation, numpy
+    default).
 
-    The fraction is data dependent: it is a one-row table; the quantile is
+    The fraction is data dependent: it is a row per group; the quantile is
     read from the distinct-score position ranges (see ``exact_quantiles``).
     """
-    stats = df.agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(label).cast("double")).alias("_rate"))
-    x = stats.select(((F.lit(1.0) - F.col("_rate")) * (F.col("_n") - 1)).alias("_x"))
-    pos = value_positions(df, score)
-    lo = _value_at(pos, x.select("_x", F.floor("_x").cast("long").alias("_pos")), []).select(
-        "_x", F.col("_pos").alias("_plo"), F.col("_v").alias("_vlo"))
-    hi = _value_at(pos, x.select(F.ceil("_x").cast("long").alias("_pos")), []).select(F.col("_v").alias("_vhi"))
-    j = lo.crossJoin(hi)  # one row each
-    return j.select((F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_x") - F.col("_plo")))
+    by = list(by)
+    stats = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col(label).cast("double")).alias("_rate"))
+    x = stats.select(*by, ((F.lit(1.0) - F.col("_rate")) * (F.col("_n") - 1)).alias("_x"))
+    pos = value_positions(df, score, by)
+    lo = _value_at(pos, x.select(*by, "_x", F.floor("_x").cast("long").alias("_pos")), by).select(
+        *by, "_x", F.col("_pos").alias("_plo"), F.col("_v").alias("_vlo"))
+    hi = _value_at(pos, x.select(*by, F.ceil("_x").cast("long").alias("_pos")), by).select(*by, F.col("_v").alias("_vhi"))
+    j = lo.join(hi, by) if by else lo.crossJoin(hi)  # one row per group
+    return j.select(*by, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_x") - F.col("_plo")))
                     .alias("prevalence_threshold"))
 
 
-def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+def value_positions(df: DataFrame, value: str, by: Sequence[str] = (), n_buckets: int | None = None,
+                    weight: str | None = None) -> DataFrame:
     """``(*by, _v, _lo, _hi)``: each distinct value with the 0-based positions it occupies in the sorted
     multiset of its group. Rows are first folded to (value, count) with partial aggregation, so a value
-    held by a third of the rows is one row; counts are prefix-summed in two levels (value-range buckets)."""
+    held by a third of the rows is one row; counts are prefix-summed in two levels (value-range buckets).
+    A row stands for ``weight`` rows (default: itself)."""
     by = list(by)
-    dist = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()) \
-        .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = F.col(weight) if weight else F.lit(1)
+    dist = df.select(*by, F.col(value).cast("double").alias("_v"), w.alias("_w")).where(F.col("_v").isNotNull()) \
+        .groupBy(*by, "_v").agg(F.sum("_w").alias("_c"))
     nb = n_buckets or default_buckets(df)
     rb = range_bucketed(dist, [*by, "_v"], nb)
     within = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)

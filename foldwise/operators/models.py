@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import md5_key, unit_uniform
 from ..session import materialize
 from .metrics import auc
-from .ranking import rank_by_hash
+from .ranking import default_buckets, rank_by_hash
 
 FEATURES = "features"
 
@@ -188,25 +188,27 @@ def permutation_importance(model, df: DataFrame, cols: Sequence[str], label: str
                            seed: int = 0) -> DataFrame:
     """ME-9: AUC drop when one column is permuted (others fixed), all columns in one pass.
 
-    For column c the row of rank i under ``md5(seed|id)`` takes c's value
-    from the row of rank i under ``md5(seed|c|id)``. Both ranks are
-    two-level (hash buckets), the permuted copies of all columns form one
-    long table ``(feature, row)`` scored by one ``transform``, and the AUC
-    is one grouped pass by feature.
+    Rows stand in a random order (``md5(seed|id)``); the row of rank i takes its permuted values from the row of rank i + 1
+    (the last from the first), a permutation without fixed points. So one join by rank gives each row an array of the values
+    that all its columns take, one at a time; the variants are scored where the row is, and only their scores are counted
+    by feature.
     """
-    base = auc(model.transform(assemble(df, cols)).withColumn("_p", p1()), "_p", label).first()["auc"]
-    a = rank_by_hash(df.withColumn("_ha", md5_key(F.lit(seed), id_col)), [], "_ha", id_col, out="_r").drop("_ha")
-    long_vals = df.select(id_col, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("_pv")) for c in cols])).alias("_e")) \
-        .select(id_col, "_e.*").withColumn("_hb", md5_key(F.lit(seed), F.col("feature"), id_col))
-    b = rank_by_hash(long_vals, ["feature"], "_hb", id_col, out="_r").select("feature", "_r", "_pv")
-    feats = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")  # one row per column
-    perm = a.crossJoin(F.broadcast(feats)).join(b, ["feature", "_r"])
-    perm = perm.select("feature", label, *[F.when(F.col("feature") == c, F.col("_pv")).otherwise(F.col(c).cast("double"))
-                                           .alias(c) for c in cols])
-    scored = model.transform(assemble(perm, cols)).withColumn("_p", p1())
-    drops = auc(scored, "_p", label, by=["feature"])
-    return drops.select("feature", (F.lit(float(base)) - F.col("auc")).alias("auc_drop"))
+    t = materialize(rank_by_hash(df.withColumn("_h", md5_key(F.lit(seed), id_col)), [], "_h", id_col, out="_r").drop("_h"))
+    n = t.count()
+    given = t.select(((F.col("_r") + F.lit(max(n, 1) - 1)) % F.lit(max(n, 1))).alias("_r"),
+                     F.array(*[F.col(c).cast("double") for c in cols]).alias("_pv"))
+    # variant 0 is the row itself, variant j has the other value of column j
+    pairs = t.join(given, "_r").select(label, "_pv", *[F.col(c).cast("double").alias(c) for c in cols],
+                                       F.explode(F.sequence(F.lit(0), F.lit(len(cols)))).alias("_j"))
+    variants = pairs.select(label, "_j", *[F.when(F.col("_j") == j + 1, F.col("_pv")[j]).otherwise(F.col(c)).alias(c) for j, c in enumerate(cols)])
+    scored = model.transform(assemble(variants, cols)).select(label, "_j", p1().alias("_p"))
+    # the scores of the rows themselves cut the ranges of all variants
+    n_buckets = default_buckets(t)
+    bounds = model.transform(assemble(t, cols)).select(p1().alias("_p")).approxQuantile(
+        "_p", [i / n_buckets for i in range(1, n_buckets)], 1.0 / (4 * n_buckets)) if n else []
+    aucs = {r["_j"]: r["auc"] for r in auc(scored, "_p", label, by=["_j"], bounds=bounds).collect()}  # a row per column
+    return df.sparkSession.createDataFrame([(c, float(aucs.get(0, 0.5) - aucs.get(j + 1, 0.5))) for j, c in enumerate(cols)],
+                                           "feature string, auc_drop double")
 
 
 def draw_trials(spark, n_trials: int, space: dict, seed: int = 0) -> DataFrame:
@@ -277,12 +279,21 @@ def svd_fit(rows: DataFrame, idx_col: str, val_col: str, n_features: int, k: int
     g = np.zeros((nf, nf))
     for r in parts.groupBy("feature").applyInArrow(add, schema).collect():  # features rows
         g[r["feature"], r["feature"]:] = np.frombuffer(bytes(r["part"]), float)
+    return top_vectors(g, k)
+
+
+def top_vectors(g, k: int):
+    """The leading ``k`` eigenvectors of ``x'x`` given by its upper triangle, each with its largest entry positive; those
+    beyond the rank are zero."""
+    import numpy as np
+
+    nf = len(g)
     V = np.zeros((nf, k))
     if nf:
         value, vec = np.linalg.eigh(g, UPLO="U")
         top = [i for i in range(nf - 1, max(nf - 1 - k, -1), -1) if value[i] > value[-1] * nf * 1e-15]
         V[:, :len(top)] = vec[:, top]
-        V *= np.where(V[np.abs(V).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)  # the largest entry is positive
+        V *= np.where(V[np.abs(V).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
     return V
 
 

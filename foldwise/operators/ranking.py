@@ -49,7 +49,7 @@ def rank_by_hash(df: DataFrame, part_cols: Sequence[str], hash_col: str, tie_col
 
 
 def range_bucketed(df: DataFrame, order_cols: Sequence[str | Column], n_buckets: int,
-                   out: str = "_b") -> DataFrame:
+                   out: str = "_b", bounds: Sequence[float] | None = None) -> DataFrame:
     """Split rows into about ``n_buckets`` contiguous, balanced ranges of the last ``order_cols`` column.
 
     Bucket bounds are approximate quantiles of the value (a bounded list of
@@ -59,6 +59,7 @@ def range_bucketed(df: DataFrame, order_cols: Sequence[str | Column], n_buckets:
     after any task retry; bucket order follows value order and equal values
     share a bucket. A skewed value distribution still gives balanced buckets.
     Leading ``order_cols`` (group keys) stay separate columns of the key.
+    Given ``bounds`` replace the quantiles, and their pass over ``df``.
     """
     from pyspark.ml.feature import Bucketizer
 
@@ -67,7 +68,7 @@ def range_bucketed(df: DataFrame, order_cols: Sequence[str | Column], n_buckets:
     if value is None:
         raise ValueError("the last order column must be a column name")
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    qs = df.approxQuantile(value, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
+    qs = bounds if bounds is not None else df.approxQuantile(value, probs, 1.0 / (4 * n_buckets)) if n_buckets > 1 else []
     inner = sorted({float(q) for q in qs if q == q and q not in (float("inf"), float("-inf"))})
     splits = [float("-inf"), *inner, float("inf")]
     tmp = "_bv"

@@ -12,8 +12,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_BROADCAST_ROWS, materialize
-from .encode import key_expr, unpivot
+from ..session import materialize
+from .encode import key_expr
+from .rowlookup import HEAD_BYTES, look_up
 
 # Digit columns (multiplier, width) and rounding levels of the reference.
 DIGIT_SPEC = {"debt_to_income_ratio": (1000, 3), "credit_score": (None, 3), "interest_rate": (100, 4)}
@@ -61,31 +62,23 @@ def interactions(df: DataFrame, base: Sequence[str]) -> DataFrame:
     return df.select("*", *[F.concat(s(a), F.lit("_"), s(b)).alias(f"{a}_{b}") for a, b in combinations(base, 2)])
 
 
-def external_encodings(df: DataFrame, external: DataFrame, cols: Sequence[str], y: str,
-                       max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def external_encodings(df: DataFrame, external: DataFrame, cols: Sequence[str], y: str, id_col: str = "id",
+                       max_bytes: int = HEAD_BYTES) -> DataFrame:
     """TB-4 / J-1 / J-2 / P-7: ``orig_mean_<c>`` and ``orig_count_<c>`` from an external table.
 
     One aggregate over the external rows for every column (long form), then
-    one lookup per column (broadcast when that column's mapping is under the
-    bound). Missing keys get the external global target mean in **both**
-    columns (the reference fills the count columns with the mean too).
+    one lookup of all columns in the row (``rowlookup``). Missing keys get
+    the external global target mean in **both** columns (the reference fills
+    the count columns with the mean too).
     """
-    ext = external.select(*cols, F.col(y).cast("double").alias("_y"))
-    long = unpivot(ext, cols, ["_y"]).where(F.col("key").isNotNull())
-    stats = long.groupBy("column", "key").agg(F.avg("_y").alias("_m"), F.count(F.lit(1)).cast("double").alias("_n"))
-    stats = materialize(stats)
-    sizes = {r["column"]: r["n"] for r in stats.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    g = ext.agg(F.avg("_y").alias("g")).first()["g"]
-    out = df
-    for c in cols:
-        m = stats.where(F.col("column") == c).select(F.col("key").alias("_k"), "_m", "_n")
-        if sizes.get(c, 0) <= max_broadcast_rows:
-            m = F.broadcast(m)
-        out = (out.join(m, key_expr(c) == F.col("_k"), "left")
-               .withColumn(f"orig_mean_{c}", F.coalesce(F.col("_m"), F.lit(g)))
-               .withColumn(f"orig_count_{c}", F.coalesce(F.col("_n"), F.lit(g)))
-               .drop("_k", "_m", "_n"))
-    return out
+    ext = external.select(F.col(y).cast("double").alias("_y"), F.posexplode(F.array(*[key_expr(c) for c in cols])).alias("column", "key"))
+    stats = materialize(ext.groupBy("column", "key").agg(F.sum("_y").alias("s"), F.count("_y").alias("m"), F.count(F.lit(1)).alias("n")))
+    # every row has the first column's key or null, so its rows are the table's
+    g = stats.where("column = 0").agg((F.sum("s") / F.sum("m")).alias("g")).first()["g"]
+    mapping = stats.where(F.col("key").isNotNull()).select("column", "key", "n", F.array(F.col("s") / F.col("m"), F.col("n").cast("double")).alias("vals"))
+    out = look_up(df, [key_expr(c) for c in cols], mapping, 2, "n", id_col, out="_orig", max_bytes=max_bytes)
+    value = lambda k: F.when(F.isnan(F.col("_orig")[k]), F.lit(g)).otherwise(F.col("_orig")[k])
+    return out.select(*df.columns, *[value(2 * k + j).alias(f"orig_{n}_{c}") for k, c in enumerate(cols) for j, n in enumerate(("mean", "count"))])
 
 
 def ratio_features(df: DataFrame) -> DataFrame:

@@ -374,3 +374,87 @@ def sparse_features(docs: DataFrame, text: Column, vocabs: Sequence[Vocabulary],
 def offsets(vocabs: Sequence[Vocabulary], n_dense: int, n_slots: int, fold: int = 0) -> list[int]:
     """First index of each vocabulary's block, and the size of the whole vector."""
     return (n_dense + n_slots + np.cumsum([0, *[v.size(fold) for v in vocabs]])).tolist()
+
+
+def weight_bins(docs: DataFrame, text: Column, vocab: Vocabulary, y: str, fold: str, n_folds: int, bins: int = 32, prefix: str = "",
+                sublinear: bool = True) -> DataFrame:
+    """``(k, feature, bin, y, c)`` of the terms' weights in the train part of every fold: bins ``1..bins`` of equal width over
+    (0, 1], weights taken to 6 decimals. Tasks count in an array of terms * bins * classes per fold, classes 0 and 1."""
+    import pyarrow as pa
+
+    held = docs.sparkSession.sparkContext.broadcast(vocab)
+    names = ["k", "feature", "bin", "y", "c"]
+
+    def work(it):
+        v = held.value
+        wanted, n_terms = pa.array(v.terms, pa.string()), len(v.terms)
+        total = np.zeros((n_folds, n_terms * bins * 2), np.int64)
+        for whole in it:
+            for part in _slices(whole, ["_terms"]):
+                for b, c in _halving(part, lambda b: (b, v.analyzer.codes(b.column("_terms")))):
+                    n = b.num_rows
+                    hits = _weights(c, v, wanted, n, sublinear)
+                    label, own = (b.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("_y", "_own"))
+                    for k in range(n_folds):
+                        doc, _, term, w = _of_fold(v, k, *hits, n)
+                        keep = own[doc] != k
+                        at = np.minimum((np.round(w[keep], 6) * bins).astype(np.int64), bins - 1)
+                        total[k] += np.bincount((term[keep] * bins + at) * 2 + label[doc[keep]], minlength=total.shape[1])
+        k, cell = np.nonzero(total)
+        term, rest = np.divmod(cell, bins * 2)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([prefix + v.terms[t] for t in term.tolist()], pa.string()),
+                                          pa.array(rest // 2 + 1), pa.array(rest % 2), pa.array(total[k, cell])], names)
+
+    t = vocab.analyzer.prepared(docs, text, "_terms").select(F.col(y).cast("long").alias("_y"), F.col(fold).cast("long").alias("_own"), "_terms")
+    return t.mapInArrow(work, "k int, feature string, bin long, y long, c long").groupBy("k", "feature", "bin", "y").agg(F.sum("c").alias("c"))
+
+
+# ---------------------------------------------------------------- blocks of counts
+
+def hit_blocks(docs: DataFrame, text: Column, vocabs: Sequence[Vocabulary], id_col: str, flag: Column) -> DataFrame:
+    """``(ids array<long>, flags array<boolean>, hits array<binary>)``: a row per slice of documents, with the packed counts of
+    each vocabulary's terms. A few bytes per term of a document, for steps that pass over all of them more than once."""
+    import pyarrow as pa
+
+    held = docs.sparkSession.sparkContext.broadcast(list(vocabs))
+    names = [f"_terms{j}" for j in range(len(vocabs))]
+
+    def work(it):
+        wanted = [pa.array(v.terms, pa.string()) for v in held.value]
+        for whole in it:
+            for part in _slices(whole, names):
+                for b, codes in _halving(part, lambda b: (b, [v.analyzer.codes(b.column(c)) for v, c in zip(held.value, names)])):
+                    n, packed = b.num_rows, []
+                    for v, c, w in zip(held.value, codes, wanted):
+                        doc, term, tf = _weights(c, v, w, n, sublinear=False)
+                        ends = np.searchsorted(doc, np.arange(n + 1))
+                        raw = np.concatenate([ends, term, tf.astype(np.int64)]).astype("<u4").tobytes()
+                        packed.append(np.uint64(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b.column("_id").to_pylist()], pa.list_(pa.int64())), pa.array([b.column("_flag").to_pylist()], pa.list_(pa.bool_())),
+                         pa.array([packed], pa.list_(pa.binary()))], ["ids", "flags", "hits"])
+
+    t = docs
+    for v, c in zip(vocabs, names):
+        t = v.analyzer.prepared(t, text, c)
+    t = t.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(flag, F.lit(False)).alias("_flag"), *names)
+    return t.mapInArrow(work, "ids array<long>, flags array<boolean>, hits array<binary>")
+
+
+def dense_rows(packed: bytes, n: int, vocab: Vocabulary, keep: np.ndarray, step: int = 256, sublinear: bool = True) -> Iterator[np.ndarray]:
+    """The L2-normalised rows of a block's documents ``keep``, ``step`` at a time, as dense matrices."""
+    import pyarrow as pa
+
+    raw = pa.decompress(packed[8:], int(np.frombuffer(packed[:8], np.uint64)[0]), codec="zstd", asbytes=True)
+    raw = np.frombuffer(raw, "<u4").astype(np.int64)
+    ends = raw[:n + 1]
+    term, tf = raw[n + 1:].reshape(2, -1) if len(raw) > n + 1 else (np.zeros(0, np.int64),) * 2
+    w = (1.0 + np.log(tf) if sublinear else tf) * vocab.idf[term, 0]
+    for lo in range(0, len(keep), step):
+        part = keep[lo:lo + step]
+        size = ends[part + 1] - ends[part]
+        at = np.repeat(ends[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        x = np.zeros((len(part), len(vocab.terms)))
+        x[np.repeat(np.arange(len(part)), size), term[at]] = w[at]
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        yield x / np.where(norm > 0, norm, 1.0)

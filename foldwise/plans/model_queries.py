@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.hashing import unit_uniform_sql
 from ..functions.text import WS_BODY
 from ..operators import blend as BL
+from ..operators import lexicon as LX
+from ..operators import lowrank as LR
 from ..operators import models as MO
 from ..operators import post as PP
 from ..operators import profile as PR
 from ..operators import select as SE
+from ..operators import termrows as TR
 from ..operators import textstyle as TS
 from ..operators import tfidf as TF
 from ..operators.encode import factorize
@@ -176,30 +182,45 @@ select feature, {r6('mi')} mi, rank, rank <= {max(4, int(0.7 * len(META)))} keep
 
 # ---------------------------------------------------------------- lexicon and inputs (SQL)
 
+LEXICON_MIN_DOCS = 5
+# Words and polarities that a caller might hand over.
+CALLER_LEXICON = [("with", 0.3713921), ("this", -0.2317409), ("the", 0.1138367), ("for", 0.8310273), ("und", -0.7129841), ("les", 0.5903117),
+                  ("que", -0.4371093), ("de", 0.1709761)]
+
+
 def text_lexicon(spark, sf_dir):
-    """TX-17 re-aimed: polarity of a word = 2 * mean label of the labelled documents holding it - 1
-    (words in >= 5 such documents); subjectivity = |polarity|; a document scores the token-weighted
-    mean over its lexicon words, 0 without any."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
-    dt = TF.doc_terms(docs, "id", T.lower_words(T.text_or_empty("answer")))
-    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("q"))
-    lex = (dt.join(lab, "id").groupBy("term").agg(F.avg("q").alias("_m"), F.count(F.lit(1)).alias("_df"))
-           .where(F.col("_df") >= 5).select("term", (F.lit(2.0) * F.col("_m") - F.lit(1.0)).alias("polarity")))
-    # one row per lexicon word: broadcast after a size check, else a shuffle join (AQE splits hot terms)
-    j = lookup_join(dt, lex, "term", "inner")
-    s = j.groupBy("id").agg((F.sum(F.col("tf") * F.col("polarity")) / F.sum("tf")).alias("_pol"),
-                            (F.sum(F.col("tf") * F.abs("polarity")) / F.sum("tf")).alias("_subj"))
-    out = docs.select("id").join(s, "id", "left")
-    return finish(out.select("id", F.coalesce("_pol", F.lit(0.0)).alias("sentiment_polarity"),
-                             F.coalesce("_subj", F.lit(0.0)).alias("sentiment_subjectivity")))
+    """TX-17 re-aimed: polarity of a word = 2 * mean label of the labelled documents holding it - 1, learned from the other
+    folds for a labelled document and from all for the others (words in >= 5 such documents)."""
+    docs = TF.spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer")))
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
+    folds = materialize(stratified_kfold(lab, K, "y", seed=SEED).select("id", "y", "fold"))
+    out = LX.learned_scores(docs.join(folds, "id", "left"), "answer", "y", "fold", K, LEXICON_MIN_DOCS)
+    return finish(out.select("id", "sentiment_polarity", "sentiment_subjectivity"))
 
 
 TEXT_LEXICON_SQL = f"""with {TOK.strip()[5:]},
-dt as (select id, w2 term, count(*) tf from (select id, unnest(l) w2 from k) u group by all),
-lex as (select term, 2 * avg(l.quality) - 1 polarity from dt join labels l on l.doc_id = dt.id
-        group by term having count(*) >= 5),
+f as ({kfold_sql('select doc_id id, quality y from labels', K, SEED, label='y')}),
+dt as (select u.id, w2 term, count(*) tf, any_value(f.fold) fold, any_value(f.y) y
+       from (select id, unnest(l) w2 from k) u left join f on f.id = u.id group by u.id, w2),
+parts as (select distinct fold part from f union all select null),
+lex as (select parts.part, dt.term, 2 * avg(dt.y) - 1 polarity from parts join dt on dt.y is not null and dt.fold is distinct from parts.part
+        group by parts.part, dt.term having count(*) >= {LEXICON_MIN_DOCS}),
 s as (select id, sum(tf * polarity) / sum(tf) pol, sum(tf * abs(polarity)) / sum(tf) subj
-      from dt join lex on lex.term = dt.term group by id)
+      from dt join lex on lex.term = dt.term and lex.part is not distinct from dt.fold group by id)
+select k.id, {r6('coalesce(pol, 0e0)')} sentiment_polarity, {r6('coalesce(subj, 0e0)')} sentiment_subjectivity
+from k left join s on s.id = k.id"""
+
+
+def text_lexicon_table(spark, sf_dir):
+    """TX-17 with a caller's lexicon."""
+    docs = TF.spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer")))
+    out = LX.scores(docs, "answer", spark.createDataFrame(CALLER_LEXICON, "term string, polarity double"))
+    return finish(out.select("id", "sentiment_polarity", "sentiment_subjectivity"))
+
+
+TEXT_LEXICON_TABLE_SQL = f"""with {TOK.strip()[5:]},
+lex(term, polarity) as (values {', '.join(f"('{w}', {x!r}e0)" for w, x in CALLER_LEXICON)}),
+s as (select id, avg(polarity) pol, avg(abs(polarity)) subj from (select id, unnest(l) term from k) u join lex using (term) group by id)
 select k.id, {r6('coalesce(pol, 0e0)')} sentiment_polarity, {r6('coalesce(subj, 0e0)')} sentiment_subjectivity
 from k left join s on s.id = k.id"""
 
@@ -374,6 +395,35 @@ def hp_search(spark, sf_dir):
     return finish(obj.crossJoin(best))
 
 
+def _draw_sql(name: str, spec: tuple) -> str:
+    u = unit_uniform_sql(f"md5(concat('{SEED}', '|', trial, '|', '{name}'))")
+    kind, lo, hi = spec[:3]
+    if kind == "loguniform":
+        return r6(f"exp({u} * {math.log(hi) - math.log(lo)!r}e0 + {math.log(lo)!r}e0)") + f" {name}"
+    v = f"({u} * {float(hi - lo)!r}e0 + {float(lo)!r}e0)"
+    return r6(f"round_even({v} / {float(spec[3])!r}e0, 0) * {float(spec[3])!r}e0" if kind == "quniform" else v) + f" {name}"
+
+
+# The reference's search space and number of trials.
+BOOSTER_SPACE = {
+    "n_estimators": ("quniform", 500, 1600, 50), "learning_rate": ("loguniform", 0.015, 0.08), "max_depth": ("quniform", 3, 6, 1),
+    "num_leaves": ("quniform", 15, 63, 2), "min_child_samples": ("quniform", 20, 90, 5), "min_gain_to_split": ("loguniform", 1e-4, 5e-2),
+    "subsample": ("uniform", 0.6, 0.95), "colsample_bytree": ("uniform", 0.5, 0.9), "reg_alpha": ("uniform", 0.0, 1.0),
+    "reg_lambda": ("uniform", 0.0, 1.0)}
+BOOSTER_TRIALS = 40
+
+
+def hp_draws(spark, sf_dir):
+    """HP-1: the trials of the booster space, one row each, with the classes of the table they are to be judged on."""
+    n = table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("quality").alias("n_positive"))
+    return finish(MO.draw_trials(spark, BOOSTER_TRIALS, BOOSTER_SPACE, seed=SEED).crossJoin(n))  # one row
+
+
+HP_DRAWS_SQL = f"""select trial, {', '.join(_draw_sql(k, v) for k, v in BOOSTER_SPACE.items())},
+       (select count(*) from labels) n_rows, (select cast(sum(quality) as bigint) from labels) n_positive
+from (select range trial from range({BOOSTER_TRIALS})) t"""
+
+
 SVD_WORD = dict(components=384, n=(1, 3), max_features=3000, min_df=2, max_df=0.95)
 SVD_CHAR = dict(components=192, n=(3, 5), max_features=2000, min_df=2, max_df=1.0)
 
@@ -381,28 +431,13 @@ SVD_CHAR = dict(components=192, n=(3, 5), max_features=2000, min_df=2, max_df=1.
 def svd_tfidf(spark, sf_dir):
     """SV-1: truncated SVD of the word and the character TF-IDF, both fitted on the labelled documents; one row per
     document, zero in a space where it has no vocabulary term."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct().withColumn("_fit", F.lit(True))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
-    docs = TF.spread(docs)
+    docs = TF.spread(docs).join(labels, "id", "left")
     text = F.coalesce(F.col("answer"), F.lit(""))
-    rows = docs.select("id").join(labels.withColumn("_fit", F.lit(True)), "id", "left")
-    sizes = {}
-    for name, p, col, prepared, terms in (
-            ("wsvd", SVD_WORD, "_tok", TF.word_tokens(text, TF.english_stop_words()), TF.word_ngrams("_tok", *SVD_WORD["n"])),
-            ("csvd", SVD_CHAR, "_pw", TF.padded_words(text), TF.char_wb_ngrams("_pw", *SVD_CHAR["n"]))):
-        d = docs.withColumn(col, prepared)
-        fit = d.join(labels, "id", "left_semi")
-        vocab = materialize(TF.fit_vocabulary(TF.doc_terms(fit, "id", terms), fit.count(), p["min_df"], p["max_df"],
-                                              p["max_features"]))
-        # column index per vocabulary term: at most max_features rows
-        place = materialize(vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("_j")))
-        sizes[name] = place.count()
-        tf = TF.tfidf_transform(TF.doc_terms(d, "id", terms), vocab, "id", sublinear=True)
-        e = tf.join(F.broadcast(place), "term").groupBy("id").agg(
-            F.collect_list(F.struct("_j", "tfidf")).alias("_e"))  # one document's terms
-        rows = rows.join(e.select("id", F.col("_e._j").alias(f"{name}_i"), F.col("_e.tfidf").alias(f"{name}_v")), "id", "left")
-    rows = materialize(rows)
-    spaces = [(name, f"{name}_i", f"{name}_v",
-               MO.svd_fit(rows.where("_fit"), f"{name}_i", f"{name}_v", sizes[name], p["components"]))
-              for name, p in (("wsvd", SVD_WORD), ("csvd", SVD_CHAR))]
-    return finish(MO.svd_project(rows, spaces))
+    spaces = (("wsvd", SVD_WORD, TR.Analyzer("words", *SVD_WORD["n"], TF.english_stop_words())),
+              ("csvd", SVD_CHAR, TR.Analyzer("chars", *SVD_CHAR["n"])))
+    vocabs = [TR.fit(docs.where("_fit"), text, a, min_df=p["min_df"], max_df=p["max_df"], max_features=p["max_features"]) for _, p, a in spaces]
+    blocks = materialize(TR.hit_blocks(docs, text, vocabs, "id", F.col("_fit")))
+    vectors = LR.svd_fit(blocks, vocabs, [p["components"] for _, p, _ in spaces])
+    return finish(LR.svd_project(blocks, vocabs, vectors, [n for n, _, _ in spaces]))

@@ -38,8 +38,8 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "factorize_codes": (tb.factorize_codes, tb.FACTORIZE_CODES_SQL),
     "auc_by_model": (sq.auc_by_model, sq.AUC_BY_MODEL_SQL),
     "auc_by_model_fold": (sq.auc_by_model_fold, sq.AUC_BY_MODEL_FOLD_SQL),
-    "roc_curve_m3": (sq.roc_curve_m3, sq.ROC_CURVE_M3_SQL),
-    "thresholds_m3": (sq.thresholds_m3, sq.THRESHOLDS_M3_SQL),
+    "roc_curve": (sq.roc_curve, sq.ROC_CURVE_SQL),
+    "thresholds": (sq.thresholds, sq.THRESHOLDS_SQL),
     "accuracy_by_model": (sq.accuracy_by_model, sq.ACCURACY_BY_MODEL_SQL),
     "class_weights": (sq.class_weights, sq.CLASS_WEIGHTS_SQL),
     "blend_means": (sq.blend_means, sq.BLEND_MEANS_SQL),
@@ -75,9 +75,12 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "embedding_lookup": (mq.embedding_lookup, mq.EMBEDDING_LOOKUP_SQL),
     "mi_screen": (mq.mi_screen, mq.MI_SCREEN_SQL),
     "text_lexicon": (mq.text_lexicon, mq.TEXT_LEXICON_SQL),
+    "text_lexicon_table": (mq.text_lexicon_table, mq.TEXT_LEXICON_TABLE_SQL),
+    "hp_draws": (mq.hp_draws, mq.HP_DRAWS_SQL),
     "text_inputs": (mq.text_inputs, mq.TEXT_INPUTS_SQL),
     "importance_rollup": (mq.importance_rollup, mq.IMPORTANCE_ROLLUP_SQL),
     "cv_logistic_meta": (mq.cv_logistic_meta, None),
+    "mi_screen_folds": (wq.mi_screen_folds, wq.MI_SCREEN_FOLDS_SQL),
     "cv_logistic_wide": (wq.cv_logistic_wide, None),
     "cv_wide_coverage": (wq.cv_wide_coverage, wq.CV_WIDE_COVERAGE_SQL),
     "cv_forest_meta": (mq.cv_forest_meta, None),

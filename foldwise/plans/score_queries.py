@@ -11,6 +11,7 @@ from ..operators import metrics as ME
 from ..operators import post as PP
 from ..operators import profile as PR
 from ..operators.folds import kfold_sql, stratified_kfold
+from ..session import materialize
 from ..sources.tables import table
 from ..sources.views import (ANSWERS_SQL, APPLICATIONS_SQL, NUMERIC, SCORES_SQL, answers, applications, scores,
                              seed_scores, seed_scores_sql, test_scores, test_scores_sql)
@@ -19,6 +20,8 @@ from .common import finish, r6
 K = 5
 SEED = 42
 
+MODELS = (1, 2, 3)  # of the score views
+
 
 def _fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
@@ -49,43 +52,43 @@ def auc_by_model_fold(spark, sf_dir):
 AUC_BY_MODEL_FOLD_SQL = f"select model, fold, n_pos, n_neg, {r6('auc')} auc from ({ME.auc_sql(FOLD_SCORES_SQL, by=['model', 'fold'])}) a"
 
 
-def roc_curve_m3(spark, sf_dir):
-    s = scores(spark, sf_dir).where(F.col("model") == 3)
-    return finish(ME.roc_curve(s))
+def roc_curve(spark, sf_dir):
+    """ME-4 on every model's OOF scores."""
+    return finish(ME.roc_curve(scores(spark, sf_dir), by=["model"]))
 
 
-ROC_CURVE_M3_SQL = f"""
-with d as (select p, sum(y) pos, count(*) - sum(y) neg from ({SCORES_SQL}) s where model = 3 group by p),
-c as (select p, sum(pos) over (order by p desc rows between unbounded preceding and current row) tp,
-             sum(neg) over (order by p desc rows between unbounded preceding and current row) fp,
-             sum(pos) over () tot_pos, sum(neg) over () tot_neg from d)
-select {r6('p')} threshold, cast(tp as bigint) tp, cast(fp as bigint) fp, {r6('tp / tot_pos')} tpr,
+_ROC_COUNTS = f"""d as (select model, p, sum(y) pos, count(*) - sum(y) neg from ({SCORES_SQL}) s group by model, p),
+c as (select model, p, sum(pos) over (partition by model order by p desc rows between unbounded preceding and current row) tp,
+             sum(neg) over (partition by model order by p desc rows between unbounded preceding and current row) fp,
+             sum(pos) over (partition by model) tot_pos, sum(neg) over (partition by model) tot_neg from d)"""
+ROC_CURVE_SQL = f"""with {_ROC_COUNTS}
+select model, {r6('p')} threshold, cast(tp as bigint) tp, cast(fp as bigint) fp, {r6('tp / tot_pos')} tpr,
        {r6('fp / tot_neg')} fpr from c"""
 
 
-def thresholds_m3(spark, sf_dir):
-    """ME-5/ME-6/ME-7 on model 3's OOF scores."""
-    s = scores(spark, sf_dir).where(F.col("model") == 3)
-    you = ME.youden_threshold(ME.roc_curve(s))
-    prev = ME.prevalence_threshold(s)
-    out = you.crossJoin(prev)  # one-row tables
-    return finish(out.select("youden_threshold", "youden_j", "prevalence_threshold",
-                             ME.final_threshold(F.col("youden_threshold"), F.col("prevalence_threshold")).alias(
-                                 "final_threshold")))
-
-
-THRESHOLDS_M3_SQL = f"""
-with s as (select * from ({SCORES_SQL}) x where model = 3),
-d as (select p, sum(y) pos, count(*) - sum(y) neg from s group by p),
-c as (select p, sum(pos) over (order by p desc rows between unbounded preceding and current row) / sum(pos) over () tpr,
-             sum(neg) over (order by p desc rows between unbounded preceding and current row) / sum(neg) over () fpr from d),
-you as (select arg_max(p, (tpr - fpr, p)) yt, max(tpr - fpr) yj from c),
-rk as (select p, row_number() over (order by p) - 1 r, (1 - avg(y) over ()) * (count(*) over () - 1) x from s),
-prev as (select min(p) + (max(p) - min(p)) * (any_value(x) - floor(any_value(x))) pt
-         from rk where r = floor(x) or r = ceil(x))
-select {r6('yt')} youden_threshold, {r6('yj')} youden_j, {r6('pt')} prevalence_threshold,
+def _thresholds(spark, sf_dir) -> DataFrame:
+    s = scores(spark, sf_dir)
+    you = ME.youden_threshold(ME.roc_curve(s, by=["model"]), ["model"])
+    out = you.join(ME.prevalence_threshold(s, by=["model"]), "model")  # one row per model
+    return out.select("model", "youden_threshold", "youden_j", "prevalence_threshold",
+                      ME.final_threshold(F.col("youden_threshold"), F.col("prevalence_threshold")).alias("final_threshold"))
+
+
+def thresholds(spark, sf_dir):
+    """ME-5/ME-6/ME-7 on every model's OOF scores."""
+    return finish(_thresholds(spark, sf_dir))
+
+
+THRESHOLDS_SQL = f"""
+with {_ROC_COUNTS},
+you as (select model, arg_max(p, (tp / tot_pos - fp / tot_neg, p)) yt, max(tp / tot_pos - fp / tot_neg) yj from c group by model),
+rk as (select model, p, row_number() over (partition by model order by p) - 1 r,
+              (1 - avg(y) over (partition by model)) * (count(*) over (partition by model) - 1) x from ({SCORES_SQL}) s),
+prev as (select model, min(p) + (max(p) - min(p)) * (any_value(x) - floor(any_value(x))) pt
+         from rk where r = floor(x) or r = ceil(x) group by model)
+select you.model, {r6('yt')} youden_threshold, {r6('yj')} youden_j, {r6('pt')} prevalence_threshold,
        {r6('least(greatest(0.75e0 * (0.45e0 * yt + 0.45e0 * pt + 0.05e0) + 0.125e0, 0.2e0), 0.8e0)')} final_threshold
-from you, prev"""
+from you join prev on prev.model = you.model"""
 
 
 def accuracy_by_model(spark, sf_dir):
@@ -331,28 +334,29 @@ select id, {r6('main')} main, {r6('conservative')} conservative, {r6('pow(main,
 
 
 def output_validation(spark, sf_dir):
-    """IO-11 + P-12: binary labels from the final threshold of model 3 applied to the test ensemble."""
-    s = scores(spark, sf_dir).where(F.col("model") == 3)
-    you = ME.youden_threshold(ME.roc_curve(s))
-    prev = ME.prevalence_threshold(s)
-    t = you.crossJoin(prev).select(ME.final_threshold(F.col("youden_threshold"), F.col("prevalence_threshold")).alias("t"))
-    test = _test_ensemble(spark, sf_dir)
-    labelled = test.crossJoin(F.broadcast(t)).select("id", PP.binarise(F.col("p"), F.col("t")).alias("label"))
+    """IO-11 + P-12: binary labels from each model's final threshold applied to the test ensemble."""
+    t = _thresholds(spark, sf_dir).select("model", F.col("final_threshold").alias("t"))
+    labelled = materialize(_test_ensemble(spark, sf_dir).crossJoin(F.broadcast(t)).select(  # one row per model
+        "id", "model", PP.binarise(F.col("p"), F.col("t")).alias("label")))
     expected = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).join(
         table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_anti")
-    v = PP.validate_output(labelled, expected)
-    return finish(v.crossJoin(labelled.agg(F.sum("label").alias("n_positive"))))
+    out = None
+    for m in MODELS:
+        own = labelled.where(F.col("model") == m)
+        one = PP.validate_output(own, expected).crossJoin(own.agg(F.sum("label").alias("n_positive"))).withColumn("model", F.lit(m))
+        out = one if out is None else out.unionByName(one)
+    return finish(out)
 
 
-OUTPUT_VALIDATION_SQL = f"""with th as ({THRESHOLDS_M3_SQL.replace(chr(10), ' ')}),
+OUTPUT_VALIDATION_SQL = f"""with th as ({THRESHOLDS_SQL.replace(chr(10), ' ')}),
 t as ({_TEST_ENS_SQL}),
-lab as (select t.id, cast(t.p >= th.final_threshold as bigint) label from t, th),
+lab as (select th.model, t.id, cast(t.p >= th.final_threshold as bigint) label from t, th),
 e as (select doc_id id from documents where doc_id not in (select doc_id from labels))
-select (select count(*) from lab) rows,
-       (select cast(sum(case when label not in (0, 1) or label is null then 1 else 0 end) as bigint) from lab) bad_labels,
+select model, count(*) as rows, cast(sum(case when label not in (0, 1) or label is null then 1 else 0 end) as bigint) bad_labels,
        (select count(*) from e) expected_rows,
-       (select count(*) from e where id not in (select id from lab)) missing_ids,
-       (select cast(sum(label) as bigint) from lab) n_positive"""
+       (select count(*) from e where id not in (select id from lab l where l.model = lab.model)) missing_ids,
+       cast(sum(label) as bigint) n_positive
+from lab group by model"""
 
 
 # ---------------------------------------------------------------- profiles

@@ -122,13 +122,13 @@ _DOCS = """d as (select d.doc_id id, coalesce(d.text, '') t, l.doc_id is not nul
               from documents d left join labels l on l.doc_id = d.doc_id)"""
 
 
-def _word_grams_sql(n_lo: int, n_hi: int, stops: bool = True, src: str = "d", cols: str = "id, is_train") -> str:
+def word_grams_sql(n_lo: int, n_hi: int, stops: bool = True, src: str = "d", cols: str = "id, is_train", prefix: str = "") -> str:
     flt = f"list_filter(regexp_extract_all(lower(t), '{TF.TOKEN}'), lambda x: not list_contains({_stop_list()}, x))" \
         if stops else f"regexp_extract_all(lower(t), '{TF.TOKEN}')"
-    return f"""tk as (select {cols}, {flt} toks from {src}),
-g0 as (select {cols}, toks, n, unnest(range(1, len(toks) - n + 2)) i
-       from tk cross join (select range n from range({n_lo}, {n_hi + 1})) nn),
-g as (select {cols}, array_to_string(toks[i:i + n - 1], ' ') term from g0)"""
+    return f"""{prefix}tk as (select {cols}, {flt} toks from {src}),
+{prefix}g0 as (select {cols}, toks, n, unnest(range(1, len(toks) - n + 2)) i
+       from {prefix}tk cross join (select range n from range({n_lo}, {n_hi + 1})) nn),
+{prefix}g as (select {cols}, array_to_string(toks[i:i + n - 1], ' ') term from {prefix}g0)"""
 
 
 def _tfidf_sql(grams: str, min_df: int, max_df: float, max_features: int, sublinear: bool) -> str:
@@ -145,14 +145,19 @@ w as (select dt.id, dt.term, {tf} * (ln((1 + nfit.n) / (1 + voc.df)) + 1) x from
 select id, term, {r6('x / sqrt(sum(x * x) over (partition by id))')} tfidf from w"""
 
 
-TFIDF_WORD_SQL = _tfidf_sql(_word_grams_sql(*WORD["n"]), WORD["min_df"], WORD["max_df"], WORD["max_features"],
+TFIDF_WORD_SQL = _tfidf_sql(word_grams_sql(*WORD["n"]), WORD["min_df"], WORD["max_df"], WORD["max_features"],
                             WORD["sublinear"])
 
-_CHAR_GRAMS = f"""cw as (select id, is_train, ' ' || w || ' ' p
-       from (select id, is_train, unnest(list_filter(string_split_regex(lower(t), '{WS_RUN}'), lambda q: q <> '')) w from d) x),
-g0 as (select id, is_train, p, n, unnest(range(1, length(p) - n + 2)) i
-       from cw cross join (select range n from range({CHAR['n'][0]}, {CHAR['n'][1] + 1})) nn),
-g as (select id, is_train, substr(p, i, n) term from g0)"""
+
+def char_grams_sql(n_lo: int, n_hi: int, src: str = "d", cols: str = "id, is_train", prefix: str = "") -> str:
+    return f"""{prefix}cw as (select {cols}, ' ' || w || ' ' p
+       from (select {cols}, unnest(list_filter(string_split_regex(lower(t), '{WS_RUN}'), lambda q: q <> '')) w from {src}) x),
+{prefix}g0 as (select {cols}, p, n, unnest(range(1, length(p) - n + 2)) i
+       from {prefix}cw cross join (select range n from range({n_lo}, {n_hi + 1})) nn),
+{prefix}g as (select {cols}, substr(p, i, n) term from {prefix}g0)"""
+
+
+_CHAR_GRAMS = char_grams_sql(*CHAR["n"])
 TFIDF_CHAR_SQL = _tfidf_sql(_CHAR_GRAMS, CHAR["min_df"], CHAR["max_df"], CHAR["max_features"], CHAR["sublinear"])
 
 _VOC9 = "[" + ", ".join(f"'{w}'" for w in AI_PATTERN_WORDS + COMMON_WORDS) + "]"
@@ -170,7 +175,7 @@ select id, term, {r6('x / sqrt(sum(x * x) over (partition by id))')} tfidf from
 TOPIC_COHERENCE_SQL = f"""
 with src as (select doc_id id, coalesce(text, '') a, coalesce(source, '') tp from documents),
 docs2 as (select id, 'a' side, a t from src union all select id, 't' side, tp t from src),
-{_word_grams_sql(*SHARED['n'], src='docs2', cols='id, side')},
+{word_grams_sql(*SHARED['n'], src='docs2', cols='id, side')},
 dt as (select id, side, term, count(*) tf from g group by all),
 nfit as (select count(*) n from docs2),
 st as (select term, count(*) df, sum(tf) ctf from dt group by term),
@@ -188,7 +193,7 @@ _FOLDS = kfold_sql("select d.doc_id id, l.quality from documents d join labels l
 TFIDF_FOLD_SQL = f"""
 with f as ({_FOLDS}),
 d as (select doc_id id, fold, coalesce(text, '') t from documents left join f on f.id = doc_id),
-{_word_grams_sql(*FOLD_WORD['n'], cols='id, fold')},
+{word_grams_sql(*FOLD_WORD['n'], cols='id, fold')},
 dt as (select id, fold, term, count(*) tf from g group by all),
 ks as (select distinct fold k from f),
 nfit as (select ks.k, count(*) n from ks join d on d.fold <> ks.k group by ks.k),
