@@ -175,14 +175,14 @@ def _value_at(positions: DataFrame, wanted: DataFrame, by: Sequence[str]) -> Dat
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (),
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, weight: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles (numpy default / ``quantile_cont``) without gathering a group's
     values in one task: distinct values with their position ranges, then the values at ``floor`` and
-    ``ceil`` of ``q * (n - 1)``, interpolated. Returns ``(*by, <name>...)``."""
+    ``ceil`` of ``q * (n - 1)``, interpolated. Returns ``(*by, <name>...)``. A row stands for ``weight`` rows."""
     by = list(by)
     names = list(names or [f"q{i}" for i in range(len(qs))])
-    pos = value_positions(df, value, by)
-    n = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    pos = value_positions(df, value, by, weight=weight)
+    n = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("_n"))
     want = n.select(*by, F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q"))
                                              for i, q in enumerate(qs)])).alias("_e"), "_n") \
         .select(*by, "_e.qi", (F.col("_e.q") * (F.col("_n") - 1)).alias("_x"))

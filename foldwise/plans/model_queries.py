@@ -183,9 +183,8 @@ select feature, {r6('mi')} mi, rank, rank <= {max(4, int(0.7 * len(META)))} keep
 # ---------------------------------------------------------------- lexicon and inputs (SQL)
 
 LEXICON_MIN_DOCS = 5
-# Words and polarities that a caller might hand over.
-CALLER_LEXICON = [("with", 0.3713921), ("this", -0.2317409), ("the", 0.1138367), ("for", 0.8310273), ("und", -0.7129841), ("les", 0.5903117),
-                  ("que", -0.4371093), ("de", 0.1709761)]
+# Words and polarities that a caller might hand over.
+CALLER_LEXICON = [(w, math.sin(k + 1)) for k, w in enumerate(["with", "this", "the", "for", "und", "les", "que", "de"])]
 
 
 def text_lexicon(spark, sf_dir):
@@ -433,7 +432,7 @@ def svd_tfidf(spark, sf_dir):
     document, zero in a space where it has no vocabulary term."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct().withColumn("_fit", F.lit(True))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
-    docs = TF.spread(docs).join(labels, "id", "left")
+    docs = docs.join(labels, "id", "left")
     text = F.coalesce(F.col("answer"), F.lit(""))
     spaces = (("wsvd", SVD_WORD, TR.Analyzer("words", *SVD_WORD["n"], TF.english_stop_words())),
               ("csvd", SVD_CHAR, TR.Analyzer("chars", *SVD_CHAR["n"])))

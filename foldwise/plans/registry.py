@@ -33,6 +33,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "tab_orig_encodings": (tb.tab_orig_encodings, tb.TAB_ORIG_ENCODINGS_SQL),
     "tab_ratio_band": (tb.tab_ratio_band, tb.TAB_RATIO_BAND_SQL),
     "te_fit_transform": (tb.te_fit_transform, tb.TE_FIT_TRANSFORM_SQL),
+    "te_oof_aggs": (tb.te_oof_aggs, tb.TE_OOF_AGGS_SQL),
     "te_two_stage": (tb.te_two_stage, tb.TE_TWO_STAGE_SQL),
     "te_nested": (tb.te_nested, tb.TE_NESTED_SQL),
     "factorize_codes": (tb.factorize_codes, tb.FACTORIZE_CODES_SQL),

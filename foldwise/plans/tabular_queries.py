@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import encode as E
 from ..operators import tabular as TB
+from ..operators.fold_aggs import AGGS, target_encode_aggs
 from ..operators.folds import kfold, kfold_sql, stratified_kfold
 from ..operators.nested_encode import target_encode_roles
 from ..session import materialize
@@ -74,6 +75,14 @@ def te_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finish(target_encode_roles(_features(rows), ENCODED, TARGET, "fold"))
 
 
+def te_oof_aggs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TE-3 with the other aggregates, of the credit score by the categorical columns."""
+    app = _app(spark, sf_dir)
+    rows = materialize(kfold(app.where(F.col("split") == "train"), K_INNER, SEED).select("id", "credit_score", *CATS, "fold"))
+    out = target_encode_aggs(rows, CATS, "credit_score", "fold", K_INNER)
+    return finish(out.select("id", *[f"TE_{c}_{a}" for c in CATS for a in AGGS]))
+
+
 def te_fit_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TE-1/TE-2: fit on the train split (mean and count), look up for the test split."""
     app = _app(spark, sf_dir)
@@ -183,6 +192,20 @@ enc_test as (select ut.id, ut.col, coalesce(mp.mu, (select avg(y) from x)) te
 every as (select id, 'train' role, col, te from enc union all select id, 'test' role, col, te from enc_test)
 select id, role, {_wide(ENCODED)} from every group by id, role"""
 
+_AGG_SQL = {"count": "count(y)::double", "sum": "sum(y)::double", "mean": "avg(y)", "std": "stddev_samp(y)", "min": "min(y)::double",
+            "max": "max(y)::double", "median": "median(y)"}
+_AGG_LIST = ", ".join(f"{e} {a}" for a, e in _AGG_SQL.items())
+TE_OOF_AGGS_SQL = f"""with {APP},
+f as ({kfold_sql("select id, credit_score, " + ", ".join(CATS) + " from app where split = 'train'", K_INNER, SEED)}),
+x as (select id, fold, credit_score y, {', '.join(f'cast({c} as varchar) {c}' for c in CATS)} from f),
+u as (from x unpivot include nulls (key for col in ({', '.join(CATS)}))),
+ks as (select distinct fold k from x),
+tp as (select ks.k, col, key, {_AGG_LIST} from ks join u on u.fold <> ks.k where key is not null group by ks.k, col, key),
+g as (select ks.k, {_AGG_LIST} from ks join x on x.fold <> ks.k group by ks.k),
+e as (select u.id, u.col, {', '.join(f'coalesce(tp.{a}, g.{a}) v_{a}' for a in _AGG_SQL)}
+      from u join g on g.k = u.fold left join tp on tp.k = u.fold and tp.col = u.col and tp.key = u.key)
+select id, {', '.join(f"max(round(v_{a}, 6)) filter (where col = '{c}') TE_{c}_{a}" for c in CATS for a in _AGG_SQL)} from e group by id"""
+
 _FT = []
 for _c in CATS:
     _FT.append(f"{r6(f'coalesce((select avg({TARGET}) from tr where tr.{_c} = te.{_c}), (select avg({TARGET}) from tr))')} TE_{_c}_mean")
