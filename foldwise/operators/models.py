@@ -128,13 +128,13 @@ def cv_oof(train: DataFrame, test: DataFrame | None, feature_cols: Sequence[str]
 
 
 def cv_oof_rows(fit_rows: Callable[[int], DataFrame], score_rows: Callable[[int], DataFrame], folds: Sequence[int],
-                make_estimator: Callable[[int], object], id_col: str = "id") -> DataFrame:
+                make_estimator: Callable[[int], object], id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
     """ML-5 over rows that differ by fold (features fitted on the fold's train part): ``(id, fold, role, p)`` as ``cv_oof``.
 
     ``fit_rows(k)`` has ``label`` and ``features``; ``score_rows(k)`` has the id, ``role`` ('oof' or 'test') and ``features``.
     """
     parts = [make_estimator(k).fit(fit_rows(k)).transform(score_rows(k)).select(
-        id_col, F.lit(k).alias("fold"), "role", p1().alias("p")) for k in folds]
+        id_col, F.lit(k).alias("fold"), "role", p1().alias("p"), *keep) for k in folds]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -161,10 +161,13 @@ def stacker(oof_wide: DataFrame, cols: Sequence[str], label: str = "y", C: float
     return scored.drop(FEATURES, "rawPrediction", "probability", "prediction"), a
 
 
-def calibrated_stacker(oof_wide: DataFrame, cols: Sequence[str], fold_col: str, label: str = "y") -> DataFrame:
+def calibrated_stacker(oof_wide: DataFrame, cols: Sequence[str], fold_col: str, label: str = "y",
+                       apply_to: DataFrame | None = None) -> DataFrame:
     """BL-9: per fold a logistic stacker, then a one-variable logistic (Platt) on its logit fitted on the
-    held-out fold; the calibrated score is the mean of the k calibrated models. Output ``(id, p_cal)``."""
+    held-out fold; the calibrated score is the mean of the k calibrated models. Output ``(id, p_cal)`` for the rows of
+    ``apply_to`` (default: the fitted ones)."""
     d = materialize(assemble(oof_wide.withColumn("label", F.col(label).cast("double")), cols))
+    target = d if apply_to is None else materialize(assemble(apply_to, cols))
     folds = sorted(r[0] for r in d.select(fold_col).distinct().collect())
     outs = []
     for k in folds:
@@ -175,7 +178,7 @@ def calibrated_stacker(oof_wide: DataFrame, cols: Sequence[str], fold_col: str,
         va_s = base.transform(va).select("id", "label", logit_col.alias("z"))
         platt = LogisticRegression(featuresCol="zf", labelCol="label", regParam=0.0).fit(
             VectorAssembler(inputCols=["z"], outputCol="zf").transform(va_s))
-        all_s = base.transform(d).select("id", logit_col.alias("z"))
+        all_s = base.transform(target).select("id", logit_col.alias("z"))
         cal = platt.transform(VectorAssembler(inputCols=["z"], outputCol="zf").transform(all_s))
         outs.append(cal.select("id", p1().alias("p_cal")))
     u = outs[0]
@@ -184,6 +187,21 @@ def calibrated_stacker(oof_wide: DataFrame, cols: Sequence[str], fold_col: str,
     return u.groupBy("id").agg(F.avg("p_cal").alias("p_cal"))
 
 
+def run_trials(spark, trials: Sequence, evaluate: Callable, parallel: int) -> list:
+    """HP-2: ``evaluate`` of every trial, in order, at most ``parallel`` at a time, each under a job group of its own."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    def one(job):
+        k, trial = job
+        spark.sparkContext.setJobGroup(f"trial-{k}", f"trial {k}", interruptOnCancel=True)
+        return evaluate(trial)
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(inheritable_thread_target(one), enumerate(trials)))
+
+
 def permutation_importance(model, df: DataFrame, cols: Sequence[str], label: str, id_col: str = "id",
                            seed: int = 0) -> DataFrame:
     """ME-9: AUC drop when one column is permuted (others fixed), all columns in one pass.

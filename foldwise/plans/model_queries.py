@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ from ..operators.joins import lookup_join
 from ..operators.folds import group_kfold, kfold, kfold_sql, repeated_stratified_kfold, stratified_kfold
 from ..operators.metrics import auc, auc_sql
 from ..session import materialize
-from ..sources.tables import table
-from ..sources.views import ANSWERS_SQL, APPLICATIONS_SQL, CATS, NUMERIC, TARGET, answers, applications, scores
+from ..sources.tables import strict_lookup, table
+from ..sources.views import ANSWERS_SQL, APPLICATIONS_SQL, CATS, NUMERIC, TARGET, answers, applications, scores, test_scores
 from .common import finish, pvar, r6
 from .text_queries import TOK
 
@@ -150,6 +151,24 @@ EMBEDDING_LOOKUP_SQL = f"""select d.doc_id id, d.n_chars, e.vec_id is not null h
 from documents d left join embeddings e on e.vec_id = d.doc_id"""
 
 
+EMB_DIMS = 64  # of the table's vectors
+
+
+def embedding_features(spark, sf_dir):
+    """VE-2 / IO-8 / J-4: length features of the documents that have a vector, and the vector's components beside them, by the
+    strict lookup (it raises if one of these ids has none)."""
+    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
+    feats = TS.style_features(docs.join(vec.select("id"), "id", "left_semi"), "answer", ["id"], ["lengths"]).select("id", "text_length", "word_count")
+    out = strict_lookup(feats, vec)
+    return finish(out.select("id", "text_length", "word_count", *[F.col("ext_emb")[k].cast("double").alias(f"ext_{k}") for k in range(EMB_DIMS)]))
+
+
+EMBEDDING_FEATURES_SQL = f"""{TOK}
+select k.id, k.ln text_length, k.wc word_count, {', '.join(f'round(cast(e.embedding[{j + 1}] as double), 6) ext_{j}' for j in range(EMB_DIMS))}
+from k join embeddings e on e.vec_id = k.id"""
+
+
 # ---------------------------------------------------------------- selection (SQL)
 
 def mi_screen(spark, sf_dir):
@@ -325,18 +344,29 @@ def cv_gbt_tabular(spark, sf_dir):
     return finish(out)
 
 
+STACKED = ["p_1", "p_2", "p_3"]
+
+
 def stack_scores(spark, sf_dir):
-    """BL-7 / BL-8 / BL-9: logistic stacker on the three score columns vs the best linear blend;
-    sigmoid-calibrated per-fold stacker beside it."""
+    """BL-7 / BL-8 / BL-9 for labelled and test documents: the logistic stacker, the best linear blend, the one of them that is
+    used (the stacker if its AUC beats the blend's), and the calibrated per-fold stacker. ``auc_cross`` is the stacker's AUC when
+    each fold is scored by the others."""
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
     folds = stratified_kfold(lab, K, "y", seed=SEED).select("id", "fold")
-    wide = BL.wide_scores(scores(spark, sf_dir), [1, 2, 3]).join(folds, "id")
-    scored, stack_auc = MO.stacker(wide, ["p_1", "p_2", "p_3"])
+    wide = materialize(BL.wide_scores(scores(spark, sf_dir), [1, 2, 3]).join(folds, "id"))
+    test = materialize(BL.wide_scores(test_scores(spark, sf_dir), [1, 2, 3], keep=()))
+    every = wide.select("id", F.lit("oof").alias("role"), *STACKED).unionByName(test.select("id", F.lit("test").alias("role"), *STACKED))
+    scored, auc_stack = MO.stacker(wide, STACKED, apply_to=every)
+    crossed = MO.cv_oof(wide, None, STACKED, "y", "fold", lambda d: MO.logistic(1.0, d.count()))
+    auc_cross = auc(crossed.join(wide.select("id", "y"), "id"), "p", "y").first()["auc"]
     best = BL.best_weight(BL.weight_search(wide, "p_3", "p_2")).first()
-    use = stack_auc > best["best_auc"]
-    cal = MO.calibrated_stacker(wide, ["p_1", "p_2", "p_3"], "fold")
-    out = scored.select("id", "p_stack").join(cal, "id").withColumn("use_stacker", F.lit(bool(use)))
-    return finish(out)
+    blend = F.lit(best["best_w"]) * F.col("p_3") + F.lit(1.0 - best["best_w"]) * F.col("p_2")
+    use = bool(auc_stack > best["best_auc"])
+    cal = MO.calibrated_stacker(wide, STACKED, "fold", apply_to=every)
+    out = scored.select("id", "role", "p_stack", blend.alias("p_blend")).join(cal, "id")
+    return finish(out.select("id", "role", "p_stack", "p_blend", F.col("p_stack" if use else "p_blend").alias("p_final"), "p_cal",
+                             F.lit(use).alias("use_stacker"), F.lit(float(auc_stack)).alias("auc_stack"),
+                             F.lit(float(best["best_auc"])).alias("auc_blend"), F.lit(float(auc_cross)).alias("auc_cross")))
 
 
 def permutation_importance_gbt(spark, sf_dir):
@@ -368,30 +398,29 @@ def pseudo_refit(spark, sf_dir):
 
 
 SPACE = {"reg": ("loguniform", 1e-4, 1.0), "enet": ("uniform", 0.0, 1.0), "iters": ("quniform", 20, 100, 10)}
+TRIALS = 40  # the reference's number
+PARALLEL_TRIALS = 8
 
 
 def hp_search(spark, sf_dir):
-    """HP-1 / HP-2 / HP-3: seeded random search over a logistic model's parameters, each trial scored
-    by fold AUCs (mean - 0.5 * std); returns every trial and flags the best."""
+    """HP-1 / HP-2 / A-10: seeded random trials of a logistic model on meta features, scored by the penalised objective
+    by fold AUCs (mean - 0.5 * std); returns every trial and flags the best. A few trials run at a time on one written frame."""
     tr, _ = _text_model_frame(spark, sf_dir)
-    tr = materialize(MO.standardize_apply(tr, MO.standardize_fit(tr, META), META))
-    trials = MO.draw_trials(spark, 4, SPACE, seed=SEED).collect()  # n_trials rows
-    from pyspark.ml.classification import LogisticRegression
-    res = []
-    for t in trials:
-        def make(d, t=t):
-            return LogisticRegression(featuresCol="features", labelCol="label", regParam=float(t["reg"]),
+    tr = materialize(MO.assemble(MO.standardize_apply(tr, MO.standardize_fit(tr, META), META), META).select("id", "y", "fold", MO.FEATURES))
+    trials = MO.draw_trials(spark, TRIALS, SPACE, seed=SEED).collect()  # n_trials rows
+
+    def evaluate(t):
+        def make(_):
+            return LogisticRegression(featuresCol=MO.FEATURES, labelCol="label", regParam=float(t["reg"]),
                                       elasticNetParam=float(t["enet"]), maxIter=int(t["iters"]))
-        oof = MO.cv_oof(tr, None, META, "y", "fold", make)
-        fa = auc(oof.join(tr.select("id", "y"), "id"), "p", "y", by=["fold"]).select(
-            F.lit(t["trial"]).alias("trial"), "fold", "auc")
-        res.append(fa)
-    allf = res[0]
-    for r in res[1:]:
-        allf = allf.unionByName(r)
-    obj = PR.penalised_objective(allf)
+        oof = MO.cv_oof_rows(lambda k: tr.where(F.col("fold") != k).withColumn("label", F.col("y").cast("double")),
+                             lambda k: tr.where(F.col("fold") == k).withColumn("role", F.lit("oof")), range(K), make, keep=["y"])
+        return [(t["trial"], r["fold"], float(r["auc"])) for r in auc(oof, "p", "y", by=["fold"]).collect()]  # folds rows
+
+    rows = [r for one in MO.run_trials(spark, trials, evaluate, PARALLEL_TRIALS) for r in one]
+    obj = PR.penalised_objective(spark.createDataFrame(rows, "trial long, fold int, auc double"))
     best = obj.agg(F.max_by("trial", "score").alias("best_trial"))
-    return finish(obj.crossJoin(best))
+    return finish(obj.crossJoin(best))  # one row
 
 
 def _draw_sql(name: str, spec: tuple) -> str:

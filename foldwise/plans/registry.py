@@ -74,6 +74,7 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {
     "standardize_meta": (mq.standardize_meta, mq.STANDARDIZE_META_SQL),
     "embedding_means": (mq.embedding_means, mq.EMBEDDING_MEANS_SQL),
     "embedding_lookup": (mq.embedding_lookup, mq.EMBEDDING_LOOKUP_SQL),
+    "embedding_features": (mq.embedding_features, mq.EMBEDDING_FEATURES_SQL),
     "mi_screen": (mq.mi_screen, mq.MI_SCREEN_SQL),
     "text_lexicon": (mq.text_lexicon, mq.TEXT_LEXICON_SQL),
     "text_lexicon_table": (mq.text_lexicon_table, mq.TEXT_LEXICON_TABLE_SQL),
