@@ -19,11 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import materialize
 from .tfidf import word_ngrams, word_tokens
 
 SLICE_BYTES = 1 << 20  # of terms or text that a task turns into arrays at a time
-_MERGE_BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -240,7 +238,7 @@ def fit(docs: DataFrame, text: Column, analyzer: Analyzer, n_folds: int = 0, fol
     # a part never has more documents with a term than all of them, so rare terms go before they are spread over the folds
     st = by_term.where(F.col("df") >= max(min_df, 1)).select("term", F.explode(parts).alias("p")).select("term", "p.*") \
         .where((F.col("df") >= max(min_df, 1)) & (F.col("df") <= F.lit(float(max_df)) * F.col("n")))
-    top = top_by_group(materialize(st), "k", F.col("ctf"), "term", max_features)
+    top = top_by_group(st, "k", "ctf", "term", max_features)
     idf = F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     chosen = top.select("term", "k", idf.alias("idf")).collect()  # at most max_features rows per fold
     terms = sorted({r["term"] for r in chosen})
@@ -251,19 +249,27 @@ def fit(docs: DataFrame, text: Column, analyzer: Analyzer, n_folds: int = 0, fol
     return Vocabulary(analyzer, terms, table)
 
 
-def top_by_group(rows: DataFrame, group: str, size: Column, tie: str, n: int) -> DataFrame:
-    """The ``n`` rows of each group with the largest ``size`` (at least 1), ties by ascending ``tie``, without sorting a group in
-    one task: a histogram of sizes drops all that cannot be among them, buckets keep their own first ``n``, and only these meet.
-    ``rows`` is read twice."""
-    t = rows.withColumn("_size", size).withColumn("_step", F.floor(F.log2("_size") * 8))
-    steps = t.groupBy(group, "_step").agg(F.count(F.lit(1)).alias("c"))  # some hundred rows per group
-    above = F.coalesce(F.sum("c").over(Window.partitionBy(group).orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.join(F.broadcast(steps.withColumn("_above", above).where(F.col("_above") < n).select(group, "_step")), [group, "_step"])
-    order = [F.desc("_size"), F.col(tie)]
-    bucket = F.pmod(F.xxhash64(tie), F.lit(_MERGE_BUCKETS))
-    for within in ([group, bucket], [group]):
-        t = t.withColumn("_r", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("_r") <= n)
-    return t.drop("_r", "_size", "_step")
+def top_by_group(rows: DataFrame, group: str, size: str, tie: str, n: int) -> DataFrame:
+    """The ``n`` rows of each group with the largest ``size``, ties by ascending ``tie``: tasks keep their own first ``n`` of every
+    group as rows pass, so no group is sorted or written, and only these meet."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def best(it):
+        held: dict = {}
+        order = [(size, "descending"), (tie, "ascending")]
+        for b in it:
+            t = pa.Table.from_batches([b])
+            for g in t.column(group).unique().to_pylist():
+                held.setdefault(g, []).append(t.filter(pc.equal(t.column(group), g)))
+                if sum(x.num_rows for x in held[g]) > 4 * n + 10_000:
+                    held[g] = [pa.concat_tables(held[g]).sort_by(order).slice(0, n)]
+        for parts in held.values():
+            yield from pa.concat_tables(parts).sort_by(order).slice(0, n).to_batches()
+
+    t = rows.mapInArrow(best, rows.schema)
+    r = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(size), tie))  # at most n rows per task
+    return t.withColumn("_r", r).where(F.col("_r") <= n).drop("_r")
 
 
 # ---------------------------------------------------------------- weigh

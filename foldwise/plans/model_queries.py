@@ -461,7 +461,7 @@ def svd_tfidf(spark, sf_dir):
     document, zero in a space where it has no vocabulary term."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct().withColumn("_fit", F.lit(True))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"))
-    docs = docs.join(labels, "id", "left")
+    docs = lookup_join(docs, labels, "id", "left")  # the texts stay where they are while the labels fit the bound
     text = F.coalesce(F.col("answer"), F.lit(""))
     spaces = (("wsvd", SVD_WORD, TR.Analyzer("words", *SVD_WORD["n"], TF.english_stop_words())),
               ("csvd", SVD_CHAR, TR.Analyzer("chars", *SVD_CHAR["n"])))

@@ -130,6 +130,6 @@ def test_top_by_group(spark):
     rng = random.Random(1)
     rows = [(g, rng.choice([1, 2, 3, 50]), f"t{i}") for g in range(3) for i in range(400)]
     df = spark.createDataFrame(rows, "g int, c long, term string")
-    got = sorted(map(tuple, TR.top_by_group(df, "g", F.col("c"), "term", 120).collect()))
+    got = sorted(map(tuple, TR.top_by_group(df, "g", "c", "term", 120).collect()))
     want = sorted(x for g in range(3) for x in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:120])
     assert got == want
