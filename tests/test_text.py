@@ -28,7 +28,7 @@ def test_sentences(feats):
     assert feats[4]["sentence_length_variance"] == pytest.approx(0.25)
     assert feats[4]["max_sentence_length"] == 2 and feats[4]["min_sentence_length"] == 1
     assert feats[2]["max_sentence_length"] == 0 and feats[2]["min_sentence_length"] == 999
-    assert feats[2]["sentence_length_variance"] == 0.0  # delimiter-only text: sensei rule
+    assert feats[2]["sentence_length_variance"] == 0.0  # delimiter-only text
 
 
 def test_vocabulary(feats):
