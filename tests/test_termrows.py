@@ -133,3 +133,30 @@ def test_top_by_group(spark):
     got = sorted(map(tuple, TR.top_by_group(df, "g", "c", "term", 120).collect()))
     want = sorted(x for g in range(3) for x in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))[:120])
     assert got == want
+
+
+def test_wide_rows_of_all_folds_come_from_one_pass_over_the_texts(spark):
+    df = spark.createDataFrame(_rows(), SCHEMA)
+    vs = [TR.fit(df.where("fold is not null"), text(), a, 3, "fold", 1, 1.0, 40) for a in ANALYZERS.values()]
+    blocks = TR.count_blocks(df, text(), vs, ["d1", "d2"], "slot", ["id", "t", "fold"])
+    for k in range(3):
+        every = {(r["id"], r["t"]): r["features"] for r in TR.sparse_features(df, text(), vs, ["d1", "d2"], "slot", 2, ["id", "t"], k).collect()}
+        for owns in ([j for j in range(3) if j != k], [k, None]):
+            got = TR.block_features(blocks, vs, 2, 2, ["id", "t"], k, ("fold", owns)).collect()
+            want = [r for r in _rows() if r[2] in owns]
+            assert sorted((r["id"], r["t"] or "") for r in got) == sorted((r[0], r[1] or "") for r in want)
+            assert all(r["features"] == every[(r["id"], r["t"])] for r in got)
+
+
+def test_cross_validated_wide_scores_do_not_cut_texts_again(spark, sf_small, monkeypatch):
+    from foldwise.operators import models as MO
+    from foldwise.plans import wide_queries as W
+    plans = []
+
+    def plan_only(fit_rows, score_rows, folds, make_estimator):
+        plans.extend(f(k)._jdf.queryExecution().optimizedPlan().toString() for k in folds for f in (fit_rows, score_rows))
+        return spark.range(1)
+
+    monkeypatch.setattr(MO, "cv_oof_rows", plan_only)
+    W._scores(spark, sf_small)
+    assert len(plans) == 10 and not any("answer" in p or "_terms" in p for p in plans)
