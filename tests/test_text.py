@@ -1,10 +1,15 @@
 """Hand-worked goldens for the text families (edge strings) and plan checks."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldwise.functions import text as T
 from foldwise.operators import textstyle as TS
 from foldwise.operators.digitlaw import benford_features
+from foldwise.plans.model_queries import meta_features
 
 EDGES = [(1, ""), (2, "..."), (3, "one"), (4, "One. Two two!"), (5, "a  b"), (6, None)]
 
@@ -108,3 +113,41 @@ def test_phrase_and_paragraph_goldens(spark):
     for c in ("ai_connector_density", "formal_word_ratio", "passive_voice_ratio"):
         assert a[c] > 0 and b[c] == 0, c
     assert (a["paragraph_count"], b["paragraph_count"]) == (3, 1)
+
+
+def test_char_entropy_of_odd_texts_without_sorted_characters(spark, monkeypatch):
+    from collections import Counter
+
+    texts = ["", None, "a", "ab" * (T.SLICE_CHARS * 3 // 4), "abab", "\U0001f600é\U0001f600 \x00", "zz" * 40, "ÄäßΩ字字"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, answer string").coalesce(1)
+    in_row = {r["id"]: r["char_entropy"] for r in TS.style_features(df, families=["entropy"]).collect()}
+    out = meta_features(df).select("id", "char_entropy")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "sort_array" not in plan and "ArrowEvalPython" in plan
+
+    def plain(t):
+        c = Counter(t or "")
+        return -sum(k / len(t) * math.log2(k / len(t) + 1e-12) for k in c.values())
+
+    got = {r["id"]: r["char_entropy"] for r in out.collect()}
+    assert got == pytest.approx({i: plain(t) for i, t in enumerate(texts)}, abs=1e-9)
+    assert got == pytest.approx(in_row, abs=1e-9)
+    wide = "".join(chr(0x4E00 + i) for i in range(500))
+    monkeypatch.setattr(T, "TABLE_CELLS", 10)
+    assert list(T._entropies(wide + "aab", np.array([500, 3]))) == pytest.approx([plain(wide), plain("aab")], abs=1e-9)
+
+
+def test_screening_makes_the_features_once(spark):
+    from foldwise.operators.select import mi_screen
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for b in it:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i % 2, float(i), float(i % 3)) for i in range(60)], "y int, a double, b double")
+    out = {r["feature"]: r for r in mi_screen(rows.mapInArrow(count, rows.schema), ["a", "b"], "y", bins=4, min_keep=1).collect()}
+    assert seen.value == 60
+    assert set(out) == {"a", "b"} and out["b"]["mi"] == pytest.approx(0.0, abs=1e-6)
