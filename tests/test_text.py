@@ -151,3 +151,22 @@ def test_screening_makes_the_features_once(spark):
     out = {r["feature"]: r for r in mi_screen(rows.mapInArrow(count, rows.schema), ["a", "b"], "y", bins=4, min_keep=1).collect()}
     assert seen.value == 60
     assert set(out) == {"a", "b"} and out["b"]["mi"] == pytest.approx(0.0, abs=1e-6)
+
+
+def test_model_frame_makes_the_features_once(spark, sf_small, monkeypatch):
+    from foldwise.plans import model_queries as MQ
+
+    seen, plain = spark.sparkContext.accumulator(0), MQ.meta_features
+
+    def counted(df):
+        def count(it):
+            for b in it:
+                seen.add(b.num_rows)
+                yield b
+        f = plain(df)
+        return f.mapInArrow(count, f.schema)
+
+    monkeypatch.setattr(MQ, "meta_features", counted)
+    tr, te = MQ._text_model_frame(spark, sf_small)
+    n = spark.read.parquet(f"{sf_small}/documents.parquet").count()
+    assert tr.count() + te.count() == n and seen.value == n
