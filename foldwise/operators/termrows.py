@@ -5,8 +5,9 @@ the train part of fold ``k`` is the total less its own part, and a term becomes
 bounded by ``max_features`` per fold; it travels to the tasks, and a document's weights for every fold it takes part in come
 out of its own row.
 
-Analyzers give a batch's term codes as arrays: word n-grams arrive as an array column, character n-grams are cut here from
-the padded words, as shifted views of all code points of a slice (a code is the n characters' places in the slice's alphabet).
+Analyzers give a batch's term codes as arrays: words arrive as an array column, characters as the padded words side by side,
+and n-grams are cut here, as shifted views of all words or code points of a slice (a code is the places of the n symbols among
+the slice's symbols).
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .tfidf import word_ngrams, word_tokens
+from ..session import DEFAULT_BROADCAST_ROWS, materialize
+from .tfidf import word_tokens
 
 SLICE_BYTES = 1 << 20  # of terms or text that a task turns into arrays at a time
 
@@ -34,28 +36,67 @@ class Analyzer:
     stop_words: tuple[str, ...] = ()
 
     def prepared(self, df: DataFrame, text: Column, out: str) -> DataFrame:
-        """Adds the column that tasks read: all word n-grams, or the padded words side by side."""
+        """Adds the column that tasks read: the words, or the padded words side by side."""
         if self.kind == "words":
-            tok = f"{out}_tok"  # a projection of its own: tokenised once per row
-            return df.withColumn(tok, word_tokens(text, self.stop_words)).withColumn(out, word_ngrams(tok, self.n_min, self.n_max)).drop(tok)
+            return df.withColumn(out, word_tokens(text, self.stop_words))
         return df.withColumn(out, F.concat(F.lit(" "), F.array_join(T.words(F.lower(text)), "  "), F.lit(" ")))
 
     def codes(self, column) -> "_Codes":
         """The term occurrences of an Arrow column slice."""
-        return _word_codes(column) if self.kind == "words" else _char_codes(column, self.n_min, self.n_max)
+        return (_word_codes if self.kind == "words" else _char_codes)(column, self.n_min, self.n_max)
 
 
 @dataclass
 class _Codes:
-    """Occurrences ``(doc, code)``; ``terms`` names codes, ``find`` gives the code of each wanted term (-1: not there)."""
+    """Occurrences ``(doc, code)``, codes below ``bound``; ``terms`` names ascending codes, ``find`` gives the code of each wanted
+    term (-1: not there)."""
 
     doc: np.ndarray
     code: np.ndarray
+    bound: int
     terms: object
     find: object
 
 
-def _word_codes(column) -> _Codes:
+def _grams(doc: np.ndarray, group: np.ndarray, symbol: np.ndarray, base: int, n_min: int, n_max: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(doc, code)`` of the n-grams of consecutive symbols (from 1, below ``base``) inside a group: a code has them as digits."""
+    docs, codes, code = [], [], symbol
+    for n in range(1, n_max + 1):
+        if n > 1:
+            code = code[:-1] * base + symbol[n - 1:]
+        if n >= n_min and len(code):
+            inside = group[:len(code)] == group[n - 1:]
+            docs.append(doc[:len(code)][inside])
+            codes.append(code[inside])
+    none = np.zeros(0, np.int64)
+    return np.concatenate(docs) if docs else none, np.concatenate(codes) if codes else none
+
+
+def _symbols(codes: np.ndarray, base: int, n_max: int) -> Iterator[np.ndarray]:
+    """The symbols (from 0) of ascending codes, a matrix for each length; longer terms have larger codes."""
+    ends = np.searchsorted(codes, np.array([base ** n for n in range(n_max + 1)], object).astype(np.int64))
+    for n in range(1, n_max + 1):
+        of_n = codes[ends[n - 1]:ends[n]]
+        yield np.stack([of_n // base ** (n - 1 - k) % base - 1 for k in range(n)], axis=1)
+
+
+def _string_codes(terms: list[str]) -> _Codes:
+    """The terms of a single document."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    coded = pa.array(terms, pa.string()).dictionary_encode()
+    words = coded.dictionary
+
+    def find(wanted) -> np.ndarray:
+        return pc.fill_null(pc.index_in(wanted, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    return _Codes(np.zeros(len(terms), np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(words), 1),
+                  lambda codes: words.take(pa.array(codes)), find)
+
+
+def _word_codes(column, n_min: int, n_max: int) -> _Codes:
+    """Codes of all n-grams of the words of some texts, words numbered within the slice."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -64,60 +105,63 @@ def _word_codes(column) -> _Codes:
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
     words = coded.dictionary
+    base = len(words) + 1
+    if base ** n_max >= 1 << 63:
+        if len(column) > 1:
+            raise OverflowError("words of a slice")  # callers halve the slice
+        own = column.flatten().to_pylist()
+        return _string_codes([" ".join(own[i:i + n]) for n in range(n_min, n_max + 1) for i in range(len(own) - n + 1)])
+    doc = np.repeat(np.arange(len(column)), size)
+    doc, code = _grams(doc, doc, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, base, n_min, n_max)
+
+    def terms(codes: np.ndarray):
+        return pa.concat_arrays([pa.array([], pa.string()), *[
+            pc.binary_join_element_wise(*[words.take(pa.array(x)) for x in m.T], " ").cast(pa.string()) for m in _symbols(codes, base, n_max)]])
 
     def find(wanted) -> np.ndarray:
-        return pc.fill_null(pc.index_in(wanted, value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = [t.split(" ") for t in wanted.to_pylist()]
+        place = pc.fill_null(pc.index_in(pa.array([w for p in parts for w in p], pa.string()), value_set=words), -1).to_numpy(zero_copy_only=False)
+        out, at = np.zeros(len(parts), np.int64), 0
+        for j, p in enumerate(parts):
+            x = 0
+            for k in place[at:at + len(p)].tolist():
+                x = x * base + k + 1 if x >= 0 and k >= 0 else -1
+            out[j], at = x, at + len(p)
+        return out
 
-    return _Codes(np.repeat(np.arange(len(column)), size), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64),
-                  lambda codes: words.take(pa.array(codes)), find)
+    return _Codes(doc, code, base ** n_max, terms, find)
 
 
 def _char_codes(column, n_min: int, n_max: int) -> _Codes:
-    """Codes of all n-grams of the padded words of some texts. Characters are numbered within the slice; a code has their
-    numbers as digits, and ranks replace codes, so any alphabet whose ``n_max``-th power fits 63 bits is exact."""
+    """Codes of all n-grams of the padded words of some texts, characters numbered within the slice. Any alphabet whose
+    ``n_max``-th power fits 63 bits is exact."""
     import pyarrow as pa
 
     texts = [t or "" for t in column.to_pylist()]
     size = np.array([len(t) for t in texts], np.int64)
     chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    alphabet, at = np.unique(chars, return_inverse=True)
+    alphabet = np.unique(chars)
     base = len(alphabet) + 1
     if base ** n_max >= 1 << 63:
         if len(texts) > 1:
             raise OverflowError("alphabet of a slice")  # callers halve the slice
         words = [f" {w} " for w in texts[0].split(" ") if w]
-        return _word_codes(pa.array([[w[i:i + n] for w in words for n in range(n_min, n_max + 1) for i in range(len(w) - n + 1)]],
-                                    pa.list_(pa.string())))
+        return _string_codes([w[i:i + n] for w in words for n in range(n_min, n_max + 1) for i in range(len(w) - n + 1)])
     doc = np.repeat(np.arange(len(texts)), size)
     # words are padded by one space each, so two adjacent spaces are the border of two words
     space = chars == 32
     starts = space.copy()
     starts[1:] &= space[:-1]
-    first = np.zeros(len(chars), bool)
     edge = np.cumsum(size) - size
-    first[edge[size > 0]] = True
-    word = np.cumsum(starts | first)
-    docs, codes = [], []
-    digit = at.astype(np.int64) + 1
-    for n in range(n_min, n_max + 1):
-        m = len(chars) - n + 1
-        if m <= 0:
-            continue
-        code = np.zeros(m, np.int64)
-        for k in range(n):
-            code = code * base + digit[k:k + m]
-        inside = word[:m] == word[n - 1:]
-        docs.append(doc[:m][inside])
-        codes.append(code[inside])
-    doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    packed, code = np.unique(np.concatenate(codes), return_inverse=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def unpack(x: int) -> str:
+    starts[edge[size > 0]] = True
+    doc, code = _grams(doc, np.cumsum(starts), np.searchsorted(alphabet, chars).astype(np.int64) + 1, base, n_min, n_max)
+
+    def terms(codes: np.ndarray):
         out = []
-        while x:
-            x, d = divmod(x, base)
-            out.append(chr(alphabet[d - 1]))
-        return "".join(reversed(out))
+        for m in _symbols(codes, base, n_max):
+            n, all_chars = m.shape[1], alphabet[m].tobytes().decode("utf-32-le", "surrogatepass")
+            out += [all_chars[k:k + n] for k in range(0, len(all_chars), n)]
+        return pa.array(out, pa.string())
 
     place = {chr(c): k + 1 for k, c in enumerate(alphabet.tolist())}
 
@@ -129,14 +173,14 @@ def _char_codes(column, n_min: int, n_max: int) -> _Codes:
             x = x * base + place[c]
         return x
 
-    def find(wanted) -> np.ndarray:
-        x = np.array([pack(t) for t in wanted.to_pylist()], np.int64)
-        if not len(packed):
-            return np.full(len(x), -1)
-        k = np.minimum(np.searchsorted(packed, x), len(packed) - 1)
-        return np.where(packed[k] == x, k, -1)
+    return _Codes(doc, code, base ** n_max, terms, lambda wanted: np.array([pack(t) for t in wanted.to_pylist()], np.int64))
 
-    return _Codes(doc, code.astype(np.int64), lambda codes: pa.array([unpack(x) for x in packed[codes].tolist()], pa.string()), find)
+
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new)
 
 
 def _slices(batch, columns: Sequence[str]) -> Iterator:
@@ -203,20 +247,46 @@ def _counts(docs: DataFrame, column: str, analyzer: Analyzer, fold: str) -> Data
                 for b, c in _halving(part, lambda b: (b, analyzer.codes(b.column(column)))):
                     if not len(c.code):
                         continue
-                    width = int(c.code.max()) + 1
-                    pair, tf = np.unique(c.doc * width + c.code, return_counts=True)
-                    doc, code = np.divmod(pair, width)
                     folds = b.column(fold).to_numpy(zero_copy_only=False).astype(np.int64)
-                    key = folds[doc] * width + code
-                    group, inverse, df = np.unique(key, return_inverse=True, return_counts=True)
-                    ctf = np.bincount(inverse, tf, len(group)).astype(np.int64)
-                    k, code = np.divmod(group, width)
+                    n, n_folds, code, names = b.num_rows, int(folds.max()) + 1, c.code, None
+                    if c.bound * n_folds * n >= 1 << 63:
+                        names, code = np.unique(code, return_inverse=True)
+                    x = np.sort((code * n_folds + folds[c.doc]) * n + c.doc)
+                    pair = _starts(x)  # of a term and a document
+                    tf, x = np.diff(pair, append=len(x)), x[pair] // n
+                    group = _starts(x)  # of a term and a fold
+                    df, ctf = np.diff(group, append=len(x)), np.add.reduceat(tf, group)
+                    code, k = np.divmod(x[group], n_folds)
+                    code = code if names is None else names[code]
                     yield pa.RecordBatch.from_arrays([c.terms(code), pa.array(k, pa.int32()), pa.array(df, pa.int64()), pa.array(ctf)],
                                                      ["term", "fold", "df", "ctf"])
 
     return docs.select(F.col(fold).cast("int").alias(fold), column).mapInArrow(work, "term string, fold int, df long, ctf long")
 
 
+def term_counts(docs: DataFrame, text: Column, analyzer: Analyzer) -> DataFrame:
+    """``(term, df, ctf)`` of slices of the documents, still to be added up."""
+    return _counts(analyzer.prepared(docs.withColumn("_fold", F.lit(0)), text, "_terms"), "_terms", analyzer, "_fold").drop("fold")
+
+
+def doc_terms(docs: DataFrame, text: Column, analyzer: Analyzer, keep: Sequence[str]) -> DataFrame:
+    """``(keep..., term, tf)`` of every document."""
+    import pyarrow as pa
+
+    def work(it):
+        for whole in it:
+            for part in _slices(whole, ["_terms"]):
+                for b, c in _halving(part, lambda b: (b, analyzer.codes(b.column("_terms")))):
+                    kinds, code = np.unique(c.code, return_inverse=True)
+                    pair, tf = np.unique(c.doc * max(len(kinds), 1) + code, return_counts=True)
+                    doc, code = np.divmod(pair, max(len(kinds), 1))
+                    yield pa.RecordBatch.from_arrays([*[b.column(x).take(pa.array(doc)) for x in keep], c.terms(kinds).take(pa.array(code)), pa.array(tf, pa.int64())],
+                                                     [*keep, "term", "tf"])
+
+    t = analyzer.prepared(docs, text, "_terms").select(*keep, "_terms")
+    return t.mapInArrow(work, t.select(*keep, F.lit("").alias("term"), F.lit(0).cast("long").alias("tf")).schema)
+
+
 def fit(docs: DataFrame, text: Column, analyzer: Analyzer, n_folds: int = 0, fold_col: str | None = None, min_df: int = 1,
         max_df: float = 1.0, max_features: int = 3000) -> Vocabulary:
     """Vocabulary and idf of the documents, for each fold of the rows outside it (``n_folds`` 0: one, of all rows).
@@ -278,28 +348,31 @@ def _weights(c: _Codes, vocab: Vocabulary, wanted, n_docs: int, sublinear: bool)
     """``(doc, term, tf weight)`` of the occurrences in the vocabulary, by document, then term."""
     code_of = c.find(wanted)
     known = np.flatnonzero(code_of >= 0)
-    width = (int(c.code.max()) + 1) if len(c.code) else 1
-    term_of = np.full(width, -1)
-    ok = known[code_of[known] < width]
-    term_of[code_of[ok]] = ok
-    hit = term_of[c.code]
-    keep = hit >= 0
-    n = max(len(vocab.terms), 1)
-    pair, tf = np.unique(c.doc[keep] * n + hit[keep], return_counts=True)
+    known = known[np.argsort(code_of[known])]
+    if not len(known):
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(float)
+    codes = code_of[known]
+    at = np.minimum(np.searchsorted(codes, c.code), len(codes) - 1)
+    keep = codes[at] == c.code
+    n = len(vocab.terms)
+    pair, tf = np.unique(c.doc[keep] * n + known[at[keep]], return_counts=True)
     doc, term = np.divmod(pair, n)
     return doc, term, (1.0 + np.log(tf)) if sublinear else tf.astype(float)
 
 
-def _of_fold(vocab: Vocabulary, k: int, doc, term, tf, n_docs: int):
+def _of_fold(vocab: Vocabulary, k: int, doc, term, tf, n_docs: int, normalised: bool = True):
     """``(doc, slot, term, weight)`` of one fold, L2-normalised by document."""
     idf = vocab.idf[term, k]
     keep = ~np.isnan(idf)
     doc, term, w = doc[keep], term[keep], tf[keep] * idf[keep]
-    norm = np.sqrt(np.bincount(doc, w * w, n_docs))
-    return doc, vocab.slots[term, k], term, w / norm[doc]
+    if normalised:
+        w = w / np.sqrt(np.bincount(doc, w * w, n_docs))[doc]
+    return doc, vocab.slots[term, k], term, w
 
 
-def weigh(docs: DataFrame, text: Column, vocab: Vocabulary, keep: Sequence[str], folds: Sequence[int] = (0,), sublinear: bool = True) -> DataFrame:
+def weigh(docs: DataFrame, text: Column, vocab: Vocabulary, keep: Sequence[str], folds: Sequence[int] = (0,), sublinear: bool = True,
+          normalised: bool = True) -> DataFrame:
     """``(keep..., fold, terms array<string>, tfidf array<double>)``: a row per document and fold, empty without terms."""
     import pyarrow as pa
 
@@ -314,7 +387,7 @@ def weigh(docs: DataFrame, text: Column, vocab: Vocabulary, keep: Sequence[str],
                     n = b.num_rows
                     hits = _weights(c, v, wanted, n, sublinear)
                     for k in folds:
-                        doc, _, term, w = _of_fold(v, k, *hits, n)
+                        doc, _, term, w = _of_fold(v, k, *hits, n, normalised)
                         ends = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
                         yield pa.RecordBatch.from_arrays(
                             [*[b.column(x) for x in keep], pa.array(np.full(n, k), pa.int32()), pa.ListArray.from_arrays(ends, wanted.take(pa.array(term))),
@@ -325,6 +398,26 @@ def weigh(docs: DataFrame, text: Column, vocab: Vocabulary, keep: Sequence[str],
     return t.mapInArrow(work, schema)
 
 
+def weigh_terms(docs: DataFrame, text: Column, vocab: Vocabulary, id_col: str, keep: Sequence[str] = (), sublinear: bool = True) -> DataFrame:
+    """``(id, keep..., term, tfidf)``, L2-normalised over all rows of an id: in the row, and only for the rows of an id that
+    comes more than once (null is an id like any other) over their exploded terms."""
+    cols = [id_col, *keep]
+
+    def terms(part: DataFrame, normalised: bool) -> DataFrame:
+        e = F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("tfidf").alias("tfidf"))).alias("_e")
+        return weigh(part, text, vocab, cols, (0,), sublinear, normalised).select(*cols, e).select(*cols, "_e.term", "_e.tfidf")
+
+    again = materialize(docs.groupBy(F.col(id_col).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_again"))
+    n_again = again.count()
+    if not n_again:
+        return terms(docs, True)
+    again = F.broadcast(again) if n_again <= DEFAULT_BROADCAST_ROWS else again
+    same = F.col(id_col).eqNullSafe(F.col("_again"))
+    norm = F.sqrt(F.sum(F.col("tfidf") * F.col("tfidf")).over(Window.partitionBy(id_col)))
+    shared = terms(docs.join(again, same, "left_semi"), False).select(*cols, "term", (F.col("tfidf") / norm).alias("tfidf"))
+    return terms(docs.join(again, same, "left_anti"), True).unionByName(shared)
+
+
 def count_blocks(docs: DataFrame, text: Column, vocabs: Sequence[Vocabulary], dense: Sequence[str], slot: str | None, keep: Sequence[str]) -> DataFrame:
     """What ``sparse_features`` needs of the documents, a row per slice of them: ``keep`` as lists, the columns ``dense`` (null and
     NaN are 0), ``slot`` and the packed counts of each vocabulary's terms. Texts are read once for all folds."""

@@ -160,3 +160,54 @@ def test_cross_validated_wide_scores_do_not_cut_texts_again(spark, sf_small, mon
     monkeypatch.setattr(MO, "cv_oof_rows", plan_only)
     W._scores(spark, sf_small)
     assert len(plans) == 10 and not any("answer" in p or "_terms" in p for p in plans)
+
+
+@pytest.mark.parametrize("kind", ["words", "chars"])
+@pytest.mark.parametrize("slice_bytes", [200, 1 << 20])
+def test_weights_are_normalised_over_all_rows_of_an_id(monkeypatch, spark, kind, slice_bytes):
+    monkeypatch.setattr(TR, "SLICE_BYTES", slice_bytes)
+    rows = [(k, t, 0, 0.0, 0, 0) for k, t, *_ in _rows()] + [(None, "alpha beta", 0, 0.0, 0, 0), (None, "gamma alpha", 0, 0.0, 0, 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4, "id")
+    v = TR.fit(df, text(), ANALYZERS[kind], min_df=1, max_features=25)
+    out = TR.weigh_terms(df, text(), v, "id", ["slot"])
+    idf = dict(zip(v.terms, v.idf[:, 0]))
+    want, norm = [], Counter()
+    for k, t, *_ in rows:
+        w = {x: (1 + math.log(n)) * idf[x] for x, n in Counter(_grams(kind, t)).items() if x in idf}
+        norm[k] += sum(x * x for x in w.values())
+        want += [(k, x, y) for x, y in w.items()]
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(((r["id"], r["term"], round(r["tfidf"], 9)) for r in out.collect()), key=order) == \
+        sorted(((k, x, round(y / math.sqrt(norm[k]), 9)) for k, x, y in want), key=order)
+
+
+def test_words_reach_tasks_as_words_and_terms_are_not_sorted(spark, sf_small):
+    from foldwise.plans import tfidf_queries as Q
+    df = spark.createDataFrame([(1, "Alpha beta  alpha")], "id long, t string")
+    assert TR.Analyzer("words", 1, 3).prepared(df, text(), "w").first()["w"] == ["alpha", "beta", "alpha"]
+    for q in (Q.tfidf_word, Q.tfidf_char, Q.topic_coherence):
+        plan = q(spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "MapInArrow" in plan
+
+
+def test_doc_terms_and_counts_of_every_length(spark):
+    rows = _rows()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for kind, a in ANALYZERS.items():
+        got = Counter({(r["id"], r["term"], r["tf"]): 1 for r in TR.doc_terms(df.where("id <> 7"), text(), a, ["id"]).collect()})
+        assert got == Counter({(r[0], t, n): 1 for r in rows if r[0] != 7 for t, n in Counter(_grams(kind, r[1])).items()})
+        bags = [Counter(_grams(kind, r[1])) for r in rows]
+        df_of, ctf = Counter(t for b in bags for t in b), Counter()
+        for b in bags:
+            ctf.update(b)
+        counts = TR.term_counts(df, text(), a).groupBy("term").agg(F.sum("df"), F.sum("ctf")).collect()
+        assert {r[0]: (r[1], r[2]) for r in counts} == {t: (n, ctf[t]) for t, n in df_of.items()}
+
+
+def test_codes_too_large_to_pack_with_fold_and_document(spark):
+    rows = [(k, "".join(chr(0x4E00 + (k * 3500 + j) % 7000) for j in range(3500)), k % 2, 0.0, 0, 0) for k in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    v = TR.fit(df, text(), TR.Analyzer("chars", 3, 4), 2, "fold", 1, 1.0, 60)
+    for k in (0, 1):
+        count = Counter(g for r in rows if r[2] != k for p in [f" {r[1]} "] for n in (3, 4) for g in (p[i:i + n] for i in range(len(p) - n + 1)))
+        assert [t for t, x in zip(v.terms, v.idf[:, k]) if x == x] == sorted(sorted(count, key=lambda t: (-count[t], t))[:60])
