@@ -37,30 +37,18 @@ def _docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return docs, docs.join(labels, "id", "left_semi")
 
 
-def _word_terms(df: DataFrame, n: tuple[int, int]) -> tuple[DataFrame, F.Column]:
-    df = df.withColumn("_tok", TF.word_tokens(F.coalesce(F.col("answer"), F.lit("")), TF.english_stop_words()))
-    return df, TF.word_ngrams("_tok", *n)
+def _weighed(spark: SparkSession, sf_dir: str, analyzer: TR.Analyzer, p: dict) -> DataFrame:
+    docs, train = _docs(spark, sf_dir)
+    return finish(TF.tfidf_fit_transform(train, docs, F.coalesce(F.col("answer"), F.lit("")), analyzer, "id", p["min_df"], p["max_df"],
+                                         p["max_features"], p["sublinear"]))
 
 
 def tfidf_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, train = _docs(spark, sf_dir)
-    d_all, terms = _word_terms(docs, WORD["n"])
-    d_fit, _ = _word_terms(train, WORD["n"])
-    out = TF.tfidf_fit_transform(d_fit, d_all, terms, "id", WORD["min_df"], WORD["max_df"], WORD["max_features"],
-                                 WORD["sublinear"])
-    return finish(out)
+    return _weighed(spark, sf_dir, TR.Analyzer("words", *WORD["n"], TF.english_stop_words()), WORD)
 
 
 def tfidf_char(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, train = _docs(spark, sf_dir)
-
-    def padded(d):
-        return d.withColumn("_pw", TF.padded_words(F.coalesce(F.col("answer"), F.lit(""))))
-
-    terms = TF.char_wb_ngrams("_pw", *CHAR["n"])
-    out = TF.tfidf_fit_transform(padded(train), padded(docs), terms, "id", CHAR["min_df"], CHAR["max_df"],
-                                 CHAR["max_features"], CHAR["sublinear"])
-    return finish(out)
+    return _weighed(spark, sf_dir, TR.Analyzer("chars", *CHAR["n"]), CHAR)
 
 
 def tfidf_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,13 +59,8 @@ def tfidf_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = TF.spread(table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("source").alias("topic"), F.col("text").alias("answer")))
-
-    def with_terms(df, c):
-        # tokens in a projection of their own: computed once per row, read by several slices
-        df = df.withColumn("_tok", TF.word_tokens(F.coalesce(F.col(c), F.lit("")), TF.english_stop_words()))
-        return df, TF.word_ngrams("_tok", *SHARED["n"])
-
-    return finish(TF.cosine_topic_answer(docs, "id", "topic", "answer", with_terms, SHARED["max_features"]))
+    analyzer = TR.Analyzer("words", *SHARED["n"], TF.english_stop_words())
+    return finish(TF.cosine_topic_answer(docs, "id", "topic", "answer", analyzer, SHARED["max_features"]))
 
 
 def fold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
