@@ -16,7 +16,8 @@ From signatures to components, without pairs inside a group:
 3. Components of those links are contracted. Signatures whose members now lie in one component are settled. In the
    others only members of different components can bring a new link. A pair of them is ruled out, before it becomes
    a row, by the sizes, by the sets' distances to their common centre (a metric, so a difference above ``k`` rules a
-   link out) and by byte sketches (each byte that differs is at least one element); the others are compared.
+   link out) and by sketches (each field that differs is at least one element); the others are compared. A row carries
+   only the sketch for its signature's band.
 4. Components of all links give the class of every document.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with nothing; fewer words than the n-gram
@@ -42,7 +43,9 @@ from .packed import pack, pack_sorted, slices, unpack, unpack_sorted
 
 NEED_ROWS = 500_000  # class ids broadcast to fetch their texts, at most; beyond it that join is a shuffle
 SKETCH = 2           # sketch parts for each element in which linked sets may differ
+SKETCH_BITS = 2      # of a sketch part
 K2 = 1   # parts of a range in which near sets may differ
+_SIG_BITS = np.uint64((1 << 64) - (1 << 16))  # equal hashes of unequal parts only bring a pair that the checks drop
 
 
 def parts_per_range(share: Fraction) -> int:
@@ -75,7 +78,8 @@ class Bands:
 
 
 def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of a sorted set of 64-bit hashes, for its band and the next."""
+    """The signatures of a sorted set of 64-bit hashes, for its band and the next: 48 bits of hash, and at the low end
+    whether the band's number is odd."""
     if not len(s):
         return s
     total = np.concatenate([[np.uint64(0)], np.cumsum(mix(s), dtype=np.uint64)])
@@ -94,25 +98,28 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
             sig = np.arange(n1, dtype=np.uint64) * _GOLD + np.uint64(band)
             for c in choice:
                 sig = mix(sig * _GOLD + grid[:, c] + np.uint64(c))
-            out.append(sig)
+            out.append((sig & _SIG_BITS) | np.uint64(band & 1))
     return np.unique(np.concatenate(out))
 
 
-def sketch(s: np.ndarray, parts: int) -> np.ndarray:
-    """One byte for each of ``parts`` ranges of the hash space, seven to a long: ranges whose bytes differ hold
-    different elements, so their number never exceeds the number of elements in which two sets differ."""
+def sketch(s: np.ndarray, parts: int, bits: int = 8) -> np.ndarray:
+    """``bits`` of hash for each of ``parts`` ranges of the hash space, as many to a long as leave its sign free (bytes:
+    seven): ranges whose fields differ hold different elements, so their number never exceeds the number of elements in
+    which two sets differ."""
     total = np.concatenate([[np.uint64(0)], np.cumsum(mix(s), dtype=np.uint64)])
     width = (1 << 64) // parts
     edge = np.searchsorted(s, np.arange(1, parts, dtype=np.uint64) * np.uint64(width))
     edge = np.concatenate([[0], edge, [len(s)]])
-    byte = mix(total[edge[1:]] - total[edge[:-1]]) & np.uint64(255)
-    byte = np.append(byte, np.zeros(-parts % 7, np.uint64)).reshape(-1, 7)
-    return signed((byte << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(axis=1, dtype=np.uint64))
+    field = mix(total[edge[1:]] - total[edge[:-1]]) & np.uint64((1 << bits) - 1)
+    n = 63 // bits
+    field = np.append(field, np.zeros(-parts % n, np.uint64)).reshape(-1, n)
+    return signed((field << (np.arange(n, dtype=np.uint64) * np.uint64(bits))).sum(axis=1, dtype=np.uint64))
 
 
-def _differing(a, b):
-    """Bytes in which two sketches differ, as a column (the top byte of each long is empty, so nothing overflows)."""
-    low, high = 0x007F7F7F7F7F7F7F, 0x0080808080808080
+def _differing(a, b, bits: int = 8):
+    """Fields in which two sketches differ, as a column (the top bits of each long are empty, so nothing overflows)."""
+    ones = sum(1 << (k * bits) for k in range(63 // bits))
+    low, high = ones * ((1 << (bits - 1)) - 1), ones << (bits - 1)
 
     def nonzero(x):
         return F.bit_count(x.bitwiseAND(F.lit(low)).__add__(F.lit(low)).bitwiseOR(x).bitwiseAND(F.lit(high))).cast("int")
@@ -219,13 +226,17 @@ def _check(n: int):
     return work
 
 
-def _texts(ids: DataFrame, docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """``(doc_id, set_key, text)`` of class ids: only these texts move."""
+def _with_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(doc_id, set_key, text)`` of the rows of class ids, whose sets may differ if an id repeats."""
     need = materialize(ids.distinct().join(classes.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id"))
     if need.count() <= NEED_ROWS:
         need = F.broadcast(need)
-    return docs.join(need, "doc_id").select("doc_id", "set_key", "text") \
-        .mapInArrow(_of_sets(n), "doc_id long, set_key binary, text binary").dropDuplicates(["doc_id"])
+    return docs.join(need, "doc_id").select("doc_id", "set_key", "text")
+
+
+def _texts(ids: DataFrame, docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """``(doc_id, set_key, text)`` of class ids: only these texts move."""
+    return _with_sets(ids, docs, classes).mapInArrow(_of_sets(n), "doc_id long, set_key binary, text binary").dropDuplicates(["doc_id"])
 
 
 def distances(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
@@ -241,16 +252,20 @@ def distances(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int) ->
 
 
 def _sketches(n: int, bands: Bands):
+    """Rows with sets -> ``(rep, band, own, next)`` of those whose text has that set: sketches for its band and the next."""
     def work(it):
         words = WordHashes()
-        for b in it:
-            rows = []
-            for t in b.column("text").to_pylist():
+        for b, texts in batches(it):
+            reps, rows = [], []
+            for d, want, t in zip(b.column("doc_id").to_pylist(), b.column("set_key").to_pylist(), texts):
                 s = shingles(words(t.lower().split()), n)
+                if _key(s) != bytes(want):
+                    continue
                 band = bands.of(len(s))
-                rows.append((band, *[sketch(s, SKETCH * (bands.differ(k) + 1)) for k in (band, band + 1)]))
+                reps.append(d)
+                rows.append((band, *[sketch(s, SKETCH * (bands.differ(k) + 1), SKETCH_BITS) for k in (band, band + 1)]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([r[0] for r in rows], pa.int32()),
+                [pa.array(reps, pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
                  *[pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (1, 2)]], ["rep", "band", "own", "next"])
     return work
 
@@ -289,17 +304,17 @@ def link_components(df: DataFrame, n: int = 3, share: Fraction = Fraction(9, 10)
     pairs = materialize(pairs)
     bands = Bands(share)
     ids = members.select(F.col("rep").alias("doc_id"))
-    sketches = materialize(_texts(ids, docs, classes, n)
-                           .mapInArrow(_sketches(n, bands), "rep long, band int, own array<long>, next array<long>"))
+    sketches = materialize(_with_sets(ids, docs, classes)
+                           .mapInArrow(_sketches(n, bands), "rep long, band int, own array<long>, next array<long>").dropDuplicates(["rep"]))
     within = lambda d, x, y: d * F.lit(up + down) <= (x + y) * F.lit(down - up)
 
-    def bytes_differ(p, q):
-        return F.when(F.col(f"{p}.band") == F.col(f"{q}.band"), _differing(F.col(f"{p}.own"), F.col(f"{q}.own"))) \
-            .when(F.col(f"{p}.band") < F.col(f"{q}.band"), _differing(F.col(f"{p}.next"), F.col(f"{q}.own"))) \
-            .otherwise(_differing(F.col(f"{p}.own"), F.col(f"{q}.next")))
+    def fields_differ(p, q):
+        compare = lambda x, y: _differing(F.col(f"{p}.{x}"), F.col(f"{q}.{y}"), SKETCH_BITS)
+        return F.when(F.col(f"{p}.band") == F.col(f"{q}.band"), compare("own", "own")) \
+            .when(F.col(f"{p}.band") < F.col(f"{q}.band"), compare("next", "own")).otherwise(compare("own", "next"))
 
     near = pairs.join(sketches.alias("q"), F.col("b") == F.col("q.rep")) \
-        .join(sketches.alias("p"), (F.col("a") == F.col("p.rep")) & within(bytes_differ("p", "q"), F.col("x"), F.col("y"))) \
+        .join(sketches.alias("p"), (F.col("a") == F.col("p.rep")) & within(fields_differ("p", "q"), F.col("x"), F.col("y"))) \
         .select("a", "b", "x", "y")
     near = materialize(near)
     to_center = materialize(distances(near.select("a", "b"), docs, classes, n).join(near, ["a", "b"]))
@@ -314,15 +329,14 @@ def link_components(df: DataFrame, n: int = 3, share: Fraction = Fraction(9, 10)
         .where("lo < hi").select("sig")
     apart = materialize(label.where(F.col("rep") != F.col("center")).join(materialize(open_sigs), "sig", "left_semi")
                         .join(to_center.select(F.col("a").alias("center"), F.col("b").alias("rep"), "differ"), ["center", "rep"], "left"))
-    carried = materialize(apart.groupBy("rep").agg(F.sort_array(F.collect_set("sig")).alias("sigs")))  # a set's own signatures
-    apart = materialize(apart.join(materialize(sketches.join(carried, "rep")), "rep"))
+    # all members of a signature have a sketch for its band
+    own = F.col("sig").bitwiseAND(F.lit(1)) == F.col("band").bitwiseAND(F.lit(1))
+    apart = apart.join(sketches, "rep").select("sig", "rep", "size", "component", "differ", F.when(own, F.col("own")).otherwise(F.col("next")).alias("sketch"))
     l, r = apart.alias("l"), apart.alias("r")
     x, y = F.col("l.size"), F.col("r.size")
     gap = F.coalesce(within(F.abs(F.col("l.differ") - F.col("r.differ")), x, y), F.lit(True))
-    # a pair stands in the first signature that both carry
-    first = F.array_min(F.array_intersect("l.sigs", "r.sigs")) == F.col("l.sig")
     rest = l.join(r, (F.col("l.sig") == F.col("r.sig")) & (F.col("l.component") < F.col("r.component")) & sizes_fit(x, y)
-                  & gap & within(bytes_differ("l", "r"), x, y) & first) \
+                  & gap & within(_differing(F.col("l.sketch"), F.col("r.sketch"), SKETCH_BITS), x, y)) \
         .select(F.least("l.rep", "r.rep").alias("a"), F.greatest("l.rep", "r.rep").alias("b"),
                 F.when(F.col("l.rep") < F.col("r.rep"), x).otherwise(y).alias("x"),
                 F.when(F.col("l.rep") < F.col("r.rep"), y).otherwise(x).alias("y")).distinct()

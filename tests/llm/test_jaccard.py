@@ -115,3 +115,47 @@ def test_sketch_never_exceeds_the_difference(spark):
             want.append(plain)
     df = spark.createDataFrame(rows, "a array<long>, b array<long>")
     assert [r[0] for r in df.select(J._differing(F.col("a"), F.col("b"))).collect()] == want
+
+
+def test_small_sketch_of_the_signature_s_band(spark):
+    """A signature names the parity of its band, so a row needs one sketch; its fields never exceed the difference."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(8)
+    bands, rows, want = J.Bands(Fraction(4, 5)), [], []
+    for m in (1, 5, 40, 200, 900):
+        base = np.unique(rng.integers(0, 2**63, m, dtype=np.uint64) * np.uint64(2))
+        own = bands.of(len(base))
+        sigs = J.signatures(base, bands)
+        for band in (own, own + 1):
+            assert np.any(sigs & np.uint64(0xFFFF) == np.uint64(band & 1))
+        assert np.all(sigs & np.uint64(0xFFFF) <= 1)
+        for cut in (0, 1, m // 10, m // 2):
+            other = np.unique(np.concatenate([base[cut:], rng.integers(0, 2**63, cut, dtype=np.uint64)]))
+            parts = J.SKETCH * (bands.differ(own) + 1)
+            a, b = J.sketch(base, parts, J.SKETCH_BITS), J.sketch(other, parts, J.SKETCH_BITS)
+            assert len(a) == -(-parts // (63 // J.SKETCH_BITS)) and a.min() >= 0 and b.min() >= 0
+            each = 1 << J.SKETCH_BITS
+            plain = sum(x // each**k % each != y // each**k % each for x, y in zip(a.tolist(), b.tolist()) for k in range(63 // J.SKETCH_BITS))
+            assert plain <= len(np.setxor1d(base, other))
+            rows.append((a.tolist(), b.tolist()))
+            want.append(plain)
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    assert [r[0] for r in df.select(J._differing(F.col("a"), F.col("b"), J.SKETCH_BITS)).collect()] == want
+
+
+def test_links_between_members_of_a_signature_join_across_bands(spark):
+    """Members apart from their centre, of one band and of neighbouring ones, repeated ids with other texts among them."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    docs, k = {}, 0
+    for _ in range(8):
+        base = [word() for _ in range(rng.choice((30, 60, 150)))]
+        for _ in range(14):
+            t = base[:len(base) - rng.randrange(len(base) // 4)]
+            for _ in range(rng.randrange(4)):
+                t[rng.randrange(len(t))] = word()
+            docs[k], k = " ".join(t), k + 1
+    share = Fraction(4, 5)
+    df = spark.createDataFrame([*docs.items(), *[(d, t) for d, t in docs.items() if d % 5 == 0]], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.link_components(df, 3, share).collect()}
+    assert got == brute(docs, share)
