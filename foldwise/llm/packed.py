@@ -1,36 +1,3 @@
-"""Packed columns of 64-bit hashes: one row carries a sorted slice of a block's hashes, one per hash range."""
+"""Packed columns of 64-bit hashes (``functions.packed``)."""
 
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-import numpy as np
-import zstandard
-
-
-def pack(x: np.ndarray) -> bytes:
-    """Byte planes, compressed."""
-    x = np.ascontiguousarray(x)
-    planes = x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T if len(x) else x.view(np.uint8)
-    return zstandard.compress(planes.tobytes(), 1)
-
-
-def unpack(b: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(b), np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(dtype)
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    return pack(np.diff(x, prepend=np.uint64(0)))
-
-
-def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
-
-
-def slices(at: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    part = (at >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
-    edges = np.flatnonzero(np.diff(part, prepend=-1, append=1 << 62))
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        yield int(part[lo]), lo, hi
+from ..functions.packed import pack, pack_sorted, slices, unpack, unpack_sorted  # noqa: F401
