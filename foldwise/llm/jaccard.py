@@ -138,6 +138,7 @@ _FIELDS = {"kind": pa.int32(), "doc_id": pa.int64(), "n_shingles": pa.int64(), "
            "part": pa.int64(), "sigs": pa.binary(), "nodes": pa.binary()}
 POSTS = "kind int, doc_id long, n_shingles long, set_key binary, sig long, part long, sigs binary, nodes binary"
 DOC, LOCAL, SLICE = 0, 1, 2
+CARRIED = 256  # groups below zero: DOC and LOCAL rows, which pass the exchange of the slices as they are
 
 
 def _rows(kind: int, n: int, **cols) -> pa.RecordBatch:
@@ -158,7 +159,8 @@ def _posts(n: int, bands: Bands, bits: int):
         several = ~new
         several[:-1] |= ~new[1:]
         if several.any():
-            yield _rows(LOCAL, int(several.sum()), sig=signed(sig[several]), doc_id=node[several])
+            yield _rows(LOCAL, int(several.sum()), sig=signed(sig[several]), doc_id=node[several],
+                        part=-1 - ((sig[several] >> np.uint64(16)) % np.uint64(CARRIED)).astype(np.int64))
         sig, node = sig[new], node[new]
         cut = list(slices(sig, bits))
         yield _rows(SLICE, len(cut), part=[p for p, _, _ in cut], sigs=[pack_sorted(sig[a:b]) for _, a, b in cut],
@@ -181,14 +183,16 @@ def _posts(n: int, bands: Bands, bits: int):
                     if held >= BLOCK_SIGNATURES:
                         yield from flush(sigs, nodes)
                         seen, sigs, nodes, held = set(), [], [], 0
-            yield _rows(DOC, len(sizes), doc_id=ids, n_shingles=sizes, set_key=keys)
+            yield _rows(DOC, len(sizes), doc_id=ids, n_shingles=sizes, set_key=keys, part=-1 - ids.to_numpy() % CARRIED)
         if nodes:
             yield from flush(sigs, nodes)
     return work
 
 
 def _across(t: pa.Table) -> pa.Table:
-    """One hash range: ``(sig, doc_id)`` of the signatures that several blocks sent."""
+    """One hash range: LOCAL rows of the signatures that several blocks sent. Other rows stay as they are."""
+    if t.column("part")[0].as_py() < 0:
+        return t
     sig = np.concatenate([unpack_sorted(x) for x in t.column("sigs").to_pylist()])
     node = np.concatenate([unpack(x, np.int64) for x in t.column("nodes").to_pylist()])
     order = np.argsort(sig, kind="stable")
@@ -196,7 +200,7 @@ def _across(t: pa.Table) -> pa.Table:
     several = np.zeros(len(sig), bool)
     several[1:] = sig[1:] == sig[:-1]
     several[:-1] |= several[1:]
-    return pa.Table.from_arrays([pa.array(signed(sig[several])), pa.array(node[several])], ["sig", "doc_id"])
+    return pa.Table.from_batches([_rows(LOCAL, int(several.sum()), sig=signed(sig[several]), doc_id=node[several])])
 
 
 def _of_sets(n: int):
@@ -282,8 +286,9 @@ def link_components(df: DataFrame, n: int = 3, share: Fraction = Fraction(9, 10)
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     expected = size / 6 * float(2 * (1 - share) / (1 + share)) * 2.3
     bits = max(0, int(np.ceil(np.log2(max(expected / RANGE_SIGNATURES, 1)))))
-    signed_docs = docs.mapInArrow(_posts(n, Bands(share), bits), POSTS)
-    one = materialize(signed_docs.where(F.col("kind") != SLICE))
+    # texts are signed once: one exchange carries the slices to their ranges and the other rows beside them
+    one = materialize(docs.mapInArrow(_posts(n, Bands(share), bits), POSTS).groupBy("part").applyInArrow(_across, POSTS)
+                      .drop("part", "sigs", "nodes"))
     mine = materialize(one.where(F.col("kind") == DOC).groupBy("doc_id").agg(F.max(F.struct("set_key", "n_shingles")).alias("s"))
                        .select("doc_id", "s.set_key", "s.n_shingles"))
     classes = materialize(mine.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(
@@ -291,8 +296,7 @@ def link_components(df: DataFrame, n: int = 3, share: Fraction = Fraction(9, 10)
     class_of = materialize(mine.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "rep", "size"))
 
     # signatures that more than one class carries, and who carries them
-    across = signed_docs.where(F.col("kind") == SLICE).select("part", "sigs", "nodes").groupBy("part").applyInArrow(_across, "sig long, doc_id long")
-    posts = across.unionByName(one.where(F.col("kind") == LOCAL).select("sig", "doc_id"))
+    posts = one.where(F.col("kind") == LOCAL).select("sig", "doc_id")
     posts = materialize(posts.join(class_of, "doc_id").select("sig", "rep", "size").distinct())
     shared = materialize(posts.groupBy("sig").agg(F.min(F.struct("rep", "size")).alias("c"), F.max("rep").alias("last"))
                          .where(F.col("c.rep") < F.col("last")).select("sig", F.col("c.rep").alias("center"), F.col("c.size").alias("center_size")))

@@ -159,3 +159,25 @@ def test_links_between_members_of_a_signature_join_across_bands(spark):
     df = spark.createDataFrame([*docs.items(), *[(d, t) for d, t in docs.items() if d % 5 == 0]], "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.link_components(df, 3, share).collect()}
     assert got == brute(docs, share)
+
+
+def test_texts_are_signed_once(spark, monkeypatch):
+    signed_rows, plain = spark.sparkContext.accumulator(0), J._posts
+
+    def counted(*args):
+        work = plain(*args)
+
+        def count(it):
+            def seen():
+                for b in it:
+                    signed_rows.add(b.num_rows)
+                    yield b
+            yield from work(seen())
+        return count
+
+    monkeypatch.setattr(J, "_posts", counted)
+    texts = [" ".join(f"w{i % 7}_{k}" for k in range(30)) for i in range(40)] + [None, "", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = {r["doc_id"]: r["component_id"] for r in J.link_components(df).collect()}
+    assert signed_rows.value == len(texts) == len(rows)
+    assert [rows[i] for i in range(40)] == [i % 7 for i in range(40)] and [rows[40], rows[41], rows[42]] == [40, 41, 42]
